@@ -98,12 +98,13 @@ def detect(
         ).alias(f"d{i}")
         for i in range(len(languages))
     ]
-    best = F.least(
-        *[
-            F.struct(F.col(f"d{i}").alias("distance"), F.lit(l).alias("lang"))
-            for i, l in enumerate(languages)
-        ],
-        F.struct(F.lit(None).cast("bigint").alias("distance"), F.lit(None).cast("string").alias("lang")),
+    best = F.array_min(
+        F.array(
+            *[
+                F.struct(F.col(f"d{i}").alias("distance"), F.lit(l).alias("lang"))
+                for i, l in enumerate(languages)
+            ]
+        )
     )
     nearest = joined.groupBy("doc_id").agg(*distances).withColumn("best", best)
     return nearest.select(

@@ -1,5 +1,7 @@
 """Transactions and balances of bank statements."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliomine.functions import categories
@@ -57,60 +59,86 @@ def _last_value(lines: Column, regex: str) -> Column:
     return F.coalesce(strip(F.regexp_extract(last, pattern(regex), 1)), F.lit(""))
 
 
-def parse_block(block: Column) -> Column:
-    """One block as a struct. ``malformed`` marks a dated line whose date or
-    amount does not parse."""
+Fields = Callable[[str], Column]
+
+
+def _split_block(block: Column) -> dict[str, Column]:
+    return {
+        "head": F.get(block, F.lit(0)),
+        "rest": F.slice(block, F.lit(2), F.size(block)),
+    }
+
+
+def _read_head(of: Fields) -> dict[str, Column]:
     dated = pattern(DATED_LINE)
-    head = F.get(block, F.lit(0))
-    rest = F.slice(block, F.lit(2), F.size(block))
-    label = F.regexp_extract(head, dated, 2)
-    amount_text = first_match(head, dated, 3)
-    amount = german_amount_or_null(amount_text)
-    date = checked_date(F.regexp_extract(head, dated, 1))
+    return {
+        "rest": of("rest"),
+        "date_value": checked_date(F.regexp_extract(of("head"), dated, 1)),
+        "label": F.regexp_extract(of("head"), dated, 2),
+        "amount_text": first_match(of("head"), dated, 3),
+    }
+
+
+def _well_formed(of: Fields) -> Column:
+    amount = german_amount_or_null(of("amount_text"))
+    return of("date_value").isNotNull() & (of("amount_text").isNull() | amount.isNotNull())
+
 
+def _transaction(of: Fields) -> dict[str, Column]:
     def describes(line: Column) -> Column:
         hidden = F.lower(line).rlike("|".join(NO_DESCRIPTION))
         return ~line.rlike(pattern(REFERENCE)) & ~hidden
 
-    more = F.transform(F.filter(rest, describes), strip)
-    return F.struct(
-        (date.isNull() | (amount_text.isNotNull() & amount.isNull())).alias("malformed"),
-        F.date_format(date, "yyyy-MM-dd").alias("date"),
-        date.alias("date_value"),
-        F.array_join(F.concat(F.array(strip(label)), more), " ").alias("description"),
-        amount.alias("amount"),
-        german_cents(amount_text).alias("amount_cents"),
-        categories.category(label).alias("category"),
-        _last_value(rest, REFERENCE).alias("reference"),
-        _last_value(rest, MANDATE).alias("mandate"),
-    )
+    more = F.transform(F.filter(of("rest"), describes), strip)
+    return {
+        "date": F.date_format(of("date_value"), "yyyy-MM-dd"),
+        "description": F.array_join(F.concat(F.array(strip(of("label"))), more), " "),
+        "amount": german_amount_or_null(of("amount_text")),
+        "category": categories.category(of("label")),
+        "reference": _last_value(of("rest"), REFERENCE),
+        "mandate": _last_value(of("rest"), MANDATE),
+    }
 
 
 def transactions(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row per transaction: ``(doc_id, txn_no, date, date_value, description,
     amount, amount_cents, category, reference, mandate)``.
 
-    A malformed dated line opens a block of its own, which is left out with the
-    lines that follow it.
+    A dated line whose date or amount does not parse opens a block of its own,
+    which is left out with the lines that follow it.
     """
+
+    def columns(fields: dict[str, Column]) -> list[Column]:
+        return [column.alias(name) for name, column in fields.items()]
+
     blocks = documents.select(
         "doc_id", F.posexplode(transaction_blocks(F.col(text))).alias("n", "block")
     )
-    parsed = blocks.select(
-        "doc_id", (F.col("n") + 1).alias("txn_no"), parse_block(F.col("block")).alias("t")
+    split = blocks.select(
+        "doc_id", (F.col("n") + 1).alias("txn_no"), *columns(_split_block(F.col("block")))
+    )
+    read = split.select("doc_id", "txn_no", *columns(_read_head(F.col)))
+    return read.where(_well_formed(F.col)).select(
+        "doc_id",
+        "txn_no",
+        "date_value",
+        german_cents(F.col("amount_text")).alias("amount_cents"),
+        *columns(_transaction(F.col)),
     )
-    return parsed.where(~F.col("t.malformed")).select("doc_id", "txn_no", "t.*").drop("malformed")
 
 
 def transaction_array(text: Column) -> Column:
     """The transactions of one document as an array, for its record."""
-    parsed = F.transform(transaction_blocks(text), parse_block)
-    return F.transform(
-        F.filter(parsed, lambda t: ~t["malformed"]),
-        lambda t: F.struct(
-            *[t[n].alias(n) for n in ("date", "description", "amount", "category", "reference", "mandate")]
-        ),
-    ).cast(f"array<{TRANSACTION}>")
+
+    def struct(fields: dict[str, Column]) -> Column:
+        return F.struct(*[column.alias(name) for name, column in fields.items()])
+
+    split = F.transform(transaction_blocks(text), lambda b: struct(_split_block(b)))
+    read = F.transform(split, lambda s: struct(_read_head(lambda n: s[n])))
+    kept = F.filter(read, lambda s: _well_formed(lambda n: s[n]))
+    return F.transform(kept, lambda s: struct(_transaction(lambda n: s[n]))).cast(
+        f"array<{TRANSACTION}>"
+    )
 
 
 def malformed_lines(documents: DataFrame, text: str = "text") -> DataFrame:
