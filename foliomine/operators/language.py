@@ -6,7 +6,7 @@ the language whose profile its own ranked trigrams differ from least.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foliomine.functions.text import all_matches, let
+from foliomine.functions.text import all_matches
 
 PROFILE_SIZE = 300
 MAX_LANGUAGES = 200
@@ -50,31 +50,15 @@ def profiles(labelled: DataFrame, size: int = PROFILE_SIZE) -> DataFrame:
 
 
 def ranked_trigrams(text: Column, size: int = PROFILE_SIZE) -> Column:
-    """The text's own profile, in rank order, computed inside its row: sort the
-    trigrams, measure the runs, sort the runs by length."""
-
-    def runs(grams: Column) -> Column:
-        begins = F.filter(
-            F.transform(
-                grams,
-                lambda g, i: F.when((i == 0) | (F.get(grams, i - 1) != g), i),
-            ),
-            lambda i: i.isNotNull(),
-        )
-
-        def measure(starts: Column) -> Column:
-            return F.transform(
-                starts,
-                lambda s, k: F.struct(
-                    (s - F.coalesce(F.get(starts, k + 1), F.size(grams))).alias("minus_n"),
-                    F.get(grams, s).alias("gram"),
-                ),
-            )
-
-        return let(begins, measure)
-
-    counted = let(F.sort_array(trigrams(text)), runs)
-    return F.transform(F.slice(F.sort_array(counted), 1, size), lambda r: r["gram"])
+    """The text's own profile, in rank order, computed inside its row: the
+    sorted trigrams are joined, each run of one trigram is a match, and the
+    longest runs come first."""
+    in_order = F.array_join(F.sort_array(trigrams(text)), "")
+    runs = F.transform(
+        all_matches(in_order, r"(?s)(...)\1*"),
+        lambda run: F.struct((-F.length(run)).alias("rank"), F.left(run, F.lit(3)).alias("gram")),
+    )
+    return F.transform(F.slice(F.sort_array(runs), 1, size), lambda r: r["gram"])
 
 
 def detect(

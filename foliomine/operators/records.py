@@ -15,9 +15,12 @@ UNKNOWN = "unknown"
 BANK_STATEMENT = "bank_statement"
 
 
-def extract(documents: DataFrame, templates: list[Template] = BUILTIN_TEMPLATES) -> DataFrame:
+def extract(
+    documents: DataFrame, templates: list[Template] = BUILTIN_TEMPLATES, words: str = "words"
+) -> DataFrame:
     """Template and basic extraction of ``documents(doc_id, text, page_text,
-    words, ...)``, with ``tables`` (raw cells) where there are any.
+    words, ...)``, with ``tables`` (raw cells) where there are any. ``words``
+    names the layout of page one or is SQL for it.
 
     A narrow projection per document: it adds ``doc_type``, ``confidence``,
     ``found_text``, ``found_tables``, ``pairs``, ``fields``, ``entities``,
@@ -26,7 +29,7 @@ def extract(documents: DataFrame, templates: list[Template] = BUILTIN_TEMPLATES)
     if "tables" not in documents.columns:
         documents = documents.withColumn("tables", F.array().cast("array<array<array<string>>>"))
     kept = [c for c in documents.columns if c not in ("page_text", "words", "tables", "text")]
-    zoned = tp.with_zones(tp.classify(documents, templates), templates)
+    zoned = tp.with_zones(tp.classify(documents, templates), templates, words)
     known = F.col("doc_type").isNotNull()
     is_statement = F.col("doc_type") == BANK_STATEMENT
     located = zoned.select(

@@ -180,16 +180,19 @@ def zone_matches(text: str, zone: Zone) -> str:
 def with_zones(
     documents: DataFrame,
     templates: list[Template] = BUILTIN_TEMPLATES,
+    words: str = "words",
     width: str = "1.0D",
     height: str = "1.0D",
 ) -> DataFrame:
     """Replace ``words`` by ``zones``: per zone of the document's type its text
-    and matches. Documents without a type get NULL. ``width`` and ``height``
-    are SQL for the page size the word boxes refer to."""
+    and matches. Documents without a type get NULL. ``words`` is a column or
+    SQL for one, which then runs only for documents that have a type;
+    ``width`` and ``height`` are SQL for the page size the boxes refer to."""
     zoned = [t for t in templates if t.zones]
 
     def texts(template: Template) -> str:
-        return f"array({', '.join(zone_text('words', z, width, height) for z in template.zones)})"
+        every = ", ".join(zone_text("ws", z, width, height) for z in template.zones)
+        return f"get(transform(array({words}), ws -> array({every})), 0)"
 
     def result(no: int, zone: Zone) -> str:
         text = f"get(_texts, {no})"

@@ -215,7 +215,7 @@ def with_first_page(documents: DataFrame) -> DataFrame:
 def with_layout(documents: DataFrame) -> DataFrame:
     """Page one as text and as words with boxes."""
     return with_first_page(documents).select(
-        "*", pages.words_from_text(F.col("page_text")).alias("words")
+        "*", F.expr(pages.words_from_text("page_text")).alias("words")
     )
 
 

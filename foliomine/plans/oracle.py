@@ -260,6 +260,11 @@ ORACLES["kv_pairs_prose"] = _pairs(PROSE, "text")
 # --- templates -------------------------------------------------------------
 
 
+def _re2(p: str) -> str:
+    """A pattern without the possessive form, which RE2 neither has nor needs."""
+    return p.replace(r"][^\n]++)", r"]+[^\n]+)")
+
+
 def _score(template) -> str:
     return " + ".join(
         f"len(regexp_extract_all(page_text, {_q(p)}, 0, 'i'))" for p in template.identifiers
@@ -328,7 +333,7 @@ def _zone_matches() -> str:
     for t in BUILTIN_TEMPLATES:
         for z in t.zones:
             for no, p in enumerate(z.patterns):
-                find = lambda g: f"regexp_extract_all(text, {_q('(?im)' + p)}, {g})"
+                find = lambda g: f"regexp_extract_all(text, {_q('(?im)' + _re2(p))}, {g})"
                 groups = " || '|' || ".join(
                     f"coalesce(nullif({find(g)}[i + 1], ''), '-')" for g in range(1, re.compile(p).groups + 1)
                 )
@@ -374,7 +379,7 @@ def _fields(source: str) -> str:
     parts = []
     for t in BUILTIN_TEMPLATES:
         for key, p in t.fields.items():
-            raw = f"regexp_extract_all(page_text, {_q('(?im)' + p)}, 1)[-1]"
+            raw = f"regexp_extract_all(page_text, {_q('(?im)' + _re2(p))}, 1)[-1]"
             amount = any(w in key for w in ("amount", "balance", "total"))
             date = not amount and any(w in key for w in ("date", "period"))
             value = "NULL" if amount else _iso("raw") if date else "raw"

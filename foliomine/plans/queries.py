@@ -455,7 +455,7 @@ def language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     """Statements, fee statements and prose as documents of one archive."""
-    return src.with_layout(src.mixed(spark, sf)).select(
+    return src.with_first_page(src.mixed(spark, sf)).select(
         "*",
         F.concat(F.lit("archive/"), "doc_id").alias("path"),
         ff.checksum(F.col("text")).alias("checksum"),
@@ -466,7 +466,8 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 def records_of(spark: SparkSession, sf: str) -> DataFrame:
     replies = rp.normalise(src.document_replies(spark, sf))
     when = F.timestamp_seconds(F.lit(src.EPOCH + src.DAY))
-    return re.assemble(re.extract(_documents(spark, sf)), when, "0.1.0", replies)
+    extracted = re.extract(_documents(spark, sf), words=pg.words_from_text("page_text"))
+    return re.assemble(extracted, when, "0.1.0", replies)
 
 
 @query

@@ -42,27 +42,22 @@ def join_pages(pages: DataFrame, skip_empty: bool = False) -> DataFrame:
     return pages.groupBy("doc_id").agg(joined.alias("text"))
 
 
-def words_from_text(text: Column) -> Column:
-    """Layout of plain text: line i of n is i/n down, word j of m is j/m across."""
-    lines = F.split(text, "\n")
-
-    def line_words(line: Column, i: Column) -> Column:
-        words = F.filter(F.split(line, " "), lambda w: w != "")
-        n, m = F.size(lines), F.size(words)
-        return F.transform(
-            words,
-            lambda w, j: F.struct(
-                i.alias("line_no"),
-                j.alias("word_no"),
-                w.alias("text"),
-                (j / m).alias("x0"),
-                (i / n).alias("top"),
-                ((j + 1) / m).alias("x1"),
-                ((i + 1) / n).alias("bottom"),
-            ),
-        )
-
-    return F.flatten(F.transform(lines, line_words)).cast(f"array<{WORD}>")
+def words_from_text(text: str) -> str:
+    """SQL for the layout of the plain text in column ``text``: line i of n is i/n down,
+    word j of m is j/m across. The one-element arrays bind the lines and a
+    line's words to a name, so each text and line is split once."""
+    word = (
+        "named_struct('line_no', i, 'word_no', j, 'text', w, 'x0', j / size(ws),"
+        " 'top', i / size(ls), 'x1', (j + 1) / size(ws), 'bottom', (i + 1) / size(ls))"
+    )
+    line_words = (
+        "flatten(transform(array(filter(split(l, ' '), w -> w <> '')),"
+        f" ws -> transform(ws, (w, j) -> {word})))"
+    )
+    return (
+        f"CAST(flatten(flatten(transform(array(split({text}, '\\n')),"
+        f" ls -> transform(ls, (l, i) -> {line_words})))) AS array<{WORD}>)"
+    )
 
 
 def gather_words(words: DataFrame, page_no: int = 1) -> DataFrame:

@@ -28,7 +28,9 @@ class Template:
     fields: dict[str, str] = field(default_factory=dict)
 
 
-# The two built-in document types.
+# The two built-in document types. The address pattern finds what
+# ``[letters]+[^\n]+`` in its place finds: the rest of the line decides nothing,
+# so it is taken possessively instead of being given back letter by letter.
 BUILTIN_TEMPLATES = [
     Template(
         name="bank_statement",
@@ -106,7 +108,7 @@ BUILTIN_TEMPLATES = [
                 content_type="metadata",
                 patterns=[
                     r"([A-Za-zäöüÄÖÜß]+\s+[A-Za-zäöüÄÖÜß]+)\s*\n",
-                    r"([A-Za-zäöüÄÖÜß]+[^\n]+)\s*\n\d{5}\s+[A-Za-zäöüÄÖÜß]+",
+                    r"([A-Za-zäöüÄÖÜß][^\n]++)\s*\n\d{5}\s+[A-Za-zäöüÄÖÜß]+",
                 ],
                 required=True,
             ),
@@ -140,7 +142,7 @@ BUILTIN_TEMPLATES = [
             "period_end": r"Zeitraum\s+Von\s+\d{2}\.\d{2}\.\d{4}\s+bis\s+(\d{2}\.\d{2}\.\d{4})",
             "statement_date": r"Datum\s+(\d{2}\.\d{2}\.\d{4})",
             "account_holder": r"([A-Za-zäöüÄÖÜß]+\s+[A-Za-zäöüÄÖÜß]+)\s*\n",
-            "address": r"([A-Za-zäöüÄÖÜß]+[^\n]+)\s*\n\d{5}\s+[A-Za-zäöüÄÖÜß]+",
+            "address": r"([A-Za-zäöüÄÖÜß][^\n]++)\s*\n\d{5}\s+[A-Za-zäöüÄÖÜß]+",
             "total_fees": r"Insgesamt\s+gezahlte\s+Entgelte\s*(-?[\d.,]+)\s*EUR",
             "total_interest_paid": r"Insgesamt\s+gezahlte\s+Zinsen\s*(-?[\d.,]+)\s*EUR",
             "total_interest_received": r"Insgesamt\s+erhaltene\s+Zinsen\s*(-?[\d.,]+)\s*EUR",
