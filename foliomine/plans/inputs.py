@@ -12,6 +12,7 @@ from foliomine.functions import files as ff
 from foliomine.operators import catalog
 from foliomine.operators.attributes import first_per_key
 from foliomine.sources import pages
+from foliomine.sources.tables import read_table
 
 EPOCH = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 DAY = 86_400
@@ -21,8 +22,12 @@ DAY = 86_400
 ORDERS_PER_STATEMENT = 1_000_000
 
 
+# Tables whose rows are texts, or become texts that are searched.
+TEXT_TABLES = {"documents", "pages", "customer", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", heavy=name in TEXT_TABLES)
 
 
 def seconds(ts: str) -> Column:
