@@ -35,6 +35,6 @@ def read_attribute_json(spark: SparkSession, path: str, scope: str) -> DataFrame
         F.lit(scope).alias("scope"),
         "key",
         _text_of("value").alias("value"),
-        _text_of("default").alias("default_value"),
+        F.when(~F.is_variant_null("default"), _text_of("default")).alias("default_value"),
         "description",
     )

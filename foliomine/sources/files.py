@@ -20,8 +20,8 @@ def read_files(
     """One file or a whole tree as ``(path, modified_at, size, content)``.
 
     ``max_size`` and ``name_glob`` are applied by the source, so the files they
-    leave out are never opened. Select without ``content`` to list only. Spark
-    skips names that start with ``.`` or ``_``.
+    leave out are never opened. Select without ``content`` to list only. Spark's
+    file source skips names that start with ``.`` or ``_``, and empty files.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if name_glob:

@@ -1,0 +1,116 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from foliomine.functions import files as ff
+from foliomine.operators import records, scan
+from foliomine.sources import files as src
+
+
+def test_extension_and_name(evaluate):
+    names = ["a.tar.gz", ".bashrc", "a.", "..a", ".a.B", "dir.d/plain", "x/Y.PDF"]
+    assert evaluate(ff.extension, *names) == [".gz", "", ".", "", ".b", "", ".pdf"]
+    assert evaluate(ff.base_name, "/a/b.txt", "c", "d/") == ["b.txt", "c", ""]
+    assert evaluate(ff.is_pdf, "x.PDF", "x.pdf.txt") == [True, False]
+
+
+def test_ignore_rule_is_plain_text_and_glob_is_not(evaluate):
+    paths = ["/a/library/x", "/a/x.pyc", "/a/.git/x", "/a/x*.pycx", "/a/b.txt", "/var/x"]
+    assert evaluate(scan.ignored, *paths) == [True, False, True, True, False, True]
+    as_glob = lambda c: scan.ignored(c, mode="glob")
+    assert evaluate(as_glob, *paths) == [False, True, True, False, False, True]
+    declared = lambda c: scan.ignored(c, scan.INDEX_IGNORE_GLOBS, "glob")
+    assert evaluate(declared, "/r/.git/config", "/r/a.pyc", "/r/__pycache__/a", "/r/a.py") == [
+        True, True, True, False,
+    ]
+
+
+def test_index_rules_and_type_gate(evaluate):
+    ok = lambda c: scan.indexable(c, F.lit(10))
+    assert evaluate(ok, "/a/x.TXT", "/a/x.exe", "/a/.git/x.txt") == [True, False, False]
+    assert evaluate(lambda c: scan.indexable(c, F.lit(scan.MAX_FILE_SIZE + 1)), "/a/x.txt") == [False]
+    assert evaluate(scan.type_error, "image/png", "text/plain", None) == [
+        None, "UNSUPPORTED_FILE_TYPE", "UNSUPPORTED_FILE_TYPE",
+    ]
+
+
+FILES = {
+    "a.txt": b"  test content\r\nline two\r \n",
+    "broken.txt": b"\xff\xfe\x00 not utf-8",
+    "page.html": b"\n<!DOCTYPE html><p>x</p>",
+    "doc.PDF": b"%PDF-1.7 ...",
+    "sub/img.png": b"\x89PNG\r\n",
+    "sub/photo.jpg": b"\xff\xd8\xff\xe0",
+    "sub/scan.tif": b"II*\x00",
+    "sub/big.txt": b"x" * 5000,
+}
+
+
+def test_type_of_nothing(spark):
+    one = spark.range(1).select(ff.mime_type(F.to_binary(F.lit(""))).alias("t")).first()
+    assert one["t"] == "inode/x-empty"
+
+
+def write(tmp_path):
+    for name, content in FILES.items():
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(content)
+    return str(tmp_path)
+
+
+def test_scan_of_a_tree(spark, tmp_path):
+    root = write(tmp_path)
+    rows = {r["name"]: r for r in src.with_identity(src.read_files(spark, root)).collect()}
+    assert set(rows) == {n.split("/")[-1] for n in FILES}
+    for name, content in FILES.items():
+        row = rows[name.split("/")[-1]]
+        assert row["path"] == f"{root}/{name}" and row["size"] == len(content)
+        assert row["checksum"] == hashlib.sha256(content).hexdigest()
+    assert {n: rows[n]["mime_type"] for n in rows} == {
+        "a.txt": "text/plain", "broken.txt": "application/octet-stream",
+        "page.html": "text/html", "doc.PDF": "application/pdf", "img.png": "image/png",
+        "photo.jpg": "image/jpeg", "scan.tif": "image/tiff", "big.txt": "text/plain",
+    }
+    flat = src.read_files(spark, root, recursive=False).select("path").collect()
+    assert len(flat) == 4
+    one = src.read_files(spark, f"{root}/a.txt").select("path").collect()
+    assert [r["path"] for r in one] == [f"{root}/a.txt"]
+
+
+def test_size_limit_and_name_glob_reach_the_source(spark, tmp_path):
+    root = write(tmp_path)
+    small = src.read_files(spark, root, max_size=1000, name_glob="*.txt")
+    assert {r["path"].split("/")[-1] for r in small.collect()} == {"a.txt", "broken.txt"}
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,1000)" in plan
+
+
+def test_text_is_decoded_or_says_why_not(spark, tmp_path):
+    root = write(tmp_path)
+    pdf = spark.createDataFrame([(f"{root}/doc.PDF", "from pdf")], "path string, text string")
+    files = src.read_files(spark, root)
+    rows = {r["path"].split("/")[-1]: r for r in src.read_text(files, pdf).collect()}
+    assert rows["a.txt"]["text"] == "test content\nline two"
+    assert rows["broken.txt"]["text"] is None
+    assert rows["broken.txt"]["error_message"] == "Failed to extract text"
+    assert rows["doc.PDF"]["text"] == "from pdf"
+    bare = {r["path"].split("/")[-1]: r for r in src.read_text(files).collect()}
+    assert bare["doc.PDF"]["error_message"] == "Failed to extract PDF text"
+
+
+def test_records_of_files(spark, tmp_path):
+    root = write(tmp_path)
+    files = src.with_identity(src.read_files(spark, root)).select("path", "modified_at", "checksum")
+    text = src.read_text(src.read_files(spark, root))
+    made = records.basic_records(
+        files.join(text, "path"), F.timestamp_seconds(F.lit(1_704_067_200)), "0.1.0"
+    )
+    out = tmp_path / "_records"
+    records.write_json(made, str(out))
+    back = {r["path"].split("/")[-1]: r["record"] for r in spark.read.json(str(out)).collect()}
+    assert len(back) == len(FILES)
+    assert back["a.txt"]["content"]["text"] == "test content\nline two"
+    failed = back["broken.txt"]["processing"]["fallback_reason"]
+    assert failed["error_type"] == "PROCESSING_ERROR"
+    assert back["a.txt"]["processing"]["method"] == "traditional"
