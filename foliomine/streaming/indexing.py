@@ -29,6 +29,11 @@ def _catalog_rows(files: DataFrame, batch_no: int) -> DataFrame:
     return catalog.catalog_rows(rows)
 
 
+def write_batch(files: DataFrame, batch_no: int, log: str) -> None:
+    """Write the catalog rows of one batch under its number."""
+    _catalog_rows(files, batch_no).write.mode("overwrite").parquet(f"{log}/batch={batch_no}")
+
+
 def index_files(
     spark: SparkSession,
     source: str,
@@ -45,14 +50,10 @@ def index_files(
         .load(source)
         .where(F.col("length") <= max_size)
     )
-    files = src.file_columns(arrivals)
-
-    def write(batch: DataFrame, batch_no: int) -> None:
-        _catalog_rows(batch, batch_no).write.mode("overwrite").parquet(f"{log}/batch={batch_no}")
-
     return (
-        files.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
+        src.file_columns(arrivals)
+        .writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda files, batch_no: write_batch(files, batch_no, log))
         .trigger(availableNow=True)
         .start()
     )
