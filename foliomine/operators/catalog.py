@@ -55,13 +55,18 @@ def public(catalog: DataFrame) -> DataFrame:
     return catalog.select(*PUBLIC_FILE_COLUMNS)
 
 
+def _once(requests: DataFrame, key: str) -> DataFrame:
+    """Each requested key once: a key asked for very often is no hot join key."""
+    return requests.select(key).distinct()
+
+
 def by_id(catalog: DataFrame, file_id: str) -> DataFrame:
     return catalog.where(F.col("file_id") == file_id)
 
 
 def by_ids(catalog: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of many ids at once."""
-    return catalog.join(ids, "file_id", "left_semi")
+    """Rows of many ids at once; an id may be asked for any number of times."""
+    return catalog.join(_once(ids, "file_id"), "file_id", "left_semi")
 
 
 def first_per_checksum(catalog: DataFrame) -> DataFrame:
@@ -86,13 +91,13 @@ def by_checksums(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     below Spark's broadcast threshold is pushed under that aggregate by the
     optimizer; a larger one joins on the key the aggregate has shuffled by.
     """
-    return first_per_checksum(catalog).join(requests, "checksum", "left_semi")
+    wanted = _once(requests, "checksum")
+    return first_per_checksum(catalog).join(wanted, "checksum", "left_semi")
 
 
 def missing_checksums(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """Requested checksums that no file has."""
-    wanted = requests.select("checksum").distinct()
-    return wanted.join(catalog.select("checksum").distinct(), "checksum", "left_anti")
+    return _once(requests, "checksum").join(_once(catalog, "checksum"), "checksum", "left_anti")
 
 
 def _contains_pattern(query: str) -> str:
@@ -145,12 +150,12 @@ def statistics(catalog: DataFrame) -> DataFrame:
 
 
 def delete(catalog: DataFrame, ids: DataFrame) -> DataFrame:
-    return catalog.join(ids, "file_id", "left_anti")
+    return catalog.join(_once(ids, "file_id"), "file_id", "left_anti")
 
 
 def unknown_ids(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     """Ids asked to be deleted that the catalog does not have."""
-    return ids.select("file_id").distinct().join(catalog, "file_id", "left_anti")
+    return _once(ids, "file_id").join(catalog, "file_id", "left_anti")
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:

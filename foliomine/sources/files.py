@@ -1,5 +1,7 @@
 """Files read as rows."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliomine.functions import files as ff
@@ -16,11 +18,13 @@ def read_files(
     recursive: bool = True,
     name_glob: str | None = None,
     max_size: int | None = None,
+    skip: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """One file or a whole tree as ``(path, modified_at, size, content)``.
 
-    ``max_size`` and ``name_glob`` are applied by the source, so the files they
-    leave out are never opened. Select without ``content`` to list only. Spark's
+    ``max_size``, ``name_glob`` and ``skip`` (a test of the path, such as
+    :func:`foliomine.operators.scan.ignored`) are applied by the source, so the
+    files they leave out are never opened. Select without ``content`` to list only. Spark's
     file source skips names that start with ``.`` or ``_``, and empty files.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
@@ -29,12 +33,20 @@ def read_files(
     files = reader.load(path)
     if max_size is not None:
         files = files.where(F.col("length") <= max_size)
+    if skip is not None:
+        # A filter on the path column is run after the file has been read; one
+        # on its metadata is run on the listing.
+        files = files.where(~skip(local_path("_metadata.file_path")))
     return file_columns(files)
 
 
+def local_path(column: str) -> Column:
+    return F.regexp_replace(column, "^file:/*", "/")
+
+
 def file_columns(files: DataFrame) -> DataFrame:
     return files.select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path"),
+        local_path("path").alias("path"),
         F.col("modificationTime").alias("modified_at"),
         F.col("length").alias("size"),
         "content",

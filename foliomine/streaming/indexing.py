@@ -49,6 +49,7 @@ def index_files(
         .option("maxFilesPerTrigger", files_per_batch)
         .load(source)
         .where(F.col("length") <= max_size)
+        .where(~scan.ignored(src.local_path("_metadata.file_path")))
     )
     return (
         src.file_columns(arrivals)

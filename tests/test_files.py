@@ -86,6 +86,20 @@ def test_size_limit_and_name_glob_reach_the_source(spark, tmp_path):
     assert "LessThanOrEqual(length,1000)" in plan
 
 
+def test_ignored_files_are_not_opened(spark, tmp_path):
+    root = write(tmp_path)
+    (tmp_path / "build").mkdir()
+    (tmp_path / "build" / "a b.txt").write_text("x")
+    (tmp_path / "sub" / "a b.txt").write_text("y")
+    under_root = lambda path: scan.ignored(F.replace(path, F.lit(root)))
+    kept = src.read_files(spark, root, skip=under_root)
+    names = sorted(r["path"].removeprefix(root + "/") for r in kept.collect())
+    assert names == sorted([*FILES, "sub/a b.txt"])
+    plan = kept._jdf.queryExecution().executedPlan()
+    metrics = plan.collectLeaves().apply(0).metrics()
+    assert metrics.apply("numFiles").value() == len(FILES) + 1
+
+
 def test_text_is_decoded_or_says_why_not(spark, tmp_path):
     root = write(tmp_path)
     pdf = spark.createDataFrame([(f"{root}/doc.PDF", "from pdf")], "path string, text string")
