@@ -13,6 +13,9 @@ from foliomine.schema import CATALOG, PUBLIC_FILE_COLUMNS
 
 KEY = ["checksum", "path"]
 
+# A checksum is 64 bytes: at most some 7 MB are broadcast.
+MAX_BROADCAST_CHECKSUMS = 100_000
+
 
 def catalog_rows(files: DataFrame) -> DataFrame:
     """Catalog rows of ``files(checksum, name, size, path, mime_type, created_at,
@@ -84,14 +87,20 @@ def by_checksum(catalog: DataFrame, checksum: str) -> DataFrame:
     return first_per_checksum(catalog.where(F.col("checksum") == checksum))
 
 
-def by_checksums(catalog: DataFrame, requests: DataFrame) -> DataFrame:
+def by_checksums(
+    catalog: DataFrame, requests: DataFrame, max_broadcast: int = MAX_BROADCAST_CHECKSUMS
+) -> DataFrame:
     """First row of every requested content.
 
-    Copies of one content are reduced before they are shuffled. A request table
-    below Spark's broadcast threshold is pushed under that aggregate by the
-    optimizer; a larger one joins on the key the aggregate has shuffled by.
+    Requests of at most ``max_broadcast`` rows (counted, with a limit) are
+    broadcast and filter the catalog before anything is shuffled. Beyond that,
+    the copies of each content are first reduced to one row, before their
+    shuffle, and the requests then join on the key that shuffle has used.
     """
     wanted = _once(requests, "checksum")
+    if requests.limit(max_broadcast + 1).count() <= max_broadcast:
+        found = catalog.join(F.broadcast(wanted), "checksum", "left_semi")
+        return first_per_checksum(found)
     return first_per_checksum(catalog).join(wanted, "checksum", "left_semi")
 
 

@@ -11,7 +11,6 @@ from foliomine.functions import entities as en
 from foliomine.functions.categories import CATEGORY_KEYWORDS
 from foliomine.functions.text import WHITESPACE
 from foliomine.operators import language, replies, scan
-from foliomine.operators.statements import BALANCES
 from foliomine.plans.inputs import DAY, EPOCH, ORDERS_PER_STATEMENT
 from foliomine.sources.pages import LINES_PER_PAGE
 from foliomine.sources.templates import BUILTIN_TEMPLATES

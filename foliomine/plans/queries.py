@@ -19,7 +19,7 @@ from foliomine.operators import (
     templates as tp,
 )
 from foliomine.plans import inputs as src
-from foliomine.sources import pages as pg
+from foliomine.sources import files as fs, pages as pg
 
 QUERIES = {}
 
@@ -136,6 +136,13 @@ def mime_sniff(spark: SparkSession, sf: str) -> DataFrame:
     return files.select("path", ff.mime_type(F.encode("text", "UTF-8")).alias("mime_type"))
 
 
+@query
+def file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of the tables themselves, read as bytes."""
+    files = fs.read_files(spark, sf, max_size=sc.MAX_FILE_SIZE)
+    return fs.with_identity(files).select("name", "size", "checksum", "mime_type")
+
+
 # --- pages and entities ----------------------------------------------------
 
 

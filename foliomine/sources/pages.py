@@ -30,7 +30,8 @@ def join_pages(pages: DataFrame, skip_empty: bool = False) -> DataFrame:
     """``(doc_id, text)``: the pages of each document in order.
 
     By default every page ends with a newline and the whole is trimmed. With
-    ``skip_empty`` the non-empty pages are set apart by a blank line.
+    ``skip_empty`` the non-empty pages are set apart by a blank line. The text
+    of a document is one value, so a document has to fit a row.
     """
     ordered = F.transform(
         F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]
@@ -64,7 +65,8 @@ def gather_words(words: DataFrame, page_no: int = 1) -> DataFrame:
     """Word rows to ``(doc_id, words)`` of one page, in reading order.
 
     Rows of other pages are dropped before the shuffle, and each word is moved
-    once however many zones it falls into.
+    once however many zones it falls into. A group is one page of one document,
+    which is one value of every zone operator.
     """
     fields = ["line_no", "word_no", "text", "x0", "top", "x1", "bottom"]
     return (

@@ -95,6 +95,16 @@ def test_export_and_delete(spark, make, tmp_path):
     assert keys(ca.by_ids(files, ids), "path") == [("a",)]
 
 
+def test_few_and_many_requests_find_the_same(spark, make):
+    files = make(*[entry(f"c{i % 50}", f"p{i}", 1000 - i) for i in range(500)])
+    wanted = spark.createDataFrame([(f"c{i % 70}",) for i in range(300)], "checksum string")
+    few, many = ca.by_checksums(files, wanted), ca.by_checksums(files, wanted, max_broadcast=10)
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(few)
+    assert keys(few, "checksum", "path") == keys(many, "checksum", "path")
+    assert keys(many, "checksum", "path") == sorted((f"c{i}", f"p{i + 450}") for i in range(50))
+
+
 def test_written_catalog_reads_back_and_pushes_the_checksum_filter(spark, make, tmp_path):
     path = str(tmp_path / "catalog")
     ca.write_catalog(make(entry("c1", "a", 2), entry("c2", "b", 1)), path)

@@ -1,8 +1,6 @@
 import re
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from foliomine.operators import language as la
 
 

@@ -1,10 +1,12 @@
 import datetime
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliomine.functions import categories, entities as en, text as tx
 from foliomine.functions.text import WHITESPACE
+from foliomine.sources.keywords import keywords_from
 
 
 def test_whitespace_is_what_python_strips(evaluate):
@@ -74,5 +76,16 @@ def test_categories_follow_their_order(evaluate):
     assert evaluate(lambda c: categories.category(c, own), "Kaffee (Bar)", "Miete") == ["drinks", "other"]
 
 
+def test_keywords_from_a_table(spark, evaluate):
+    table = spark.createDataFrame(
+        [("b", 2, "Tee"), ("a", 1, "x"), ("b", 2, "Kaffee")], "category string, priority int, keyword string"
+    )
+    own = keywords_from(table)
+    assert own == {"a": ["x"], "b": ["kaffee", "tee"]} and list(own) == ["a", "b"]
+    assert evaluate(lambda c: categories.category(c, own), "TEE x", "tee", "") == ["a", "b", "other"]
+    with pytest.raises(ValueError):
+        keywords_from(table, max_keywords=2)
+
+
 def test_let_names_a_value(evaluate):
     assert evaluate(lambda c: tx.let(F.length(c), lambda n: n * n), "abc") == [9]
