@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliomine.functions import entities as en
 from foliomine.operators import pairs, replies as rp, statements, tables as tb, templates as tp
-from foliomine.schema import FALLBACK, STATEMENT_DETAILS, TABLE, TRANSACTION
+from foliomine.schema import AI_REPLY, FALLBACK, STATEMENT_DETAILS, TABLE, TRANSACTION
 from foliomine.sources.templates import BUILTIN_TEMPLATES, Template
 
 # Fixed values of the processing column.
@@ -14,6 +14,12 @@ NO_TEXT = "No text content available"
 UNKNOWN = "unknown"
 BANK_STATEMENT = "bank_statement"
 
+REPLY_FIELDS = [
+    "document_type", "metadata", "text", "key_value_pairs",
+    "people", "organizations", "dates", "amounts",
+]
+_REPLY = AI_REPLY.replace("struct<", "struct<error:string,", 1)
+
 
 def extract(
     documents: DataFrame, templates: list[Template] = BUILTIN_TEMPLATES, words: str = "words"
@@ -75,45 +81,35 @@ def _reply_or(ai_value: Column, is_empty: Column, other: Column) -> Column:
     return F.when(F.col("_ai") & ~is_empty, ai_value).otherwise(other)
 
 
-def assemble(
-    extracted: DataFrame,
-    processed_at: Column,
-    version: str,
-    normalised_replies: DataFrame | None = None,
-) -> DataFrame:
-    """``(doc_id, record)``. Replies are joined by document; at most one each.
+def with_replies(documents: DataFrame, normalised_replies: DataFrame) -> DataFrame:
+    """Add ``reply``, at most one per document, NULL where there is none.
+
+    Joined before :func:`extract`, the shuffle moves a document's text once and
+    nothing that is extracted from it.
+    """
+    reply = F.struct("error", *REPLY_FIELDS).alias("reply")
+    return documents.join(normalised_replies.select("doc_id", reply), "doc_id", "left")
+
+
+def assemble(extracted: DataFrame, processed_at: Column, version: str) -> DataFrame:
+    """``(doc_id, record)`` from extracted documents, with or without ``reply``.
 
     Where a reply can be used, its fields replace the extracted ones it fills.
     Where it cannot, the record says why and keeps what was extracted. The time
     is a parameter, so a rerun writes the same records.
     """
-    if normalised_replies is None:
-        joined = extracted.select("*", F.lit(None).cast("string").alias("_error")).select(
-            "*", F.lit(False).alias("_replied"), F.lit(False).alias("_ai")
-        )
-        reply = {
-            "document_type": F.lit(None).cast("string"),
-            "metadata": _no_pairs(),
-            "text": F.lit(""),
-            "key_value_pairs": _no_pairs(),
-            **{n: en.empty_strings() for n in ("people", "organizations", "dates", "amounts")},
-        }
-    else:
-        names = ["document_type", "metadata", "text", "key_value_pairs", "people", "organizations", "dates", "amounts"]
-        side = normalised_replies.select(
-            "doc_id", F.col("error").alias("_error"), F.lit(True).alias("_replied"),
-            F.struct(*names).alias("_reply"),
-        )
-        joined = extracted.join(side, "doc_id", "left").withColumn(
-            "_replied", F.coalesce("_replied", F.lit(False)) & (F.col("text") != "")
-        )
-        joined = joined.withColumn("_ai", F.col("_replied") & F.col("_error").isNull())
-        reply = {n: F.col(f"_reply.{n}") for n in names}
+    if "reply" not in extracted.columns:
+        extracted = extracted.withColumn("reply", F.lit(None).cast(_REPLY))
+    replied = F.col("reply").isNotNull() & (F.col("text") != "")
+    joined = extracted.withColumn("_replied", F.coalesce(replied, F.lit(False))).withColumn(
+        "_ai", F.col("_replied") & F.col("reply.error").isNull()
+    )
+    reply = {name: F.col(f"reply.{name}") for name in REPLY_FIELDS}
 
     def names_found(name: str) -> Column:
         return _reply_or(reply[name], F.size(reply[name]) == 0, F.col(f"entities.{name}")).alias(name)
 
-    failed = F.col("_replied") & F.col("_error").isNotNull()
+    failed = F.col("_replied") & F.col("reply.error").isNotNull()
     purpose = F.coalesce(F.try_element_at(reply["metadata"], F.lit("purpose")), F.lit(""))
     record = F.struct(
         F.struct(
@@ -162,7 +158,7 @@ def assemble(
                 failed,
                 F.struct(
                     F.lit(rp.REPLY_ERROR).alias("error_type"),
-                    F.col("_error").alias("error_message"),
+                    F.col("reply.error").alias("error_message"),
                     F.lit(rp.HINT_REPLY).alias("resolution_hint"),
                 ),
             )

@@ -473,8 +473,9 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 def records_of(spark: SparkSession, sf: str) -> DataFrame:
     replies = rp.normalise(src.document_replies(spark, sf))
     when = F.timestamp_seconds(F.lit(src.EPOCH + src.DAY))
-    extracted = re.extract(_documents(spark, sf), words=pg.words_from_text("page_text"))
-    return re.assemble(extracted, when, "0.1.0", replies)
+    documents = re.with_replies(_documents(spark, sf), replies)
+    extracted = re.extract(documents, words=pg.words_from_text("page_text"))
+    return re.assemble(extracted, when, "0.1.0")
 
 
 @query

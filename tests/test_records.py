@@ -80,17 +80,16 @@ STATEMENT = "Girokonto Nummer 7\nKontoauszug Januar 2024\nAlter Saldo 1,00 Euro\
 
 
 @pytest.fixture
-def extracted(texts):
+def documents(texts):
     docs = texts("plain 2024-01-02", "bad $5", "list", "empty reply", "amount $7", STATEMENT, "")
-    docs = inputs.with_layout(docs).select(
+    return inputs.with_layout(docs).select(
         "*", F.lit("p").alias("path"), F.sha2("text", 256).alias("checksum"), now().alias("modified_at"),
         F.array(F.array(F.array(F.lit("h")), F.array(F.lit("v")))).alias("tables"),
     )
-    return re.extract(docs)
 
-
-def test_cascade(extracted, replies):
-    rows = {r["doc_id"]: r["record"] for r in re.assemble(extracted, now(), "1", replies).collect()}
+def test_cascade(documents, replies):
+    extracted = re.extract(re.with_replies(documents, replies))
+    rows = {r["doc_id"]: r["record"] for r in re.assemble(extracted, now(), "1").collect()}
     assert len(rows) == 7
     ai = rows[0]
     assert ai["processing"]["method"] == "ai" and ai["doc_info"]["type"] == "invoice"
@@ -114,9 +113,9 @@ def test_cascade(extracted, replies):
     assert rows[6]["processing"]["reason"] == "No text content available"
 
 
-def test_records_without_replies_write_as_json(spark, extracted, tmp_path):
+def test_records_without_replies_write_as_json(spark, documents, tmp_path):
     out = str(tmp_path / "records")
-    re.write_json(re.assemble(extracted, now(), "1"), out)
+    re.write_json(re.assemble(re.extract(documents), now(), "1"), out)
     back = {r["doc_id"]: r["record"] for r in spark.read.json(out).collect()}
     assert len(back) == 7 and back[0]["processing"]["method"] == "traditional"
     assert back[0]["processing"]["branch"] == "basic" and back[0]["doc_info"]["type"] == "unknown"
