@@ -1,7 +1,5 @@
 """Patterns, trimming, and German amounts and dates."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 # Every character Python's str.strip() removes.
@@ -22,11 +20,6 @@ def pattern(regex: str, ignore_case: bool = False, multiline: bool = False) -> s
     return f"(?{flags}){regex}"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

@@ -21,7 +21,6 @@ DAY = 86_400
 # statement has a bounded number of lines whatever the customer's share.
 ORDERS_PER_STATEMENT = 1_000_000
 
-
 # Tables whose rows are texts, or become texts that are searched.
 TEXT_TABLES = {"documents", "pages", "customer", "conversations"}
 
@@ -30,10 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet", heavy=name in TEXT_TABLES)
 
 
-def seconds(ts: str) -> Column:
-    return F.unix_seconds(ts).alias("created_s")
-
-
 # --- files -----------------------------------------------------------------
 
 

@@ -2,7 +2,6 @@ import datetime
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from foliomine.functions import categories, entities as en, text as tx
 from foliomine.functions.text import WHITESPACE
@@ -85,7 +84,3 @@ def test_keywords_from_a_table(spark, evaluate):
     assert evaluate(lambda c: categories.category(c, own), "TEE x", "tee", "") == ["a", "b", "other"]
     with pytest.raises(ValueError):
         keywords_from(table, max_keywords=2)
-
-
-def test_let_names_a_value(evaluate):
-    assert evaluate(lambda c: tx.let(F.length(c), lambda n: n * n), "abc") == [9]
