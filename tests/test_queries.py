@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from foliomine.plans.oracle import ORACLES
+from foliomine.plans.queries import QUERIES
 from oracle_check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +24,9 @@ def db():
 
 def test_every_query_has_a_twin():
     """The scan of the tables' files has none: SQL sees their rows, not their bytes."""
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"file_scan"}
+    assert set(QUERIES) - set(ORACLES) == {"file_scan"}
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -39,7 +43,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 1500
 
 
-@pytest.mark.parametrize("name", list(entry.oracle_sql()))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, db, name):
     frame = entry.queries()[name](spark, SF)
     result = db.execute(entry.oracle_sql()[name])
