@@ -1,0 +1,3 @@
+"""DuckDB SQL of the operators' queries, where SQL can express them."""
+
+ORACLES = {}
