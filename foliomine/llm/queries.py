@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomine.llm import near_duplicates
+from foliomine.llm import near_duplicates, quality, repetition
 
 QUERIES = {}
 
@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op4_repetition(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.check_repetition(table(spark, sf, "documents"))
+
+
+@query
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.link_documents(table(spark, sf, "documents"), n=3, percent=85)
