@@ -2,7 +2,13 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomine.llm import near_duplicates, quality, repetition
+from foliomine.llm import (
+    language_trees,
+    near_duplicates,
+    personal_data,
+    quality,
+    repetition,
+)
 
 QUERIES = {}
 
@@ -26,6 +32,16 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language_trees.identify(table(spark, sf, "documents"))
+
+
 @query
 def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.link_documents(table(spark, sf, "documents"), n=3, percent=85)
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data.digest(personal_data.find_personal_data(table(spark, sf, "documents")))
