@@ -184,12 +184,12 @@ def digest(found: DataFrame) -> DataFrame:
             F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
         )
 
+    def count_of(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [
-        F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-        for k in KINDS
-    ]
+    counts = [count_of(k) for k in KINDS]
     return found.select(
         "doc_id",
         *counts,
