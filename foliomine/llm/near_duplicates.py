@@ -158,7 +158,7 @@ def _links_in_block(n: int, percent: int):
 def _links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` inside the blocks of ``members(block, part, other, query, node)``."""
     keys = ["block", "part", "other"]
-    rows = members.join(texts, "node")
+    rows = members.hint("merge").join(texts, "node")
     run = _links_in_block(n, percent)
     return rows.groupBy(*keys).applyInPandas(run, "a long, b long")
 
@@ -217,7 +217,12 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         .distinct(),
         "stars",
     )
-    texts = source.withColumnRenamed("doc_id", "node")
+    # The texts of candidates are dealt out by node once; both confirmations read
+    # them. The hint keeps to one plan at every size: a list of candidates grows with
+    # the documents and is no broadcast.
+    nodes = stars.select("centre").union(stars.select("node")).toDF("node").distinct()
+    texts = source.withColumnRenamed("doc_id", "node").hint("merge").join(nodes, "node")
+    texts = materialise(texts, "texts")
 
     near = stars.where("near")
     per_centre = near.groupBy("centre").agg(F.count("*").alias("size"))
