@@ -9,6 +9,7 @@ from foliomine.llm import (
     personal_data,
     quality,
     repetition,
+    sharding,
 )
 
 QUERIES = {}
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf, "documents"), n_shards=40)
+
+
 @query
 def op4_repetition(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.check_repetition(table(spark, sf, "documents"))
