@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliomine.llm import (
     chat_format,
     language_trees,
+    main_content,
     near_duplicates,
     personal_data,
     quality,
@@ -39,6 +40,11 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op6_main_content(spark: SparkSession, sf: str) -> DataFrame:
+    return main_content.extract_pages(table(spark, sf, "pages"))
+
+
 @query
 def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return language_trees.identify(table(spark, sf, "documents"))
