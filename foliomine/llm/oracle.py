@@ -23,3 +23,23 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
     sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM said
 """
+
+ORACLES["op2_decontamination"] = r"""
+WITH texts AS (
+    SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL
+    UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE item_id IS NOT NULL
+), split AS (
+    SELECT kind, id,
+        list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
+    FROM texts
+), shingles AS (
+    SELECT DISTINCT kind, id,
+        unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) AS s
+    FROM split WHERE len(words) >= 5
+), items AS (
+    SELECT id, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE kind = 'i'
+)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(n_item) AS n_item, count(*) AS n_common
+FROM shingles d JOIN items i USING (s) WHERE d.kind = 'd'
+GROUP BY ALL HAVING 100 * count(*) >= 80 * any_value(n_item)
+"""

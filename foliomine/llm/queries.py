@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliomine.llm import (
     chat_format,
+    decontamination,
     language_trees,
     main_content,
     near_duplicates,
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"), n_shards=40)
