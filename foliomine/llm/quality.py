@@ -155,3 +155,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
+
+
+def keep_quality(
+    docs: DataFrame, labels: DataFrame, least: float = 0.3, settings: Settings = Settings()
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``least`` or more under a model of
+    the labelled documents that are not held out."""
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = with_score(docs, fit(docs, labels.where(~held_out), settings), "_quality_score")
+    return scored.where(F.col("_quality_score") >= least).select(*docs.columns)

@@ -2,11 +2,13 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from foliomine.llm import (
     chat_format,
     decontamination,
     language_trees,
     main_content,
+    mixing,
     near_duplicates,
     personal_data,
     quality,
@@ -26,6 +28,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -73,3 +80,8 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data.digest(personal_data.find_personal_data(table(spark, sf, "documents")))
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
