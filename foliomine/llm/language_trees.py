@@ -55,8 +55,9 @@ class Model:
         n_lang = len(languages)
         known = [np.unique(np.concatenate([grams[g, s][0] for g in languages])) for s in range(1, DEPTH + 2)]
         self.symbols = np.zeros(256, dtype=np.int64)  # 0: a byte that training never saw
-        self.symbols[known[0]] = np.arange(1, len(known[0]) + 1)
-        width = len(known[0]) + 1
+        alphabet = np.union1d(known[0], list(_START))
+        self.symbols[alphabet] = np.arange(1, len(alphabet) + 1)
+        width = len(alphabet) + 1
         self.width = width
         # The root: order 0, escaping to a uniform byte.
         lower = np.zeros((1, width, n_lang))

@@ -1,0 +1,41 @@
+import numpy as np
+
+from foliomine.llm import quality as q
+
+
+def test_held_out_accuracy(table):
+    docs, labels = table("documents", "sf0.1"), table("labels", "sf0.1")
+    rows = q.score_quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    right = sum((r["predicted"] == r["quality"]) for r in rows) / len(rows)
+    good = [r for r in rows if r["quality"] == 1]
+    assert len(rows) > 500 and right > 0.97
+    assert sum(r["predicted"] for r in good) >= 0.99 * len(good)
+
+
+def test_label_columns_are_no_features(table):
+    docs, labels = table("documents"), table("labels")
+    plain = q.score_quality(docs, labels)
+    renamed = docs.selectExpr("doc_id", "text", "'xx' AS lang", "'other' AS source", "n_chars")
+    assert sorted(plain.collect()) == sorted(q.score_quality(renamed, labels).collect())
+
+
+def test_training_separates_and_is_repeatable():
+    s = q.Settings(bits=10, epochs=3)
+    texts = [("good plain words here " * 3, 1), ("### $$$ %%% ###", 0)] * 20
+    examples = [(*q.features(t, s.bits), y) for t, y in texts]
+    w = q.train(examples, s)
+    assert np.array_equal(w, q.train(examples, s))
+    assert q.score(w, *q.features("plain words", s.bits)) > 0.5 > q.score(w, *q.features("$$$ ###", s.bits))
+    assert len(q.features(None, 10)[0]) == len(q.features("  \n", 10)[0]) == 0
+    assert not q.train([], s).any()
+
+
+def test_odd_rows(spark, documents, none):
+    labels = spark.createDataFrame([(3, 1, 0), (None, 1, 0), (20, None, 0), (21, 0, 1), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    got = q.score_quality(documents, labels).collect()
+    assert len(got) == documents.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert not [r for r in got if r["doc_id"] is None and r["held_out"]]
+    assert q.score_quality(none, labels).count() == 0
+    assert {r["score"] for r in q.score_quality(documents, labels.where("false")).collect()} == {0.5}
+    kept = q.keep_quality(documents, labels.where("false"))
+    assert kept.columns == documents.columns and kept.count() == documents.count()
