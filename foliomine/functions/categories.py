@@ -22,13 +22,17 @@ CATEGORY_KEYWORDS = {
 }
 
 
-def category(description: Column, keywords: dict[str, list[str]] = CATEGORY_KEYWORDS) -> Column:
-    """First category with a keyword inside the description, else ``other``.
+def category(
+    description: Column,
+    keywords: dict[str, list[str]] | list[tuple[str, list[str]]] = CATEGORY_KEYWORDS,
+) -> Column:
+    """First category with a keyword inside the description, else ``other``. A category
+    may come several times in a list of keyword lists.
 
     A CASE over keyword tests: no join, no copy of the row per keyword.
     """
     lowered = F.lower(description)
-    cases = F
-    for name, words in keywords.items():
+    cases = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, words in keywords.items() if isinstance(keywords, dict) else keywords:
         cases = cases.when(lowered.rlike("|".join(re.escape(w) for w in words)), name)
     return cases.otherwise("other")

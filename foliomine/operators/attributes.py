@@ -1,8 +1,10 @@
 """Attributes: keyed values with defaults, ``(scope, key)`` unique.
 
 Changes arrive as batches. A batch may name one key any number of times, so it
-is first reduced to one row per key by an aggregate, and only unique keys are
-joined. No side is broadcast by hint; Spark does so where its size allows.
+is first reduced to one row per key by an aggregate before it is joined. Where every
+row of a batch needs an answer, the batch is salted and the unique side copied per
+salt, so a key that holds a third of all rows is spread over ``SALTS`` tasks. No side
+is broadcast by hint; Spark does so where its size allows.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +13,14 @@ from foliomine.functions import values
 from foliomine.schema import ATTRIBUTE_KEY, ATTRIBUTES
 
 _COLUMNS = ATTRIBUTES.fieldNames()
+SALTS = 16
+
+
+def _join_salted(rows: DataFrame, unique: DataFrame) -> DataFrame:
+    """Left join of a batch with one row per key."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
+    copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", salt).join(copies, [*ATTRIBUTE_KEY, "_salt"], "left").drop("_salt")
 
 
 def _one_per_key(changes: DataFrame, pick) -> DataFrame:
@@ -41,8 +51,7 @@ def insert(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFram
     new = first.join(current, ATTRIBUTE_KEY, "left_anti")
     accepted = new.select(*ATTRIBUTE_KEY, F.col("seq").alias("_accepted"))
     rejected = (
-        incoming.select(*ATTRIBUTE_KEY, "seq")
-        .join(accepted, ATTRIBUTE_KEY, "left")
+        _join_salted(incoming.select(*ATTRIBUTE_KEY, "seq"), accepted)
         .where(~F.col("seq").eqNullSafe(F.col("_accepted")))
         .select(*ATTRIBUTE_KEY, "seq", F.lit("exists").alias("reason"))
     )
@@ -113,9 +122,7 @@ def get(current: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     caller's default. Returns answers with ``raw`` and its decoded ``value``,
     and the requests that have neither."""
     stored = current.select(*ATTRIBUTE_KEY, F.col("value").alias("_stored"))
-    answered = requests.join(stored, ATTRIBUTE_KEY, "left").withColumn(
-        "raw", F.coalesce("_stored", "default")
-    )
+    answered = _join_salted(requests, stored).withColumn("raw", F.coalesce("_stored", "default"))
     found = answered.where(F.col("raw").isNotNull()).select(
         *requests.columns,
         "raw",
@@ -144,12 +151,25 @@ def masked(current: DataFrame, is_secret: Column) -> DataFrame:
 
 
 def validated_keys(changes: DataFrame, is_api_key: Column) -> tuple[DataFrame, DataFrame]:
-    """Split changes into those to store and API keys of a wrong form."""
-    wrong = is_api_key & ~values.is_api_key(F.col("value"))
+    """Split changes into those to store and API keys of a wrong form, NULL included."""
+    wrong = F.coalesce(is_api_key, F.lit(False)) & ~F.coalesce(
+        values.is_api_key(F.col("value")), F.lit(False)
+    )
     rejected = changes.where(wrong).select(*ATTRIBUTE_KEY, F.lit("invalid format").alias("reason"))
     return changes.where(~wrong), rejected
 
 
 def export_json(current: DataFrame, path: str) -> None:
-    """One JSON object per line: scope, key, value, default, description."""
-    listing(current).write.mode("overwrite").json(path)
+    """One JSON object per line: scope, key, decoded value and default, description, and
+    the stored texts, from which
+    :func:`foliomine.sources.attributes.read_attribute_lines` reads the same table back."""
+    value, default = values.decode_pair(F.col("value"), F.col("default_value"))
+    rows = current.select(
+        *ATTRIBUTE_KEY,
+        value.alias("value"),
+        default.alias("default"),
+        "description",
+        F.col("value").alias("stored"),
+        F.col("default_value").alias("stored_default"),
+    )
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)

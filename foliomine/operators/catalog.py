@@ -6,6 +6,8 @@ always reduced by an aggregate, which combines before its shuffle, never by a
 window over the key.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliomine.functions import files as ff
@@ -13,9 +15,6 @@ from foliomine.schema import CATALOG, PUBLIC_FILE_COLUMNS
 
 KEY = ["checksum", "path"]
 
-# A checksum is 64 bytes: at most some 7 MB are broadcast.
-MAX_BROADCAST_CHECKSUMS = 100_000
-
 
 def catalog_rows(files: DataFrame) -> DataFrame:
     """Catalog rows of ``files(checksum, name, size, path, mime_type, created_at,
@@ -24,14 +23,10 @@ def catalog_rows(files: DataFrame) -> DataFrame:
     return identified.select(*[F.col(f.name).cast(f.dataType) for f in CATALOG])
 
 
-def distinct_files(files: DataFrame) -> DataFrame:
-    """One row per key, for a batch whose rows of one key are alike."""
-    return files.dropDuplicates(KEY)
-
-
 def _newest(catalog: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in catalog.columns if c not in keys]
-    newest = F.max(F.struct("created_at", "batch_no", *[c for c in rest if c not in ("created_at", "batch_no")]))
+    # The batch comes first: a file restored with an old time is still the newest.
+    newest = F.max(F.struct("batch_no", "created_at", *[c for c in rest if c not in ("created_at", "batch_no")]))
     return (
         catalog.groupBy(*keys)
         .agg(newest.alias("row"))
@@ -49,6 +44,11 @@ def newest_per_key(changes: DataFrame) -> DataFrame:
     return _newest(changes, KEY)
 
 
+def distinct_files(files: DataFrame) -> DataFrame:
+    """One row per key of a batch, the newest."""
+    return _newest(files, KEY)
+
+
 def latest_by_path(catalog: DataFrame) -> DataFrame:
     """The newest content of each path; older contents are left out."""
     return _newest(catalog, ["path"])
@@ -87,21 +87,14 @@ def by_checksum(catalog: DataFrame, checksum: str) -> DataFrame:
     return first_per_checksum(catalog.where(F.col("checksum") == checksum))
 
 
-def by_checksums(
-    catalog: DataFrame, requests: DataFrame, max_broadcast: int = MAX_BROADCAST_CHECKSUMS
-) -> DataFrame:
+def by_checksums(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """First row of every requested content.
 
-    Requests of at most ``max_broadcast`` rows (counted, with a limit) are
-    broadcast and filter the catalog before anything is shuffled. Beyond that,
-    the copies of each content are first reduced to one row, before their
-    shuffle, and the requests then join on the key that shuffle has used.
+    The requests, each once, filter the catalog before its rows are reduced to one
+    per content; Spark broadcasts them where its size check allows.
     """
-    wanted = _once(requests, "checksum")
-    if requests.limit(max_broadcast + 1).count() <= max_broadcast:
-        found = catalog.join(F.broadcast(wanted), "checksum", "left_semi")
-        return first_per_checksum(found)
-    return first_per_checksum(catalog).join(wanted, "checksum", "left_semi")
+    found = catalog.join(_once(requests, "checksum"), "checksum", "left_semi")
+    return first_per_checksum(found)
 
 
 def missing_checksums(catalog: DataFrame, requests: DataFrame) -> DataFrame:
@@ -114,9 +107,16 @@ def _contains_pattern(query: str) -> str:
     return "%" + query.replace("\\", "\\\\") + "%"
 
 
+def _hit_pattern(query: str) -> str:
+    """What one hit of the query is in a text, wildcards included."""
+    parts = {"%": ".*?", "_": "."}
+    return "(?isu)" + "".join(parts.get(c) or re.escape(c) for c in query)
+
+
 def matches_name_or_path(query: str) -> Column:
-    like = _contains_pattern(query)
-    return F.col("name").ilike(like) | F.col("path").ilike(like)
+    """The name is the end of the path, so the path alone decides. It is a key of the
+    catalog, so the test goes below the catalog's aggregate."""
+    return F.col("path").ilike(_contains_pattern(query))
 
 
 def newest_first(catalog: DataFrame) -> DataFrame:
@@ -134,13 +134,12 @@ def search_content(
     """Search in name, path and text, best hit first.
 
     A hit in the name ranks above one in the path above one in the text only;
-    within a rank more hits in the text come first.
+    within a rank more hits in the text come first. An empty query finds every file,
+    with no hits.
     """
     like = _contains_pattern(query)
     in_name, in_path, in_text = (F.col(c).ilike(like) for c in ("name", "path", text))
-    needle = F.lower(F.lit(query))
-    lowered = F.lower(text)
-    hits = (F.length(lowered) - F.length(F.replace(lowered, needle))) / F.length(needle)
+    hits = F.regexp_count(text, F.lit(_hit_pattern(query))) if query.strip("%") else F.lit(0)
     ranked = (
         catalog.where(in_name | in_path | in_text)
         .withColumn("rank", F.when(in_name, 3).when(in_path, 2).otherwise(1))
@@ -177,7 +176,25 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
     )
 
 
-def export(catalog: DataFrame, requests: DataFrame, path: str) -> DataFrame:
+def contents(
+    catalog: DataFrame, requests: DataFrame, stored: DataFrame, content: str = "content"
+) -> DataFrame:
+    """``(checksum, path, content)`` of every requested content, once, from
+    ``stored(path, content)``: the files themselves or a table of their texts.
+
+    Paths are looked up first, so only the contents asked for are moved. A path of
+    several contents, as in a table of texts, is told apart by its checksum.
+    """
+    found = by_checksums(catalog, requests).select("checksum", "path")
+    rows = stored.select("path", F.col(content).alias("content")).join(found, "path")
+    same = rows.where(ff.checksum(F.col("content")) == F.col("checksum"))
+    once = same.groupBy("checksum", "path").agg(F.any_value("content").alias("content"))
+    return once.select("checksum", "path", "content")
+
+
+def export(
+    catalog: DataFrame, requests: DataFrame, stored: DataFrame, path: str, content: str = "content"
+) -> DataFrame:
     """Write the requested contents to ``path``; returns the checksums not found."""
-    by_checksums(catalog, requests).write.mode("overwrite").parquet(path)
+    contents(catalog, requests, stored, content).write.mode("overwrite").parquet(path)
     return missing_checksums(catalog, requests)

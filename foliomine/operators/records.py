@@ -34,17 +34,22 @@ def extract(
     """
     if "tables" not in documents.columns:
         documents = documents.withColumn("tables", F.array().cast("array<array<array<string>>>"))
+    rest = F.substr("text", F.length("page_text") + 1)
+
+    def later_pages(first: Column) -> Column:
+        return F.when(F.length(rest) > 0, F.concat(first, rest)).otherwise(first)
+
     kept = [c for c in documents.columns if c not in ("page_text", "words", "tables", "text")]
     zoned = tp.with_zones(tp.classify(documents, templates), templates, words)
     known = F.col("doc_type").isNotNull()
     is_statement = F.col("doc_type") == BANK_STATEMENT
+    whole = F.coalesce("text", F.lit(""))  # all pages; type and zones are those of page one
     located = zoned.select(
         *kept,
         "text",
-        "page_text",
         "doc_type",
         tp.confidence(F.col("zones")).alias("confidence"),
-        F.when(known, tp.joined_zone_text(F.col("zones")))
+        F.when(known, later_pages(tp.joined_zone_text(F.col("zones"))))
         .otherwise(F.coalesce("text", F.lit("")))
         .alias("found_text"),
         F.coalesce(tb.normalise(F.col("tables")), F.array().cast(f"array<{TABLE}>")).alias(
@@ -58,13 +63,13 @@ def extract(
         "confidence",
         "found_text",
         "found_tables",
-        F.when(known, pairs.pair_map(F.col("page_text")))
+        F.when(known, pairs.pair_map(F.col("text")))
         .otherwise(_no_pairs())
         .alias("pairs"),
-        F.when(known, F.map_from_entries(tp.fields("page_text", templates)))
+        F.when(known, F.map_from_entries(tp.fields("text", templates)))
         .otherwise(_no_pairs())
         .alias("fields"),
-        en.entities(en.dates(F.col("found_text")), en.amounts(F.col("found_text"))).alias("entities"),
+        en.entities(en.dates(whole), en.amounts(whole)).alias("entities"),
         F.when(is_statement, statements.transaction_array(F.col("text")))
         .otherwise(F.array().cast(f"array<{TRANSACTION}>"))
         .alias("transactions"),

@@ -30,13 +30,24 @@ SYSTEM_TEXT = (
 def requests(
     documents: DataFrame, text: str = "text", system_text: str = SYSTEM_TEXT
 ) -> DataFrame:
-    """One request per document that has text: model, both messages, parameters.
-    The service takes the first ``INPUT_LIMIT`` characters."""
-    return documents.where(F.length(text) > 0).select(
+    """Requests ``(doc_id, chunk_no, n_chunks, ...)`` of every document that has text:
+    model, both messages, parameters. The service takes ``INPUT_LIMIT`` characters at a
+    time, so a longer text goes out in chunks, none of it left out."""
+    n_chunks = F.ceil(F.length(text) / INPUT_LIMIT).cast("int")
+    chunks = documents.where(F.length(text) > 0).select(
         "doc_id",
+        F.col(text).alias("_text"),
+        n_chunks.alias("n_chunks"),
+        F.explode(F.sequence(F.lit(1), n_chunks)).alias("chunk_no"),
+    )
+    start = (F.col("chunk_no") - 1) * INPUT_LIMIT + 1
+    return chunks.select(
+        "doc_id",
+        "chunk_no",
+        "n_chunks",
         F.lit(MODEL).alias("model"),
         F.lit(system_text).alias("system_text"),
-        F.substring(text, 1, INPUT_LIMIT).alias("user_text"),
+        F.substr("_text", start, F.lit(INPUT_LIMIT)).alias("user_text"),
         F.lit(TEMPERATURE).alias("temperature"),
         F.lit("json_object").alias("response_format"),
     )
@@ -65,12 +76,20 @@ def normalise(replies: DataFrame) -> DataFrame:
     parsed = replies.select(
         "*",
         reply_error(F.col("reply")).alias("error"),
-        F.from_json("reply", AI_REPLY).alias("r"),
+        F.from_json("reply", AI_REPLY.replace("array<string>", "string")).alias("r"),
     )
     ok = F.col("error").isNull()
 
-    def field(name: str, default: Column) -> Column:
-        return F.when(ok, F.coalesce(f"r.{name}", default)).alias(name)
+    def names(name: str) -> Column:
+        """A list; a service that found one name may send it bare."""
+        sent = F.col(f"r.{name}")
+        return F.when(sent.startswith("["), F.from_json(sent, "array<string>")).when(
+            sent != "", F.array(sent)
+        )
+
+    def field(name: str, default: Column, value: Column | None = None) -> Column:
+        sent = F.col(f"r.{name}") if value is None else value
+        return F.when(ok, F.coalesce(sent, default)).alias(name)
 
     return parsed.select(
         *replies.columns,
@@ -80,19 +99,22 @@ def normalise(replies: DataFrame) -> DataFrame:
         field("text", F.lit("")),
         field("key_value_pairs", no_pairs),
         *[
-            field(name, empty_strings())
+            field(name, empty_strings(), names(name))
             for name in ("people", "organizations", "dates", "amounts")
         ],
     )
 
 
 def normalise_statement(replies: DataFrame) -> DataFrame:
-    """Statement replies: ``account_info``, ``statement_details``, ``transactions``."""
+    """Statement replies: ``account_info``, ``statement_details``, ``transactions``.
+    Numbers may be sent as numbers or as text."""
     ok = reply_error(F.col("reply")).isNull()
     parsed = replies.select(
         "*",
         reply_error(F.col("reply")).alias("error"),
-        F.from_json("reply", AI_STATEMENT_REPLY).alias("r"),
+        F.from_json("reply", AI_STATEMENT_REPLY.replace("double", "string"))
+        .try_cast(AI_STATEMENT_REPLY)
+        .alias("r"),
     )
     no_transactions = F.array().cast(
         AI_STATEMENT_REPLY[AI_STATEMENT_REPLY.index("transactions:") + len("transactions:") : -1]

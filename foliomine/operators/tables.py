@@ -34,7 +34,8 @@ def of_documents(pages: DataFrame) -> DataFrame:
 
 def table_rows(pages: DataFrame) -> DataFrame:
     """``(doc_id, page_no, table_no, row_no, headers, cells)``, one row per data
-    row of every table. Nothing is gathered, so nothing is shuffled."""
+    row of every table; a table of headers alone is one row without row number and
+    cells. Nothing is gathered, so nothing is shuffled."""
     tables = pages.select(
         "doc_id", "page_no", F.posexplode(normalise(F.col("tables"))).alias("table_no", "t")
     )
@@ -44,4 +45,4 @@ def table_rows(pages: DataFrame) -> DataFrame:
         "table_no",
         F.posexplode_outer("t.data").alias("row_no", "cells"),
         F.col("t.headers").alias("headers"),
-    ).where(F.col("row_no").isNotNull())
+    )

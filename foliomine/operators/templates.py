@@ -40,6 +40,11 @@ def _find_all(text: str, regex: str, group: int = 0, multiline: bool = True) ->
     return f"regexp_extract_all({text}, {_literal(p)}, {group})"
 
 
+def _count(text: str, regex: str, multiline: bool = True) -> str:
+    p = pattern(regex, ignore_case=True, multiline=multiline)
+    return f"regexp_count({text}, {_literal(p)})"
+
+
 def _by_type(templates: list[Template], value: Callable[[Template], str]) -> Column:
     """``value`` of the document's own template; the other branches are not run."""
     if not templates:
@@ -50,7 +55,7 @@ def _by_type(templates: list[Template], value: Callable[[Template], str]) -> Col
 
 def identifier_score(text: str, template: Template) -> Column:
     """Matches of all identifier patterns of one template in column ``text``."""
-    counts = [f"size({_find_all(text, p, multiline=False)})" for p in template.identifiers]
+    counts = [_count(text, p, multiline=False) for p in template.identifiers]
     return F.expr(" + ".join(counts) or "0")
 
 

@@ -21,12 +21,9 @@ DAY = 86_400
 # statement has a bounded number of lines whatever the customer's share.
 ORDERS_PER_STATEMENT = 1_000_000
 
-# Tables whose rows are texts, or become texts that are searched.
-TEXT_TABLES = {"documents", "pages", "customer", "conversations"}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", heavy=name in TEXT_TABLES)
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 # --- files -----------------------------------------------------------------
@@ -231,9 +228,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), text.alias("text"))
 
 
+_TABLES = "array<array<array<string>>>"
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, page_no, tables)``: every line item as a page with a table of
-    one data row, and a table of empty cells on the pages of every fifth order."""
+    """``(doc_id, page_no, tables)``: every line item as a page with a table of two data
+    rows, a table of headers alone on first pages, and a table of empty cells on the
+    pages of every fifth order."""
     head = F.array(F.lit("part"), F.lit("qty"), F.lit("flag"))
     row = F.array(
         F.col("l_partkey").cast("string"),
@@ -241,8 +242,12 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag"),
     )
     empty = F.array(F.array(F.lit(""), F.lit(None).cast("string")), F.array(F.lit("")))
-    filled = F.array(head, row)
-    tables = F.when(F.col("l_orderkey") % 5 == 0, F.array(empty, filled)).otherwise(F.array(filled))
+    second = F.array(F.col("l_suppkey").cast("string"), F.lit(None).cast("string"), F.col("l_linestatus"))
+    tables = F.concat(
+        F.when(F.col("l_orderkey") % 5 == 0, F.array(empty)).otherwise(F.array().cast(_TABLES)),
+        F.array(F.array(head, row, second)),
+        F.when(F.col("l_linenumber") == 1, F.array(F.array(head))).otherwise(F.array().cast(_TABLES)),
+    )
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"),
         F.col("l_linenumber").alias("page_no"),
@@ -253,39 +258,47 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- attributes ------------------------------------------------------------
 
 
-def _event_attributes(events: DataFrame) -> DataFrame:
-    """Events as attributes: the scope is the type, the key names user and
-    property. Values are numbers, arrays and bare words; half have a default."""
-    k = F.get_json_object("props", "$.k")
-    no = F.col("event_id")
+def _as_attributes(rows: DataFrame, scope: Column, user: Column, k: Column, no: Column) -> DataFrame:
+    """Rows as attributes: the key names user and property. Values are numbers,
+    arrays and bare words; half have a default."""
     value = (
         F.when(no % 3 == 0, k)
         .when(no % 3 == 1, F.concat(F.lit("["), k, F.lit(",1]")))
         .otherwise(F.concat(F.lit("v"), k))
     )
-    return events.select(
-        F.col("event_type").alias("scope"),
-        _text("user", F.col("user_id"), ".k", k).alias("key"),
+    return rows.select(
+        scope.alias("scope"),
+        _text("user", user, ".k", k).alias("key"),
         no.alias("seq"),
         value.alias("value"),
         F.when(no % 2 == 0, F.lit("0")).alias("default_value"),
-        _text("from event ", no).alias("description"),
+        _text("from row ", no).alias("description"),
     )
 
 
+# Scopes of the attributes: the types of events.
+SCOPES = ["view", "signup", "click", "error", "purchase"]
+
+
 def attribute_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A change per event, ordered by ``seq``; keys repeat."""
-    return _event_attributes(table(spark, sf_dir, "events"))
+    """A change per order, ordered by ``seq``. Keys repeat; some are keys of the current
+    table, most are new, and most current keys are left alone."""
+    orders, key, customer = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    scope = F.element_at(F.array(*map(F.lit, SCOPES)), (customer % 5 + 1).cast("int"))
+    return _as_attributes(orders, scope, customer, (key % 100).cast("string"), key)
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current table: what the first event of value 20 or more set per key."""
-    events = table(spark, sf_dir, "events").where(F.col("value") >= 20)
-    return first_per_key(_event_attributes(events)).drop("seq")
+    """The current table: what the first event set per key."""
+    events = table(spark, sf_dir, "events")
+    rows = _as_attributes(
+        events, F.col("event_type"), F.col("user_id"), F.get_json_object("props", "$.k"), F.col("event_id")
+    )
+    return first_per_key(rows).drop("seq")
 
 
 def attribute_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A default for every key that any event names."""
+    """A default for every key that any change names."""
     keys = attribute_changes(spark, sf_dir).select("scope", "key").distinct()
     return keys.select("*", F.lit("0").alias("value"), F.lit("seeded").alias("description"))
 

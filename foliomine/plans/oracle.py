@@ -11,7 +11,7 @@ from foliomine.functions import entities as en
 from foliomine.functions.categories import CATEGORY_KEYWORDS
 from foliomine.functions.text import WHITESPACE
 from foliomine.operators import language, replies, scan
-from foliomine.plans.inputs import DAY, EPOCH, ORDERS_PER_STATEMENT
+from foliomine.plans.inputs import DAY, EPOCH, ORDERS_PER_STATEMENT, SCOPES
 from foliomine.sources.pages import LINES_PER_PAGE
 from foliomine.sources.templates import BUILTIN_TEMPLATES
 
@@ -53,7 +53,8 @@ def _catalog(files: str, start: int = EPOCH, batch_no: int = 0) -> str:
     FROM ({files})"""
 
 
-CATALOG = f"SELECT DISTINCT ON (checksum, path) * FROM ({_catalog(FILES)})"
+CATALOG = f"""
+    SELECT DISTINCT ON (checksum, path) * FROM ({_catalog(FILES)}) ORDER BY checksum, path, created_s DESC"""
 UPSERTED = f"""
     SELECT * EXCLUDE (rn) FROM (
       SELECT *, row_number() OVER (PARTITION BY checksum, path
@@ -114,6 +115,10 @@ ORACLES["catalog_export"] = f"""
     SELECT {_PUBLIC} FROM (
       SELECT *, row_number() OVER (PARTITION BY checksum ORDER BY created_s, path) AS rn
       FROM ({CATALOG})) WHERE rn = 1 AND checksum IN (SELECT checksum FROM ({REQUESTS}))"""
+ORACLES["catalog_content_export"] = f"""
+    SELECT checksum, f.path, any_value(text) AS content
+    FROM ({ORACLES["catalog_export"]}) e JOIN ({FILES}) f
+      ON f.path = e.path AND sha256(f.text) = e.checksum GROUP BY checksum, f.path"""
 ORACLES["catalog_missing"] = f"""
     SELECT DISTINCT checksum FROM ({REQUESTS})
     WHERE checksum NOT IN (SELECT checksum FROM ({CATALOG}))"""
@@ -253,7 +258,7 @@ def _pairs(documents: str, text: str) -> str:
       FROM p WHERE length(key) > 2 AND value <> '') WHERE rn = 1"""
 
 
-ORACLES["kv_pairs"] = _pairs(_first_page(RENDERED), "page_text")
+ORACLES["kv_pairs"] = _pairs(RENDERED, "text")
 ORACLES["kv_pairs_prose"] = _pairs(PROSE, "text")
 
 # --- templates -------------------------------------------------------------
@@ -378,7 +383,7 @@ def _fields(source: str) -> str:
     parts = []
     for t in BUILTIN_TEMPLATES:
         for key, p in t.fields.items():
-            raw = f"regexp_extract_all(page_text, {_q('(?im)' + _re2(p))}, 1)[-1]"
+            raw = f"regexp_extract_all(text, {_q('(?im)' + _re2(p))}, 1)[-1]"
             amount = any(w in key for w in ("amount", "balance", "total"))
             date = not amount and any(w in key for w in ("date", "period"))
             value = "NULL" if amount else _iso("raw") if date else "raw"
@@ -423,25 +428,43 @@ BALANCE_ROWS = f"""
       CASE WHEN c % 3 = 0 THEN 2500.0::DOUBLE END AS overdraft_limit
     FROM ({ORDERS}) GROUP BY c, b"""
 ORACLES["balances"] = BALANCE_ROWS
-ORACLES["tables_normalise"] = """
-    SELECT l_orderkey AS doc_id, l_linenumber AS page_no, 0 AS table_no, 0 AS row_no,
-           'part|qty|flag' AS headers,
-           l_partkey || '|' || CAST(l_quantity AS BIGINT) || '|' || l_returnflag AS cells
-    FROM lineitem"""
+_CELLS = "l_partkey || '|' || CAST(l_quantity AS BIGINT) || '|' || l_returnflag"
+_SECOND = "l_suppkey || '|-|' || l_linestatus"
+ORACLES["tables_normalise"] = f"""
+    SELECT l_orderkey AS doc_id, l_linenumber AS page_no, table_no, row_no,
+           'part|qty|flag' AS headers, cells
+    FROM (SELECT *, 0 AS table_no, 0 AS row_no, {_CELLS} AS cells FROM lineitem
+          UNION ALL SELECT *, 0, 1, {_SECOND} FROM lineitem
+          UNION ALL SELECT *, 1, NULL, NULL FROM lineitem WHERE l_linenumber = 1)"""
+ORACLES["tables_of_documents"] = f"""
+    SELECT l_orderkey AS doc_id, CAST(count(*) + count(*) FILTER (l_linenumber = 1) AS INTEGER) AS n_tables,
+           string_agg({_CELLS} || ';' || {_SECOND}, ';'
+             ORDER BY l_linenumber, l_partkey::VARCHAR, l_quantity::BIGINT::VARCHAR, l_returnflag,
+             l_suppkey::VARCHAR) AS rows
+    FROM lineitem GROUP BY l_orderkey"""
 
 # --- attributes ------------------------------------------------------------
 
 _K = "json_extract_string(props, '$.k')"
-CHANGES = f"""
-    SELECT event_type AS scope, 'user' || user_id || '.k' || {_K} AS key, event_id AS seq,
-      CASE event_id % 3 WHEN 0 THEN {_K} WHEN 1 THEN '[' || {_K} || ',1]' ELSE 'v' || {_K} END AS value,
-      CASE WHEN event_id % 2 = 0 THEN '0' END AS default_value,
-      'from event ' || event_id AS description, value AS event_value
-    FROM events"""
+
+
+def _attribute_rows(rows: str) -> str:
+    return f"""
+    SELECT scope, 'user' || u || '.k' || k AS key, no AS seq,
+      CASE no % 3 WHEN 0 THEN k WHEN 1 THEN '[' || k || ',1]' ELSE 'v' || k END AS value,
+      CASE WHEN no % 2 = 0 THEN '0' END AS default_value, 'from row ' || no AS description
+    FROM ({rows})"""
+
+
+EVENTS = _attribute_rows(f"SELECT event_type AS scope, user_id AS u, {_K} AS k, event_id AS no FROM events")
+CHANGES = _attribute_rows(
+    f"SELECT [{', '.join(map(_q, SCOPES))}][o_custkey % 5 + 1] AS scope, o_custkey AS u,"
+    " CAST(o_orderkey % 100 AS VARCHAR) AS k, o_orderkey AS no FROM orders"
+)
 ATTRIBUTES = f"""
     SELECT scope, key, value, default_value, description FROM (
       SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY seq) AS rn
-      FROM ({CHANGES}) WHERE event_value >= 20) WHERE rn = 1"""
+      FROM ({EVENTS})) WHERE rn = 1"""
 _ATTR = f"WITH ch AS ({CHANGES}), cur AS ({ATTRIBUTES})"
 _LAST = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY seq DESC) AS rn
             FROM ch) WHERE rn = 1)"""
@@ -480,7 +503,8 @@ ORACLES["attr_update"] = f"""
 ORACLES["attr_update_rejected"] = f"""
     {_ATTR} SELECT DISTINCT scope, key, 'missing' AS reason FROM ch ANTI JOIN cur USING (scope, key)"""
 ORACLES["attr_reset"] = f"""
-    {_ATTR} SELECT scope, key, coalesce(default_value, value) AS value, default_value, description FROM cur"""
+    {_ATTR} SELECT scope, key, CASE WHEN default_value IS NOT NULL AND (scope, key) IN (SELECT (scope, key) FROM ch)
+      THEN default_value ELSE value END AS value, default_value, description FROM cur"""
 ORACLES["attr_reset_rejected"] = f"""
     {_ATTR} SELECT DISTINCT scope, key, 'missing or no default' AS reason FROM ch
     ANTI JOIN (SELECT * FROM cur WHERE default_value IS NOT NULL) USING (scope, key)"""
@@ -506,9 +530,12 @@ ORACLES["attr_validate"] = f"""
 # --- AI tables -------------------------------------------------------------
 
 ORACLES["ai_requests"] = f"""
-    SELECT doc_id, {_q(replies.MODEL)} AS model, substring(text, 1, {replies.INPUT_LIMIT}) AS user_text,
+    SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(n AS INTEGER) AS n_chunks,
+           {_q(replies.MODEL)} AS model,
+           substring(text, (chunk_no - 1) * {replies.INPUT_LIMIT} + 1, {replies.INPUT_LIMIT}) AS user_text,
            CAST({replies.TEMPERATURE} AS DOUBLE) AS temperature, 'json_object' AS response_format
-    FROM ({PROSE}) WHERE text <> ''"""
+    FROM (SELECT *, unnest(range(1, n + 1)) AS chunk_no FROM (
+      SELECT *, CAST(ceil(length(text) / {replies.INPUT_LIMIT}) AS BIGINT) AS n FROM ({PROSE}) WHERE text <> ''))"""
 
 
 def _ok(x: str) -> str:
@@ -581,14 +608,14 @@ _LAST_TURN = """
 ORACLES["records"] = f"""
     WITH {_confidence_ctes(MIXED)},
     zj AS (SELECT doc_id, {_JOINED_ZONES} AS zones_text FROM zt GROUP BY doc_id),
-    pairs AS ({_pairs("SELECT doc_id, page_text FROM docs WHERE doc_type IS NOT NULL", "page_text")}),
+    pairs AS ({_pairs("SELECT doc_id, text FROM docs WHERE doc_type IS NOT NULL", "text")}),
     np AS (SELECT doc_id, count(*) AS n FROM pairs GROUP BY doc_id),
     fl AS ({_fields("docs")}), nf AS (SELECT doc_id, count(*) AS n FROM fl GROUP BY doc_id),
     tx AS ({TRANSACTIONS}), nt AS (SELECT doc_id, count(*) AS n FROM tx GROUP BY doc_id),
     bal AS ({BALANCE_ROWS}),
     rp AS (SELECT 'doc-' || conv_id AS doc_id, conv_id, turn, role, text AS reply_text,
                   conv_id % 10 <> 0 AS ai, {_REPLY_ERROR} AS err FROM ({_LAST_TURN})),
-    x AS (SELECT docs.*, coalesce(zones_text, text) AS found, conf.c, coalesce(np.n, 0) AS np,
+    x AS (SELECT docs.*, coalesce(zones_text || substr(text, length(page_text) + 1), text) AS found, conf.c, coalesce(np.n, 0) AS np,
                  coalesce(nf.n, 0) AS nf, coalesce(nt.n, 0) AS nt, bal.closing_balance,
                  conv_id, turn, role, reply_text, coalesce(ai, false) AS ai, err
           FROM docs LEFT JOIN zj USING (doc_id) LEFT JOIN conf USING (doc_id) LEFT JOIN np USING (doc_id)
@@ -601,8 +628,8 @@ ORACLES["records"] = f"""
       md5(CASE WHEN ai AND conv_id % 4 <> 2 AND reply_text <> '' THEN reply_text ELSE found END) AS text_md5,
       CAST(CASE WHEN ai AND conv_id % 4 <> 3 THEN 1 ELSE np END AS INTEGER) AS n_pairs,
       CASE WHEN ai AND conv_id % 4 = 0 THEN 'Person ' || conv_id ELSE '' END AS people,
-      CASE WHEN ai AND conv_id % 4 = 2 THEN '2024-01-31' ELSE {_bag('found', en.DATE_PATTERNS)} END AS dates,
-      CASE WHEN ai AND conv_id % 4 = 3 THEN '12.50|' || turn ELSE {_bag('found', en.AMOUNT_PATTERNS)} END AS amounts,
+      CASE WHEN ai AND conv_id % 4 = 2 THEN '2024-01-31' ELSE {_bag('text', en.DATE_PATTERNS)} END AS dates,
+      CASE WHEN ai AND conv_id % 4 = 3 THEN '12.50|' || turn ELSE {_bag('text', en.AMOUNT_PATTERNS)} END AS amounts,
       CAST(nt AS INTEGER) AS n_transactions,
       CAST(CASE WHEN ai AND conv_id % 4 <> 1 THEN 1 ELSE nf END AS INTEGER) AS n_fields,
       CASE WHEN ai THEN 'ai' ELSE 'traditional' END AS method,

@@ -19,7 +19,7 @@ from foliomine.operators import (
     templates as tp,
 )
 from foliomine.plans import inputs as src
-from foliomine.sources import files as fs, pages as pg
+from foliomine.sources import pages as pg
 
 QUERIES = {}
 
@@ -97,6 +97,13 @@ def catalog_export(spark: SparkSession, sf: str) -> DataFrame:
     return ca.public(found)
 
 
+@query
+def catalog_content_export(spark: SparkSession, sf: str) -> DataFrame:
+    files, wanted = src.all_files(spark, sf), src.requested_checksums(spark, sf)
+    found = ca.contents(src.current_catalog(spark, sf), wanted, files, content="text")
+    return found.select("checksum", "path", F.col("content"))
+
+
 @query
 def catalog_missing(spark: SparkSession, sf: str) -> DataFrame:
     return ca.missing_checksums(src.current_catalog(spark, sf), src.requested_checksums(spark, sf))
@@ -136,13 +143,6 @@ def mime_sniff(spark: SparkSession, sf: str) -> DataFrame:
     return files.select("path", ff.mime_type(F.encode("text", "UTF-8")).alias("mime_type"))
 
 
-@query
-def file_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """The files of the tables themselves, read as bytes."""
-    files = fs.read_files(spark, sf, max_size=sc.MAX_FILE_SIZE)
-    return fs.with_identity(files).select("name", "size", "checksum", "mime_type")
-
-
 # --- pages and entities ----------------------------------------------------
 
 
@@ -197,7 +197,7 @@ def page_join_blank_line(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kv_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return pa.pair_rows(src.with_first_page(src.rendered(spark, sf)))
+    return pa.pair_rows(src.rendered(spark, sf), text="text")
 
 
 @query
@@ -235,7 +235,8 @@ def zone_text_from_words(spark: SparkSession, sf: str) -> DataFrame:
     documents = src.with_layout(src.rendered(spark, sf))
     words = tp.rows_of(documents.withColumn("page_no", F.lit(1)), F.inline_outer("words"), "word_no", "page_no")
     types = tp.classify(documents.select("doc_id", "page_text")).select("doc_id", "doc_type")
-    return tp.zone_rows(tp.with_zones(types.join(pg.gather_words(words), "doc_id")))
+    first = pg.gather_words(words).where("page_no = 1")
+    return tp.zone_rows(tp.with_zones(types.join(first, "doc_id", "left")))
 
 
 @query
@@ -265,7 +266,7 @@ def confidence(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def template_fields(spark: SparkSession, sf: str) -> DataFrame:
     typed = tp.classify(src.with_first_page(src.rendered(spark, sf)))
-    found = typed.select("doc_id", tp.fields("page_text").alias("fields"))
+    found = typed.select("doc_id", tp.fields("text").alias("fields"))
     return tp.field_rows(found).select(
         "doc_id",
         "key",
@@ -307,6 +308,15 @@ def tables_normalise(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def tables_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    tables = tb.of_documents(src.raw_tables(spark, sf))
+    rows = F.flatten(F.transform("tables", lambda t: F.transform(t["data"], lambda r: F.array_join(r, "|", "-"))))
+    return tables.select(
+        "doc_id", F.size("tables").alias("n_tables"), F.array_join(rows, ";").alias("rows")
+    )
+
+
 # --- attributes ------------------------------------------------------------
 
 
@@ -400,7 +410,7 @@ def attr_validate(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ai_requests(spark: SparkSession, sf: str) -> DataFrame:
     asked = rp.requests(src.prose(spark, sf))
-    return asked.select("doc_id", "model", "user_text", "temperature", "response_format")
+    return asked.select("doc_id", "chunk_no", "n_chunks", "model", "user_text", "temperature", "response_format")
 
 
 @query

@@ -11,6 +11,16 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ATTRIBUTES).parquet(path)
 
 
+def read_attribute_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Attributes written by :func:`foliomine.operators.attributes.export_json`: JSON
+    lines, which split however large the files are."""
+    fields = "scope string, key string, stored string, stored_default string, description string"
+    rows = spark.read.schema(fields).json(path)
+    return rows.select(
+        "scope", "key", F.col("stored").alias("value"), F.col("stored_default").alias("default_value"), "description"
+    )
+
+
 def _text_of(value: str):
     """A JSON string gives its characters, any other JSON value its JSON text."""
     is_string = F.schema_of_variant(value) == "STRING"

@@ -19,27 +19,57 @@ def read_files(
     name_glob: str | None = None,
     max_size: int | None = None,
     skip: Callable[[Column], Column] | None = None,
+    keep: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """One file or a whole tree as ``(path, modified_at, size, content)``.
 
-    ``max_size``, ``name_glob`` and ``skip`` (a test of the path, such as
+    ``max_size``, ``name_glob``, ``skip`` and ``keep`` (tests of the path, such as
     :func:`foliomine.operators.scan.ignored`) are applied by the source, so the
-    files they leave out are never opened. Select without ``content`` to list only. Spark's
+    files they leave out are never opened; :func:`left_out` lists them. There is no
+    size limit unless one is given. Select without ``content`` to list only. Spark's
     file source skips names that start with ``.`` or ``_``, and empty files.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    if name_glob:
-        reader = reader.option("pathGlobFilter", name_glob)
-    files = reader.load(path)
+    files = _load(spark, path, recursive, name_glob)
     if max_size is not None:
         files = files.where(F.col("length") <= max_size)
     if skip is not None:
         # A filter on the path column is run after the file has been read; one
         # on its metadata is run on the listing.
         files = files.where(~skip(local_path("_metadata.file_path")))
+    if keep is not None:
+        files = files.where(keep(local_path("_metadata.file_path")))
     return file_columns(files)
 
 
+def _load(spark: SparkSession, path: str, recursive: bool, name_glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    if name_glob:
+        reader = reader.option("pathGlobFilter", name_glob)
+    return reader.load(path)
+
+
+def left_out(
+    spark: SparkSession,
+    path: str,
+    *,
+    recursive: bool = True,
+    name_glob: str | None = None,
+    max_size: int | None = None,
+    skip: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """``(path, size, error_type)`` of the files that :func:`read_files` leaves out
+    under the same settings: ``IGNORED`` or ``FILE_TOO_LARGE``. Reads the listing alone."""
+    location = local_path("_metadata.file_path")
+    ignored = F.lit(False) if skip is None else skip(location)
+    oversize = F.lit(False) if max_size is None else F.col("length") > max_size
+    files = _load(spark, path, recursive, name_glob).where(ignored | oversize)
+    return files.select(
+        local_path("path").alias("path"),
+        F.col("length").alias("size"),
+        F.when(ignored, "IGNORED").otherwise("FILE_TOO_LARGE").alias("error_type"),
+    )
+
+
 def local_path(column: str) -> Column:
     return F.regexp_replace(column, "^file:/*", "/")
 

@@ -2,16 +2,17 @@
 
 from pyspark.sql import DataFrame
 
-# The keywords become one CASE expression, so the table is read through this check.
-MAX_KEYWORDS = 10_000
 
-
-def keywords_from(table: DataFrame, max_keywords: int = MAX_KEYWORDS) -> dict[str, list[str]]:
+def keywords_from(table: DataFrame) -> list[tuple[str, list[str]]]:
     """``table(category, priority, keyword)`` as keyword lists for
-    :func:`foliomine.functions.categories.category`, lowest priority first."""
-    if table.limit(max_keywords + 1).count() > max_keywords:
-        raise ValueError(f"more than {max_keywords} keywords")
-    keywords: dict[str, list[str]] = {}
-    for row in table.orderBy("priority", "category", "keyword").collect():
-        keywords.setdefault(row["category"], []).append(row["keyword"].lower())
-    return keywords
+    :func:`foliomine.functions.categories.category`: a list per priority and category,
+    in the order they are tried. The keywords become one expression of the plan, so
+    the table has to be one that a plan can hold."""
+    lists: list[tuple[str, list[str]]] = []
+    last = None
+    for row in table.where("keyword is not null").orderBy("priority", "category", "keyword").collect():
+        if last != (row["priority"], row["category"]):
+            last = row["priority"], row["category"]
+            lists.append((row["category"], []))
+        lists[-1][1].append(row["keyword"].lower())
+    return lists

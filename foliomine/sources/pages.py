@@ -61,16 +61,14 @@ def words_from_text(text: str) -> str:
     )
 
 
-def gather_words(words: DataFrame, page_no: int = 1) -> DataFrame:
-    """Word rows to ``(doc_id, words)`` of one page, in reading order.
+def gather_words(words: DataFrame) -> DataFrame:
+    """Word rows to ``(doc_id, page_no, words)``, a row per page, in reading order.
 
-    Rows of other pages are dropped before the shuffle, and each word is moved
-    once however many zones it falls into. A group is one page of one document,
-    which is one value of every zone operator.
+    Each word is moved once however many zones it falls into. A group is one page of
+    one document, which is one value of every zone operator.
     """
     fields = ["line_no", "word_no", "text", "x0", "top", "x1", "bottom"]
     return (
-        words.where(F.col("page_no") == page_no)
-        .groupBy("doc_id")
+        words.groupBy("doc_id", "page_no")
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(f"array<{WORD}>").alias("words"))
     )

@@ -3,12 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, heavy: bool = False) -> DataFrame:
-    """A parquet table. ``heavy`` announces costly work per row: a table with
-    fewer splits than the cluster has cores is then spread over all of them.
-    A large table has more splits than that and is read as it is."""
-    table = spark.read.parquet(path)
-    if not heavy:
-        return table
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table. The session's split size decides into how many tasks it is
+    read; a file of one row group is one of them."""
+    return spark.read.parquet(path)

@@ -39,16 +39,18 @@ def index_files(
     source: str,
     log: str,
     checkpoint: str,
-    max_size: int = scan.MAX_FILE_SIZE,
+    max_size: int | None = None,
     files_per_batch: int = 10_000,
 ) -> StreamingQuery:
-    """Catalog every file under ``source`` that is new since the last run."""
+    """Catalog every file under ``source`` that is new since the last run. With a
+    ``max_size`` larger files stay out of the catalog;
+    :func:`foliomine.sources.files.left_out` lists them."""
     reader = spark.readStream.schema(src.BINARY_FILE).format("binaryFile")
     arrivals = (
         reader.option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(source)
-        .where(F.col("length") <= max_size)
+        .where(F.lit(True) if max_size is None else F.col("length") <= max_size)
         .where(~scan.ignored(src.local_path("_metadata.file_path")))
     )
     return (

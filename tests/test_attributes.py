@@ -104,12 +104,18 @@ def test_encode_mask_validate(spark, current, batch):
     assert pairs(masked, "value") == [("sk-12345...7890",), ("sk-1234567890",)]
 
 
+def test_api_keys_without_value_are_rejected(batch):
+    ok, bad = at.validated_keys(batch(("key", None, None), ("key", "sk-1", None)), F.col("key") == "key")
+    assert pairs(ok, "value") == [("sk-1",)] and pairs(bad, "key") == [("key",)]
+
+
 def test_export_and_import(spark, current, tmp_path):
     out = str(tmp_path / "out")
     at.export_json(current, out)
     lines = {r["key"]: json.loads(r["line"]) for r in spark.read.text(out).select(
         F.col("value").alias("line"), F.get_json_object("value", "$.key").alias("key")).collect()}
     assert lines["b"]["value"] == [1, 2] and lines["c"]["value"] == "word"
+    assert sorted(src.read_attribute_lines(spark, out).collect()) == sorted(current.collect())
     document = {
         "test.key1": {"value": "value1", "default": "default1", "description": "Description 1"},
         "test.key2": {"value": [".txt", ".pdf"], "default": None, "description": ""},

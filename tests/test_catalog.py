@@ -84,9 +84,16 @@ def test_export_and_delete(spark, make, tmp_path):
     files = make(entry("c1", "a", 2), entry("c1", "b", 1), entry("c2", "c", 1))
     wanted = spark.createDataFrame([("c1",), ("zz",), ("zz",)], "checksum string")
     out = str(tmp_path / "export")
-    missing = ca.export(files, wanted, out)
+    stored = spark.createDataFrame([(p, "text of " + p) for p in "abc"], "path string, text string")
+    files = files.drop("checksum").join(
+        stored.select(F.sha2("text", 256).alias("checksum"), F.col("path").alias("p")), F.col("p") == F.translate("path", "a", "b")
+    ).drop("p")
+    stored = stored.withColumn("text", F.when(F.col("path") == "a", "text of b").otherwise(F.col("text")))
+    of = lambda text: __import__("hashlib").sha256(text.encode()).hexdigest()
+    wanted = spark.createDataFrame([(of("text of b"),), ("zz",), ("zz",)], "checksum string")
+    missing = ca.export(files, wanted, stored, out, content="text")
     assert keys(missing, "checksum") == [("zz",)]
-    assert keys(spark.read.parquet(out), "checksum", "path") == [("c1", "b")]
+    assert keys(spark.read.parquet(out), "checksum", "path", "content") == [(of("text of b"), "b", "text of b")]
     ids = files.where("path = 'a'").select("file_id").unionByName(
         spark.createDataFrame([("nope",)], "file_id string")
     )
@@ -95,14 +102,31 @@ def test_export_and_delete(spark, make, tmp_path):
     assert keys(ca.by_ids(files, ids), "path") == [("a",)]
 
 
-def test_few_and_many_requests_find_the_same(spark, make):
+def test_empty_queries_and_wildcards(spark, make):
+    files = make(entry("1", "a/tax.txt", 1), entry("2", "b.txt", 2)).withColumn(
+        "text", F.when(F.col("checksum") == "1", "foo bar foo1bar").otherwise("foo%bar")
+    )
+    found = ca.search_content(files, "").collect()
+    assert [(r["checksum"], r["hits"]) for r in found] == [("2", 0), ("1", 0)]
+    found = ca.search_content(files, "foo%bar").collect()
+    assert [(r["checksum"], r["hits"]) for r in found] == [("1", 2), ("2", 1)]
+    assert [r["hits"] for r in ca.search_content(files, "foo_bar").collect()] == [2, 1]
+
+
+def test_search_filters_below_the_aggregate(spark, make):
+    plan = ca.search(ca.distinct_files(make(entry("1", "a", 1))), "tax")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter")
+
+
+def test_a_batch_keeps_the_newest_row_per_key(make):
+    rows = make(entry("c", "a", 1), entry("c", "a", 3), entry("c", "a", 2))
+    assert [r["created_at"] for r in ca.distinct_files(rows).collect()] == [max(r["created_at"] for r in rows.collect())]
+
+
+def test_requests_find_the_first_row_of_each_content(spark, make):
     files = make(*[entry(f"c{i % 50}", f"p{i}", 1000 - i) for i in range(500)])
     wanted = spark.createDataFrame([(f"c{i % 70}",) for i in range(300)], "checksum string")
-    few, many = ca.by_checksums(files, wanted), ca.by_checksums(files, wanted, max_broadcast=10)
-    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan(few)
-    assert keys(few, "checksum", "path") == keys(many, "checksum", "path")
-    assert keys(many, "checksum", "path") == sorted((f"c{i}", f"p{i + 450}") for i in range(50))
+    assert keys(ca.by_checksums(files, wanted), "checksum", "path") == sorted((f"c{i}", f"p{i + 450}") for i in range(50))
 
 
 def test_written_catalog_reads_back_and_pushes_the_checksum_filter(spark, make, tmp_path):

@@ -86,6 +86,16 @@ def test_size_limit_and_name_glob_reach_the_source(spark, tmp_path):
     assert "LessThanOrEqual(length,1000)" in plan
 
 
+def test_files_left_out_are_listed(spark, tmp_path):
+    root = write(tmp_path)
+    every = {r["path"]: r["size"] for r in src.read_files(spark, root).collect()}
+    kept = {r["path"] for r in src.read_files(spark, root, max_size=20).collect()}
+    out = src.left_out(spark, root, max_size=20).collect()
+    assert {r["path"] for r in out} == set(every) - kept and kept and out
+    assert all(r["error_type"] == "FILE_TOO_LARGE" and r["size"] == every[r["path"]] for r in out)
+    assert src.left_out(spark, root).count() == 0
+
+
 def test_ignored_files_are_not_opened(spark, tmp_path):
     root = write(tmp_path)
     (tmp_path / "build").mkdir()

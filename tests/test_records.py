@@ -21,7 +21,7 @@ def test_tables(spark):
     got = {r["doc_id"]: [(t["headers"], t["data"]) for t in r["tables"]] for r in tb.of_documents(pages).collect()}
     assert got == {1: [(["h1", "h2"], [["1", None]]), (["only"], []), (["late"], [["x"]])], 2: []}
     rows = sorted((r["doc_id"], r["page_no"], r["table_no"], r["row_no"], r["cells"]) for r in tb.table_rows(pages).collect())
-    assert rows == [(1, 1, 0, 0, ["1", None]), (1, 2, 0, 0, ["x"])]
+    assert rows == [(1, 1, 0, 0, ["1", None]), (1, 1, 1, None, None), (1, 2, 0, 0, ["x"])]
 
 
 def test_pages(spark, texts):
@@ -60,9 +60,36 @@ def test_hints(evaluate):
     assert evaluate(rp.resolution_hint, "Quota exceeded", "boom") == [rp.HINT_QUOTA, rp.HINT_OTHER]
 
 
-def test_requests_cut_at_the_services_limit(texts):
-    rows = rp.requests(texts("x" * 5000, "", "short")).orderBy("doc_id").collect()
-    assert [len(r["user_text"]) for r in rows] == [4000, 5]
+def test_requests_carry_the_whole_text_in_chunks(texts):
+    long = "".join(chr(97 + i % 26) for i in range(9001))
+    rows = rp.requests(texts(long, "", "short")).orderBy("doc_id", "chunk_no").collect()
+    assert [(r["chunk_no"], r["n_chunks"], len(r["user_text"])) for r in rows] == [
+        (1, 3, 4000), (2, 3, 4000), (3, 3, 1001), (1, 1, 5)
+    ]
+    assert "".join(r["user_text"] for r in rows[:3]) == long
+
+
+def test_replies_with_text_for_numbers_and_bare_names(spark):
+    sent = {"transactions": [{"amount": "12.5"}, {"amount": "?"}], "statement_details": {"opening_balance": "7"}}
+    frame = spark.createDataFrame([(1, json.dumps(sent))], "doc_id int, reply string")
+    row = rp.normalise_statement(frame).first()
+    assert [t["amount"] for t in row["transactions"]] == [12.5, None]
+    assert row["statement_details"]["opening_balance"] == 7.0
+    frame = spark.createDataFrame([(1, '{"people": "Ann", "dates": ["a", "b"], "amounts": []}')], "doc_id int, reply string")
+    row = rp.normalise(frame).first()
+    assert (row["people"], row["dates"], row["amounts"]) == (["Ann"], ["a", "b"], [])
+
+
+def test_all_pages_of_a_statement_are_read(texts):
+    entries = [f"{i % 28 + 1:02d}.02.2024 Miete {i} -5,00" for i in range(100)]
+    text = "\n".join([STATEMENT, *entries, "Hinweis: auf der letzten Seite 31.12.2024"])
+    docs = texts(text).select(
+        "*", pg.first_page(F.col("text")).alias("page_text"),
+        F.lit("p").alias("path"), F.lit("c").alias("checksum"), F.current_timestamp().alias("modified_at"),
+    )
+    row = re.extract(docs, words=pg.words_from_text("page_text")).first()
+    assert len(row["transactions"]) == 101 and row["pairs"]["Hinweis"] == "auf der letzten Seite 31.12.2024"
+    assert len(row["entities"]["dates"]) == 102 and row["found_text"].endswith("31.12.2024")
 
 
 def test_statement_replies(spark):

@@ -22,6 +22,22 @@ def test_index_runs_add_only_what_is_new(spark, tmp_path):
     assert indexing.read_log(spark, compacted).count() == 2
 
 
+def test_a_restored_file_with_an_old_time_is_the_latest(spark, tmp_path):
+    import os
+
+    from foliomine.operators import catalog
+
+    source, log, checkpoint = (tmp_path / n for n in ("files", "log", "checkpoint"))
+    source.mkdir()
+    for no, text in enumerate(["first", "second"]):
+        (source / f"{no}").mkdir()
+        (source / f"{no}" / "a.txt").write_text(text)
+        os.utime(source / f"{no}" / "a.txt", (10**9 - no * 1000,) * 2)
+        assert indexing.index_files(spark, str(source), str(log), str(checkpoint)).awaitTermination(120)
+    rows = indexing.read_log(spark, str(log)).selectExpr("*").withColumn("path", __import__("pyspark").sql.functions.lit("a.txt"))
+    assert [r["batch_no"] for r in catalog.latest_by_path(rows).collect()] == [1]
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     from foliomine.sources import files as src
 
