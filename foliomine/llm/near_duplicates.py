@@ -116,7 +116,12 @@ def _features(n: int, bands: int, rows: int):
 
 
 def _links_in_block(n: int, percent: int):
-    """Links between the ``query`` rows of a block and its other rows."""
+    """Links between the ``query`` rows of a block and its other rows.
+
+    Every pair of the block is compared, and what it links is given back as a forest:
+    one row for each component that is linked with a smaller one. So a block gives
+    back fewer rows than it has texts, however many pairs of it are linked.
+    """
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set(t, n) for t in block["text"]]
@@ -149,21 +154,34 @@ def _links_in_block(n: int, percent: int):
                 common += np.rint(matrices[0] @ matrices[1].T).astype(np.int64)
         union = sizes[left][:, None] + sizes[right][None, :] - common
         i, j = np.nonzero((100 * common >= percent * union) & (union > 0))
-        nodes = block["node"].to_numpy()
-        return pd.DataFrame({"a": nodes[left[i]], "b": nodes[right[j]]})
+        names, place = np.unique(block["component"].to_numpy(), return_inverse=True)
+        ends = np.unique(np.stack([place[left[i]], place[right[j]]]), axis=1)
+        root = np.arange(len(names))
+        while True:
+            lower = root.copy()
+            least = np.minimum(root[ends[0]], root[ends[1]])
+            for end in ends:
+                np.minimum.at(lower, end, least)
+            lower = lower[lower]
+            if np.array_equal(lower, root):
+                break
+            root = lower
+        tied = root != np.arange(len(names))
+        return pd.DataFrame({"a": names[tied], "b": names[root[tied]]})
 
     return run
 
 
 def _links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` inside the blocks of ``members(block, part, other, query, node)``."""
+    """Links ``(a, b)`` of components inside the blocks of ``members(block, part, other,
+    query, node, component)``."""
     keys = ["block", "part", "other"]
     rows = members.hint("merge").join(texts, "node")
     run = _links_in_block(n, percent)
     return rows.groupBy(*keys).applyInPandas(run, "a long, b long")
 
 
-def _chunks(count, offset=0):
+def _chunks(count: str):
     """A node's chunk of a side that holds ``count`` nodes, ``BLOCK`` each on average."""
     return F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / BLOCK).cast("long"))
 
@@ -236,7 +254,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     hubs = leaves.select(
         "block", "part", "other", F.lit(True).alias("query"), F.col("block").alias("node")
     ).distinct()
-    links = materialise(_links(leaves.union(hubs), texts, n, percent), "links")
+    pairs = leaves.union(hubs).withColumn("component", F.col("node"))
+    links = materialise(_links(pairs, texts, n, percent), "links")
 
     linked = components(links)
     clusters = components(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")))
@@ -268,13 +287,13 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     queries = torn.where("component <> largest").select(
         "block", _chunks("n_query").alias("part"), copies("n_all").alias("other"),
-        F.lit(True).alias("query"), "node",
+        F.lit(True).alias("query"), "node", "component",
     )
     against = torn.select(
         "block", copies("n_query").alias("part"), _chunks("n_all").alias("other"),
-        F.lit(False).alias("query"), "node",
+        F.lit(False).alias("query"), "node", "component",
     )
-    more = _links(queries.union(against), texts, n, percent).where("a <> b")
+    more = _links(queries.union(against), texts, n, percent)
     final = components(materialise(links.union(more), "links"))
 
     named = classes.select("set_key", "node").join(final, "node", "left")
