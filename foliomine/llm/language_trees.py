@@ -26,6 +26,7 @@ from foliomine.llm.words import as_bytes
 DEPTH = 3
 DOCS_PER_LANGUAGE = 400
 UNDETERMINED = "und"
+_HASHES = 1 << 40
 _START = b"\n" * DEPTH  # stands before every text
 
 
@@ -120,16 +121,18 @@ def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> D
     doc_id has the smallest hash, out of the documents with crc32 of the doc_id's
     digits not 2 modulo 4. Rows without doc_id, text or lang are left out."""
     usable = docs.where("doc_id is not null and lang is not null and text is not null")
-    usable = usable.where(remainder(F.col("doc_id"), 4) != 2)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        usable.select("doc_id", "lang")
-        .withColumn("place", F.row_number().over(by_hash))
-        .where(F.col("place") <= per_language)
-        .select("doc_id", "lang")
-        .distinct()
-    )
-    return usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text")
+    usable = usable.where(remainder(F.col("doc_id"), 4) != 2).select("doc_id", "lang", "text")
+    # A row per language, of which the model holds a table each. Twice the wanted number
+    # is let through by the hash, so few rows meet to be ranked, however many there are.
+    shares = {r["lang"]: 2 * per_language / r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not shares:
+        return usable.select("lang", "text")
+    share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("lang")]
+    place = F.xxhash64("doc_id")
+    let_in = F.pmod(place, F.lit(_HASHES)) < share * _HASHES
+    by_hash = Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(_HASHES)), "doc_id", "text")
+    ranked = usable.where(let_in).withColumn("place", F.row_number().over(by_hash))
+    return ranked.where(F.col("place") <= per_language).select("lang", "text")
 
 
 def count_grams(sample: DataFrame) -> DataFrame:
