@@ -41,6 +41,14 @@ def _per_shard(rows: DataFrame, value: Column, n_shards: int) -> list[int]:
     return counts
 
 
+def _is_own(vote: Column) -> Column:
+    return vote["shard"] == F.col("shard")
+
+
+def _draws(vote: Column, room: list[int]) -> Column:
+    return (vote > F.col("own")) & (_lookup(room, vote["shard"]) >= F.col("n"))
+
+
 def propagate(parts: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
     """``parts(group, home, shard, n)`` after their moves; ``n`` counts documents."""
     parts = materialise(parts, "parts")
@@ -49,22 +57,19 @@ def propagate(parts: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
         room = [max(0, q - load) for q, load in zip(quota, loads)]
         votes = parts.groupBy("group", "shard").agg(F.sum("n").alias("held"))
         weight = F.struct("held", F.xxhash64("group", "shard").alias("tie"), "shard")
-        # A full shard draws nobody, but keeps those who prefer it.
-        best = votes.groupBy("group").agg(
-            F.max(F.when(_lookup(room, F.col("shard")) > 0, weight)).alias("best")
-        )
-        own = votes.select("group", "shard", weight.alias("own"))
-        moves = (
-            parts.join(own, ["group", "shard"])
-            .join(best, "group")
-            .withColumn("wanted", F.when(F.col("best") > F.col("own"), F.col("best.shard")))
-            .withColumn("slice", F.pmod(F.xxhash64("group", "home", F.lit(number)), F.lit(SLICES)))
-        )
-        fits = F.col("wanted").isNotNull() & (F.col("n") <= _lookup(room, F.col("wanted")))
-        moves = materialise(
-            moves.select("group", "home", "shard", "n", "slice", F.when(fits, F.col("wanted")).alias("wanted")),
-            "moves",
+        votes = votes.groupBy("group").agg(F.collect_list(weight).alias("votes"))  # one per shard
+        # A shard without room for a part draws it not, but keeps those it holds.
+        moves = parts.join(votes, "group").withColumn("own", F.filter("votes", _is_own)[0])
+        drawing = F.filter("votes", lambda v: _draws(v, room))
+        moves = moves.select(
+            "group",
+            "home",
+            "shard",
+            "n",
+            F.pmod(F.xxhash64("group", "home", F.lit(number)), F.lit(SLICES)).alias("slice"),
+            F.array_max(drawing)["shard"].alias("wanted"),
         )
+        moves = materialise(moves, "moves")
         so_far = Window.partitionBy("wanted").orderBy("slice")
         let_in = (
             moves.where("wanted is not null")
