@@ -60,3 +60,20 @@ def test_odd_rows(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert {(r["page_id"], r["n_chars"]) for r in got.collect()} == {(1, 0), (None, 14), (3, 0), (4, 249999)}
     assert got.count() == 5 and mc.extract_pages(pages.where("false")).count() == 0
+
+
+def test_insets_part_no_text(table):
+    said, closing = "word " * 500, "end " * 40
+    advert = '<div class="ad">' + "<p><a href=#>buy</a> " * 60 + "</div>"
+    items = "<ul>" + "".join(f'<li><a href="/{i}">source number {i}</a></li>' for i in range(5)) + "</ul>"
+    for inset in (advert, f"<aside>{'note ' * 60}</aside>", f"<form><ul>{'<li>field</li>' * 60}</ul></form>"):
+        page = f"<div><p>{said}</p>{inset}<p>{closing}</p>{items}<p><a href=#>{closing}</a></p></div>"
+        want = [said.strip(), closing.strip(), *(f"source number {i}" for i in range(5)), closing.strip()]
+        for weights in (mc.Weights(), mc.fit(table("pages", "sf0.01"))):
+            assert mc.extract(page, weights).split("\n") == want
+
+
+def test_tags_cost_a_quarter_of_a_word_at_most():
+    weights = mc.learn({"": (5000, 10), "li": (0, 9000), "a": (0, 9000), "p": (900, 3)})
+    assert weights.tags["li"] == weights.tags["a"] == -weights.word / 4 <= weights.other
+    assert mc.learn({"": (1, 900), "li": (0, 9000)}).other == -0.125
