@@ -8,7 +8,8 @@ parts no text from the rest.
 
 Weights come from labelled pages: pages that mark their article by one ``article``
 or ``main`` element. How often a tag stands inside and outside the mark gives its
-log-odds, and likewise for words; a tag costs a quarter of a word at most. Pages are scored without use of the mark.
+log-odds, and likewise for words; a tag costs a quarter of a word at most. Pages are
+scored without use of the mark.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 LABELLED_PAGES = 2000
 TAG_FLOOR = 0.25  # what a tag costs at most, in words
+WRAPPER = 20  # words in an element around the content for one outside, at least
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -43,14 +45,26 @@ BLOCKS = frozenset(
     "section summary table tbody td tfoot th thead title tr ul".split()
 )
 BOILERPLATE = frozenset("aside button footer form head header menu nav title".split())
-# Parts of class, id and role names that mark boilerplate, whole words between - and _.
+# Class, id and role names that mark boilerplate, alone or as the last part behind - or _.
 CUES = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies dialog disqus footer gdpr header masthead menu modal nav navbar navigation newsletter "
     "notice pagination popup promo promoted related respond share sharing sidebar skip social "
     "sponsor sponsored subscribe toolbar widget".split()
 )
+# First parts of names that say what an element has beside or in it, not what it is.
+HAVING = frozenset("has have no with without".split())
 CONTENT = frozenset(["article", "main"])
+HEAD = frozenset("base link meta title".split())
+# Open elements of the second kind end where one of the first kind begins, if innermost.
+ENDS = {name: frozenset("p") for name in BLOCKS - {"caption", "legend"}} | {
+    "li": frozenset(["li", "p"]),
+    "dt": frozenset(["dt", "dd", "p"]),
+    "dd": frozenset(["dt", "dd", "p"]),
+    "td": frozenset(["td", "th", "p"]),
+    "th": frozenset(["td", "th", "p"]),
+    "tr": frozenset(["td", "th", "tr", "p"]),
+}
 
 
 @dataclass(frozen=True)
@@ -84,12 +98,82 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, list[str]]]:
                 yield "open", name, key, labels
 
 
+def _is_cue(label: str) -> bool:
+    parts = re.split(r"[_-]+", label)
+    return label in CUES or parts[-1] in CUES and parts[0] not in HAVING
+
+
 def _is_boilerplate(name: str, key: str, labels: list[str], weights: Weights) -> bool:
-    if name in CONTENT:
+    """By name alone; ``_outside`` decides on elements around most of a page."""
+    if name in ("html", "body"):
         return False
     if name in BOILERPLATE or key in weights.boilerplate:
         return True
-    return any(part in CUES for label in labels for part in re.split(r"[\s_-]+", label.lower()))
+    return any(_is_cue(part) for label in labels for part in label.lower().split())
+
+
+def _step(stack: list[tuple], kind: str, name: str) -> list[tuple]:
+    """Takes the elements that a tag ends from ``stack`` and returns them, last one first."""
+    ended = []
+    if kind == "open":
+        if name == "body" and all(entry[0] != "body" for entry in stack):
+            while stack and stack[-1][0] != "html":
+                ended.append(stack.pop())
+        elif name not in HEAD and stack and stack[-1][0] == "head":
+            ended.append(stack.pop())
+        while stack and stack[-1][0] in ENDS.get(name, ()):
+            ended.append(stack.pop())
+    elif any(name == entry[0] for entry in stack):
+        while not ended or ended[-1][0] != name:
+            ended.append(stack.pop())
+    return ended
+
+
+def _outside(found: list[tuple], weights: Weights) -> list[bool]:
+    """Whether each token stands in boilerplate or is a tag of it.
+
+    An element with a name of boilerplate is none when it holds most of the page's words
+    and either a first heading or nearly all words outside the others: it stands around
+    the content. Elements closed by their own tag whose tag means boilerplate always are.
+    """
+    # Of each marked element, and first of the page: the marked one around it, whether
+    # it is boilerplate in any case, its words outside other marked ones, whether it has h1.
+    around, certain, own, heading = [0], [False], [0], [False]
+    stack: list[tuple[str, int]] = []
+    inner, owners = 0, []
+    for kind, name, key, labels in found:
+        if kind == "text":
+            own[inner] += len(key.split())
+            owners.append(inner)
+            continue
+        owner = inner
+        for ended, before in _step(stack, kind, name):
+            if kind == "close" and ended == name and inner != before:
+                certain[inner] = name in BOILERPLATE and name != "form"
+            inner = before
+        if kind == "open":
+            if name not in VOID:
+                stack.append((name, inner))
+                if _is_boilerplate(name, key, labels, weights):
+                    around.append(inner)
+                    certain.append(name == "head")
+                    own.append(0)
+                    heading.append(False)
+                    inner = len(own) - 1
+            heading[inner] |= name == "h1"
+            owner = inner
+        owners.append(owner)
+    words = own.copy()
+    for i in range(len(own) - 1, 0, -1):
+        if not certain[i]:
+            words[around[i]] += words[i]
+            heading[around[i]] |= heading[i]
+    bad, rest = [False], own[0]
+    for i in range(1, len(own)):
+        most = 2 * words[i] > words[0] and (heading[i] or WRAPPER * rest < words[i])
+        bad.append(bad[around[i]] or certain[i] or not most)
+        rest += 0 if bad[i] else own[i]
+    return [bad[i] for i in owners]
 
 
 def count_tags(page: str) -> dict[str, list[int]] | None:
@@ -99,9 +183,16 @@ def count_tags(page: str) -> dict[str, list[int]] | None:
     marks = [i for i, (_, name, *_) in enumerate(found) if name in CONTENT]
     if len(marks) != 2 or found[marks[0]][0] != "open" or found[marks[1]][0] != "close":
         return None
+    stack: list[tuple[str, int]] = []
+    for i, (kind, name, *_) in enumerate(found[: marks[0]]):
+        if kind != "text":
+            _step(stack, kind, name)
+        if kind == "open" and name not in VOID:
+            stack.append((name, i))
+    around = {i for _, i in stack}  # what stands around the mark tells nothing of its sides
     counts: dict[str, list[int]] = {}
     for i, (kind, name, key, _) in enumerate(found):
-        if name in CONTENT:
+        if name in CONTENT or i in around:
             continue
         side = 0 if marks[0] < i < marks[1] else 1
         n = len(key.split()) if kind == "text" else 1
@@ -127,35 +218,22 @@ def learn(counts: dict[str, tuple[int, int]]) -> Weights:
 
 def extract(page: str | None, weights: Weights = Weights()) -> str:
     """The main text of a page: its blocks in page order, one to a line; empty for a
-    null or empty page and for a page whose words are all boilerplate."""
+    null or empty page and for a page whose words are all in boilerplate tags."""
     if not page:
         return ""
-    open_elements: list[tuple[str, bool]] = []
-    outside = 0  # open boilerplate elements
+    found = list(tokens(page))
     parts: list[tuple[str | None, float]] = []  # text or None for a block's edge, score
     best = run = 0.0
     best_from = best_to = run_from = 0
-    for kind, name, key, labels in tokens(page):
+    for (kind, name, key, _), outside in zip(found, _outside(found, weights)):
         if kind == "text":
-            score = weights.word * len(key.split()) if not outside else 0.0
-            parts.append((key if not outside else "", score))
+            score = weights.word * len(key.split())
+            parts.append(("" if outside else key, 0.0 if outside else score))
         else:
-            before = outside
-            if name in CONTENT and kind == "open":  # a mark ends what was left open before it
-                open_elements, outside = [], 0
-            if kind == "open" and name not in VOID:
-                bad = _is_boilerplate(name, key, labels, weights)
-                open_elements.append((name, bad))
-                outside += bad
-            elif kind == "close" and any(name == o for o, _ in open_elements):
-                while True:
-                    closed, bad = open_elements.pop()
-                    outside -= bad
-                    if closed == name:
-                        break
-            score = 0.0 if before or outside else weights.tags.get(key, weights.other)
-            parts.append((None if name in BLOCKS else " " if name == "br" else "", score))
-        run += score
+            score = weights.tags.get(key, weights.other)
+            edge = None if name in BLOCKS else " " if name == "br" else ""
+            parts.append((edge, 0.0 if outside else score))
+        run += parts[-1][1]
         if run <= 0:
             run, run_from = 0.0, len(parts)
         elif run > best:

@@ -77,3 +77,36 @@ def test_tags_cost_a_quarter_of_a_word_at_most():
     weights = mc.learn({"": (5000, 10), "li": (0, 9000), "a": (0, 9000), "p": (900, 3)})
     assert weights.tags["li"] == weights.tags["a"] == -weights.word / 4 <= weights.other
     assert mc.learn({"": (1, 900), "li": (0, 9000)}).other == -0.125
+
+
+def test_names_around_the_page_are_no_boilerplate():
+    said = " ".join(f"word{i}" for i in range(200))
+    inner = f"<nav>menu</nav><h1>Head</h1><p>{said}</p><div class='site-ad'>Buy this</div><p>The end</p>"
+    want = f"Head\n{said}\nThe end"
+    for page in (
+        f'<html class="has-cookies"><body class="page has-sidebar">{inner}</body></html>',
+        f'<body class="sidebar">{inner}</body>',
+        f'<div class="with-header">{inner}</div><footer>foot</footer>',
+        f'<body><div id="page-header"><div class="widget">{inner}</div></div></body>',
+        f"<body><form id=f>{inner}</form></body>",
+        f'<head><title>T</title><body><p class="notice">Note<p>{inner}',
+        f'<body><div class="share-story">{inner}</div></body>',
+        f'<div class="ad">never closed<div>{inner}</div>',
+    ):
+        assert mc.extract(page).endswith(want) and "Buy" not in mc.extract(page)
+    learned = mc.Weights(boilerplate=frozenset(["div.story"]))
+    assert mc.extract(f'<body><div class="story">{inner}</div></body>', learned) == want
+
+
+def test_names_of_smaller_elements_stay_boilerplate():
+    said = "word " * 20
+    for name in ("comments", "user-comments", "x share"):
+        page = f"<div><p>{said}</p><div class='{name}'>{'other ' * 60}</div><p>closing</p></div>"
+        assert mc.extract(page) == said.strip() + "\nclosing"
+    assert mc.extract(f"<p>{said}</p><aside>{'other ' * 900}</aside>") == said.strip()
+
+
+def test_elements_around_the_mark_are_not_counted_outside():
+    page = '<body class="b"><div class="story"><p class="ad">x</p><article><p>text</p></article></div></body>'
+    counts = mc.count_tags(page)
+    assert "div.story" not in counts and "body.b" not in counts and counts["p.ad"] == [0, 1]
