@@ -26,6 +26,9 @@ KINDS = BASE_KINDS + EXTRA_KINDS
 # Cues, in lower case, that announce an identifier behind them.
 ACCOUNT_CUES = ("account", "acct", "konto", "compte", "cuenta", "passport", "ssn", "customer no")
 SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "akia")
+# Characters behind the cue of an IBAN that are read across ends of lines; from there
+# on it is sought to the end of the line.
+IBAN_NEAR = 60
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,7 +40,7 @@ _SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+=.-]{8,})")
 _ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _ACCOUNT = re.compile(r"(?:\s{0,3}(?:no\.?|nr\.?|number|id|#))?\s{0,3}[:=#]?\s{0,3}([A-Z]{0,3}[0-9][0-9-]{4,17}[0-9])(?![0-9A-Za-z])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8}")
-_URL_USER = re.compile(r"://[^\s/@:]{1,256}:[^\s/@]{1,256}@[A-Za-z0-9.-]+")
+_URL_USER = re.compile(r"://[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+")
 
 
 @lru_cache(maxsize=1)
@@ -132,13 +135,19 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         elif anchor == "scheme":
             near("url_user", _URL_USER.match(text, first))
         elif anchor == "iban":
-            for match in _IBAN.finditer(text, last + 1, min(len(text), last + 60)):
-                code = match.group()
-                while len(code) >= 15 and not passes_iban(code):
-                    code = code[:-1].rstrip()
-                if len(code) >= 15 and match.start() >= past["iban"]:
-                    take("iban", match.start(), match.start() + len(code), True)
-                break
+            # To the end of a line, each stretch once however many cues stand before it.
+            if last + IBAN_NEAR > past["iban"]:
+                end = text.find("\n", last + IBAN_NEAR)
+                end = len(text) if end < 0 else end
+                at = max(last + 1, past["iban"])
+                while match := _IBAN.search(text, at, end):
+                    code = match.group()
+                    while len(code) >= 15 and not passes_iban(code):
+                        code = code[:-1].rstrip()
+                    at = match.start() + (len(code) if len(code) >= 15 else 1)
+                    if len(code) >= 15:
+                        take("iban", match.start(), at, True)
+                past["iban"] = end
         elif anchor == "account":
             if not text[first - 1 : first].isalnum():
                 near("account", _ACCOUNT.match(text, last + 1), 1)

@@ -47,6 +47,23 @@ def test_further_kinds():
     assert kinds("Licensed under CC BY-NC 4.0. The password is long.") == []
 
 
+def test_ibans_of_a_line_and_long_url_users():
+    def found(text, kind="iban"):
+        return [text[a:b] for k, a, b in pd.find(text) if k == kind]
+
+    one, other = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for n in range(300):  # wherever it begins, on the line of its cue
+        assert found(f"IBAN {'x' * n} {one} und") == [one]
+    assert found(f"IBAN: {one} oder {other}") == found(f"IBAN: {one} {other}") == [one, other]
+    assert found(f"IBAN ref AB12 3456 7890 1234 {one}; IBAN {other}") == [one, other]
+    assert found(f"IBAN:\n{one}\nIBAN\n{other}") == [one, other]
+    assert found(f"iban {'x' * 100}\n{one}") == []
+    assert len(found(f"iban iban {one} " * 20000)) == 20000
+    for n in (10, 256, 257, 5000):
+        url = f"://{'u' * n}:{'p' * n}@host.org"
+        assert found(f"see https{url}/x", "url_user") == [url]
+
+
 def test_mask():
     text = "İ mail a.b@c.org or +1 (988) 555-2485 now"
     assert pd.mask(text, pd.find(text)) == "İ mail <email> or <phone> now"
