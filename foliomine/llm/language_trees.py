@@ -119,19 +119,27 @@ class Model:
 def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """``lang, text`` of at most ``per_language`` documents a language, those whose
     doc_id has the smallest hash, out of the documents with crc32 of the doc_id's
-    digits not 2 modulo 4. Rows without doc_id, text or lang are left out."""
+    digits not 2 modulo 4. Equal rows count once. Rows without doc_id, text or lang are
+    left out."""
     usable = docs.where("doc_id is not null and lang is not null and text is not null")
     usable = usable.where(remainder(F.col("doc_id"), 4) != 2).select("doc_id", "lang", "text")
     # A row per language, of which the model holds a table each. Twice the wanted number
-    # is let through by the hash, so few rows meet to be ranked, however many there are.
-    shares = {r["lang"]: 2 * per_language / r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # of ids is let through by the hash, so few rows meet to be ranked, however many there
+    # are. The count of ids may be some per cent off.
+    ids = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
+    shares = {r["lang"]: 2 * per_language / r["n"] for r in ids.collect()}
     if not shares:
         return usable.select("lang", "text")
     share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("lang")]
     place = F.xxhash64("doc_id")
     let_in = F.pmod(place, F.lit(_HASHES)) < share * _HASHES
     by_hash = Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(_HASHES)), "doc_id", "text")
-    ranked = usable.where(let_in).withColumn("place", F.row_number().over(by_hash))
+    distinct = (
+        usable.where(let_in)
+        .groupBy("lang", "doc_id", F.sha2("text", 256).alias("text_hash"))
+        .agg(F.any_value("text").alias("text"))
+    )
+    ranked = distinct.withColumn("place", F.row_number().over(by_hash))
     return ranked.where(F.col("place") <= per_language).select("lang", "text")
 
 

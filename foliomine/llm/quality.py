@@ -99,13 +99,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """Weights learned from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``.
 
     At most ``max_train`` labelled documents are used, those whose doc_id has the
-    smallest hash; the order of training is the order of the hash. They meet in one
-    task, which holds no more than this bound. Rows without doc_id, text or label
-    are left out. Without any example all weights are zero, so every score is 0.5.
+    smallest hash; the order of training is the order of the hash. Equal rows count
+    once, of labels and of documents. They meet in one task, which holds no more than
+    this bound. Rows without doc_id, text or label are left out. Without any example all weights are zero, so every score is 0.5.
     """
     chosen = (
         labels.where("doc_id is not null and quality is not null")
         .select("doc_id", F.col("quality").cast("int").alias("quality"))
+        .distinct()
         .withColumn("place", F.xxhash64("doc_id"))
         .orderBy("place", "doc_id", "quality")
         .limit(settings.max_train)
@@ -113,7 +114,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     rows = docs.where("doc_id is not null and text is not null").select(
         "doc_id", F.col("text").cast("binary").alias("text")
     )
-    sample = rows.join(chosen, "doc_id").withColumn("all", F.lit(1))
+    keys = ["place", "doc_id", "quality", "text_hash"]
+    sample = (
+        rows.join(chosen, "doc_id")
+        .groupBy("place", "doc_id", "quality", F.sha2("text", 256).alias("text_hash"))
+        .agg(F.any_value("text").alias("text"))
+        .orderBy(*keys)
+        .limit(settings.max_train)
+        .withColumn("all", F.lit(1))
+    )
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["place", "doc_id", "quality", "text"])

@@ -68,3 +68,12 @@ def test_odd_rows(documents, none):
     assert lt.identify(none).count() == 0
     nothing = lt.identify(documents.drop("lang").selectExpr("*", "cast(null AS string) AS lang"))
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
+
+
+def test_repeated_rows_are_sampled_once(spark):
+    rows = [(i, "xx", f"text of number {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    want = sorted(r["text"] for r in lt.training_sample(docs, 10).collect())
+    hot = [r for r in rows if r[2] == want[0]] * 200
+    got = lt.training_sample(docs.union(spark.createDataFrame(hot, docs.schema)), 10).collect()
+    assert len(want) == 10 and sorted(r["text"] for r in got) == want

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 
 from foliomine.llm import quality as q
@@ -39,3 +41,29 @@ def test_odd_rows(spark, documents, none):
     assert {r["score"] for r in q.score_quality(documents, labels.where("false")).collect()} == {0.5}
     kept = q.keep_quality(documents, labels.where("false"))
     assert kept.columns == documents.columns and kept.count() == documents.count()
+
+
+def test_repeated_rows_train_once(spark):
+    settings = q.Settings(bits=10, max_train=12)
+    rows = [(i, f"text number {i} of words w{i} x{i % 3}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    want = q.fit(docs, labels, settings)
+    assert want.any()
+    for hot in range(30):
+        if (q.fit(docs.where(f"doc_id <> {hot}"), labels, settings) != want).any():
+            break  # an id of the sample
+    again = docs.union(spark.createDataFrame([rows[hot]] * 200, docs.schema))
+    marks = labels.union(spark.createDataFrame([(hot, hot % 2)] * 200, labels.schema))
+    assert (q.fit(again, labels, settings) == want).all()
+    assert (q.fit(docs, marks, settings) == want).all()
+
+
+def test_texts_of_one_id_keep_the_bound(spark):
+    settings = q.Settings(bits=10, max_train=5)
+    texts = [f"text number {i} of w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    chosen = sorted(sorted(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())[:5])
+    want = q.train([(*q.features(t, 10), 1) for t in chosen], settings)
+    assert (q.fit(docs, labels, settings) == want).all()
