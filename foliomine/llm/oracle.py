@@ -43,3 +43,82 @@ SELECT d.id AS doc_id, i.id AS item_id, any_value(n_item) AS n_item, count(*) AS
 FROM shingles d JOIN items i USING (s) WHERE d.kind = 'd'
 GROUP BY ALL HAVING 100 * count(*) >= 80 * any_value(n_item)
 """
+
+ORACLES["op12_source_audit"] = r"""
+WITH rows AS (
+    SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
+        coalesce(source, '') AS source
+    FROM documents
+), said AS (
+    SELECT row, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+    FROM rows
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM said GROUP BY ALL HAVING count(DISTINCT row) >= 30
+), sizes AS (
+    SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), groups AS (
+    SELECT DISTINCT lang, source FROM rows
+), own AS (
+    SELECT lang, source, term, count(*) AS n FROM said SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (
+    SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL
+), shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n,
+        1 + 1000000000::HUGEINT * (coalesce(o.n, 0) + 5) // (coalesce(t.total, 0) + 5 * s.v) AS p,
+        1 + 1000000000::HUGEINT * (k.n + 5) // (s.total + 5 * s.v) AS q
+    FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang)
+    LEFT JOIN own o USING (lang, source, term) LEFT JOIN totals t USING (lang, source)
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+    LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+    GROUP BY ALL
+), terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+def _clustering(rounds: int) -> str:
+    """Rounds of assignments and of new centroids, one after the other."""
+
+    def assignment(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (
+    SELECT row, vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) ** 2))::BIGINT AS d
+    FROM vectors, c{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, k) = 1
+)"""
+
+    def update(r: int) -> str:
+        return f"""s{r} AS (
+    SELECT k, i, sum(x) AS s, count(*) AS n
+    FROM (SELECT k, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY ALL
+), c{r + 1} AS MATERIALIZED (
+    SELECT k, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN (
+        SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{r} GROUP BY k
+    ) m USING (k)
+)"""
+
+    steps = [x for r in range(rounds) for x in (assignment(r), update(r))]
+    return f"""
+WITH vectors AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id,
+        list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS k, v AS c
+    FROM vectors QUALIFY k < 8
+), {", ".join([*steps, assignment(rounds)])}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia,
+    sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)
+"""
+
+
+ORACLES["op13_centroids"] = _clustering(10)

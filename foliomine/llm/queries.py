@@ -1,9 +1,11 @@
 """Registered queries of the operators, ``name -> (spark, sf_dir) -> DataFrame``."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from foliomine.llm import (
+    centroids,
     chat_format,
     decontamination,
     language_trees,
@@ -14,6 +16,8 @@ from foliomine.llm import (
     quality,
     repetition,
     sharding,
+    source_audit,
+    token_counts,
 )
 
 QUERIES = {}
@@ -82,6 +86,22 @@ def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data.digest(personal_data.find_personal_data(table(spark, sf, "documents")))
 
 
+@query
+def op11_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts.count_tokens(table(spark, sf, "documents"), token_counts.Settings(path))
+
+
+@query
+def op12_source_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return source_audit.audit_sources(table(spark, sf, "documents"))
+
+
+@query
+def op13_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)

@@ -20,6 +20,9 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 2**64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
+#: Bytes that are hashed at once: bounds the tables of powers, whatever a text's length.
+WINDOW = 1 << 20
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -61,9 +64,34 @@ def as_bytes(text: str | bytes | None, lower: bool = False) -> np.ndarray:
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each byte range, equal for equal bytes."""
+    """A hash of each byte range, equal for equal bytes. The ranges come in order and
+    don't overlap."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    if ends[-1] - starts[0] <= WINDOW:
+        at, to = starts[0], ends[-1]
+        return _hashes(data[at:to], starts - at, ends - at)
+    found = np.zeros(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(ends, starts[i] + WINDOW, side="right"))
+        if j > i:
+            at, to = starts[i], ends[j - 1]
+            found[i:j] = _hashes(data[at:to], starts[i:j] - at, ends[i:j] - at)
+        else:  # longer than a window: its pieces' hashes, hashed as an n-gram
+            j = i + 1
+            pieces = np.arange(starts[i], ends[i], WINDOW)
+            parts = [_hashes(data[p : min(p + WINDOW, ends[i])], *_whole(p, ends[i])) for p in pieces]
+            found[i] = ngram_hashes(np.concatenate(parts), len(parts))[0]
+        i = j
+    return found
+
+
+def _whole(start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(1, dtype=np.int64), np.array([min(WINDOW, end - start)])
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         prefix = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE_VALUES[data] * _power_table(_BASE, len(data)), out=prefix[1:])

@@ -35,3 +35,13 @@ def test_shingle_set_folds_ascii_letters_alone():
     assert not np.array_equal(w.shingle_set("É b", 2), w.shingle_set("é b", 2))
     assert len(w.shingle_set("one two", 3)) == 1
     assert len(w.shingle_set(None, 3)) == len(w.shingle_set(" ", 3)) == 0
+
+
+def test_windows_change_no_hash_of_a_word_that_fits(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("x" * rng.randrange(1, 30) + str(rng.randrange(9)) for _ in range(400))
+    whole = w.word_hashes(text)
+    monkeypatch.setattr(w, "WINDOW", 64)
+    assert np.array_equal(w.word_hashes(text), whole)
+    long = w.word_hashes("y" * 200 + " " + "y" * 200 + " a " + "y" * 201 + " z" + "y" * 199)
+    assert long[0] == long[1] and len(set(long.tolist())) == 4
