@@ -87,11 +87,14 @@ def _reply_or(ai_value: Column, is_empty: Column, other: Column) -> Column:
 
 
 def with_replies(documents: DataFrame, normalised_replies: DataFrame) -> DataFrame:
-    """Add ``reply``, at most one per document, NULL where there is none.
+    """Add ``reply``, NULL where there is none. Replies to chunks (``chunk_no``) are
+    merged first, so a document stays one row; other replies are at most one per document.
 
     Joined before :func:`extract`, the shuffle moves a document's text once and
     nothing that is extracted from it.
     """
+    if "chunk_no" in normalised_replies.columns:
+        normalised_replies = rp.merge(normalised_replies)
     reply = F.struct("error", *REPLY_FIELDS).alias("reply")
     return documents.join(normalised_replies.select("doc_id", reply), "doc_id", "left")
 

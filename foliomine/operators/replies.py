@@ -105,6 +105,76 @@ def normalise(replies: DataFrame) -> DataFrame:
     )
 
 
+def _distinct_in_order(parts: Column, name: str) -> Column:
+    return F.array_distinct(F.flatten(F.transform(parts, lambda p: p[name])))
+
+
+def _last_by_key(parts: Column, name: str) -> Column:
+    """The entries of all parts as one map; of a repeated key the last one counts.
+
+    Sorted by key and then from the last to the first, a kept entry is one whose key
+    differs from that before it: the cost is that of sorting.
+    """
+    entries = F.flatten(F.transform(parts, lambda p: p[name]))
+    ranked = F.array_sort(
+        F.transform(
+            entries,
+            lambda e, i: F.struct(e["key"].alias("key"), (-i).alias("place"), e["value"].alias("value")),
+        )
+    )
+    last = F.transform(
+        F.array(ranked),
+        lambda r: F.filter(r, lambda e, i: (i == 0) | (e["key"] != F.get(r, i - 1)["key"])),
+    )[0]
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
+
+def merge(normalised: DataFrame, part: str = "chunk_no", separator: str = "") -> DataFrame:
+    """One reply per document from those to its parts: ``(doc_id, error, <fields>,
+    n_parts, n_failed)``.
+
+    Parts are taken in the order of the column ``part``. The type is the first known one,
+    texts that are not empty are joined by ``separator``, lists are united in the order of first appearance,
+    of a map's repeated key the last value counts. Replies that could not be used are
+    counted and left out; where none could, ``error`` is that of the first. Equal rows
+    are one part, as when a request was sent again. A document's replies meet in one
+    row, which holds its text in the result too.
+    """
+    maps, lists = ("metadata", "key_value_pairs"), ("people", "organizations", "dates", "amounts")
+    row = F.struct(
+        F.col(part).alias("part"),
+        "error",
+        "document_type",
+        "text",
+        *[F.map_entries(name).alias(name) for name in maps],
+        *lists,
+    )
+    gathered = normalised.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.collect_list(row))).alias("parts"))
+    sorted_parts = gathered.select(
+        "doc_id",
+        "parts",
+        F.filter("parts", lambda p: p["error"].isNull()).alias("usable"),
+    )
+    usable, any_usable = F.col("usable"), F.size("usable") > 0
+    known = F.filter(usable, lambda p: p["document_type"] != UNKNOWN_TYPE)
+    written = F.filter(F.transform(usable, lambda p: p["text"]), lambda t: t != "")
+
+    def field(name: str, value: Column) -> Column:
+        return F.when(any_usable, value).alias(name)
+
+    return sorted_parts.select(
+        "doc_id",
+        F.when(~any_usable, F.get("parts", F.lit(0))["error"]).alias("error"),
+        field("document_type", F.coalesce(F.get(known, F.lit(0))["document_type"], F.lit(UNKNOWN_TYPE))),
+        field("metadata", _last_by_key(usable, "metadata")),
+        field("text", F.array_join(written, separator)),
+        field("key_value_pairs", _last_by_key(usable, "key_value_pairs")),
+        *[field(name, _distinct_in_order(usable, name)) for name in lists],
+        F.size("parts").alias("n_parts"),
+        (F.size("parts") - F.size("usable")).alias("n_failed"),
+    )
+
+
 def normalise_statement(replies: DataFrame) -> DataFrame:
     """Statement replies: ``account_info``, ``statement_details``, ``transactions``.
     Numbers may be sent as numbers or as text."""

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliomine.functions import categories
 from foliomine.functions.text import (
@@ -19,6 +19,7 @@ from foliomine.schema import TRANSACTION
 DATED_LINE = r"(\d{2}\.\d{2}\.\d{4})\s+([^-\d].*?)(?:\s+|$)([-\d.,]+)?\s*$"
 MANDATE = r"Mandat:([^\n]+)"
 REFERENCE = r"Referenz:([^\n]+)"
+BLOCK_LINES = 100_000  # lines of a statement that one task numbers
 NO_DESCRIPTION = ["buchung", "valuta"]
 BALANCES = {
     "opening_balance": r"Alter\s+Saldo\s+([\d.,]+)\s*Euro",
@@ -32,7 +33,8 @@ def transaction_blocks(text: Column) -> Column:
 
     Lines before the first dated line belong to no block. All lines of a
     document are in its row, so cutting them there needs no shuffle, no window
-    and no order column, and a statement with very many lines is no hot key.
+    and no order column, but one task does it; :func:`transactions_of_lines` spreads a
+    statement that is too long for that.
     """
     dated = pattern(DATED_LINE)
 
@@ -107,16 +109,19 @@ def transactions(documents: DataFrame, text: str = "text") -> DataFrame:
     A dated line whose date or amount does not parse opens a block of its own,
     which is left out with the lines that follow it.
     """
+    blocks = documents.select(
+        "doc_id", F.posexplode(transaction_blocks(F.col(text))).alias("n", "block")
+    )
+    return _of_blocks(blocks.select("doc_id", (F.col("n") + 1).alias("txn_no"), "block"))
+
+
+def _of_blocks(blocks: DataFrame) -> DataFrame:
+    """The transactions of ``blocks(doc_id, txn_no, block)``."""
 
     def columns(fields: dict[str, Column]) -> list[Column]:
         return [column.alias(name) for name, column in fields.items()]
 
-    blocks = documents.select(
-        "doc_id", F.posexplode(transaction_blocks(F.col(text))).alias("n", "block")
-    )
-    split = blocks.select(
-        "doc_id", (F.col("n") + 1).alias("txn_no"), *columns(_split_block(F.col("block")))
-    )
+    split = blocks.select("doc_id", "txn_no", *columns(_split_block(F.col("block"))))
     read = split.select("doc_id", "txn_no", *columns(_read_head(F.col)))
     return read.where(_well_formed(F.col)).select(
         "doc_id",
@@ -127,6 +132,50 @@ def transactions(documents: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def line_rows(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``(doc_id, line_no, line)`` of each document's lines, numbered from 1."""
+    lines = documents.select("doc_id", F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    return lines.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def with_transaction_no(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """``lines(doc_id, line_no, line)`` with ``txn_no``, the number of dated lines in their
+    document up to them; 0 for lines before the first one.
+
+    A prefix sum in two levels. A document's lines are dealt out in blocks of
+    ``block_lines`` line numbers and summed up there; the blocks' totals, a row per block,
+    are summed up by document, and each block starts from the total of those before it.
+    No task holds more than one block of lines at a time, however long a statement is.
+    """
+    block = F.floor(F.col("line_no") / block_lines).alias("block")
+    dated = F.when(F.col("line").rlike(pattern(DATED_LINE)), 1).otherwise(0).alias("dated")
+    marked = lines.select("doc_id", "line_no", "line", block, dated)
+    totals = marked.groupBy("doc_id", "block").agg(F.sum("dated").alias("n"))
+    earlier = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("doc_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carry"))
+    inside = Window.partitionBy("doc_id", "block").orderBy("line_no").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    counted = marked.withColumn("n", F.sum("dated").over(inside))
+    return counted.join(carried, ["doc_id", "block"]).select(
+        "doc_id", "line_no", "line", (F.col("carry") + F.col("n")).cast("int").alias("txn_no")
+    )
+
+
+def transactions_of_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """As :func:`transactions`, from ``lines(doc_id, line_no, line)``.
+
+    Line numbers are unique in their document and give its order; they may have gaps.
+    The lines of one transaction meet in one row.
+    """
+    numbered = with_transaction_no(lines, block_lines).where("txn_no > 0")
+    gathered = numbered.groupBy("doc_id", "txn_no").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines")
+    )
+    blocks = gathered.select("doc_id", "txn_no", F.transform("lines", lambda l: l["line"]).alias("block"))
+    return _of_blocks(blocks)
+
+
 def transaction_array(text: Column) -> Column:
     """The transactions of one document as an array, for its record."""
 

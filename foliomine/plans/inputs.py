@@ -9,7 +9,7 @@ known from the rows it was rendered from.
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliomine.functions import files as ff
-from foliomine.operators import catalog
+from foliomine.operators import catalog, replies
 from foliomine.operators.attributes import first_per_key
 from foliomine.sources import pages
 from foliomine.sources.tables import read_table
@@ -128,20 +128,45 @@ def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text)``: a bank statement per customer and key range."""
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+def _order_entry() -> list[Column]:
+    """The lines of an order in a statement; NULL where an order lacks one."""
+    key = F.col("o_orderkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     label = F.element_at(
         F.array(*[F.lit(d) for d in ("Miete", "REWE Markt", "Allianz", "Netflix", "Sonstiges")]),
         (key % 5 + 1).cast("int"),
     )
-    entry = _lines(
+    return [
         _text(F.date_format("o_orderdate", "dd.MM.yyyy"), " ", label, " -", german(cents)),
         F.when(key % 3 == 0, _text("Mandat: M", key)),
         F.when(key % 2 == 0, _text("Referenz: R", key)),
         F.when(key % 7 == 0, _text("Filiale ", key % 7)),
+    ]
+
+
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, line_no, line)``: the running statement of each customer's account as
+    rows, of any length; a line number is the order's key and the place in its entry."""
+    entry = F.filter(F.array(*_order_entry()), lambda line: line.isNotNull())
+    lines = table(spark, sf_dir, "orders").select(
+        _text("acc-", F.col("o_custkey")).alias("doc_id"),
+        (F.col("o_orderkey") * 4).alias("first"),
+        F.posexplode(entry).alias("i", "line"),
     )
+    lines = lines.select("doc_id", (F.col("first") + F.col("i")).alias("line_no"), "line")
+    heads = table(spark, sf_dir, "customer").select(
+        _text("acc-", F.col("c_custkey")).alias("doc_id"),
+        F.lit(-1).cast("bigint").alias("line_no"),
+        _text("Girokonto Nummer ", F.col("c_custkey")).alias("line"),
+    )
+    return heads.unionByName(lines)
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)``: a bank statement per customer and key range."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    entry = _lines(*_order_entry())
     block = F.floor(key / ORDERS_PER_STATEMENT).cast("bigint")
     grouped = (
         table(spark, sf_dir, "orders")
@@ -348,9 +373,47 @@ def turn_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last reply of each conversation, as the reply to the document of its number."""
-    last = turn_replies(spark, sf_dir).groupBy("doc_id").agg(F.max(F.struct("turn", "reply")).alias("r"))
-    return last.select(_text("doc-", F.col("doc_id")).alias("doc_id"), "r.reply")
+    """The replies to all turns of each conversation, merged in their order, as the reply to
+    the document of its number."""
+    turns = replies.normalise(turn_replies(spark, sf_dir))
+    merged = replies.merge(turns, part="turn", separator="\n")
+    return merged.withColumn("doc_id", _text("doc-", F.col("doc_id")))
+
+
+def chunk_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, chunk_no, reply)``: a JSON reply to each chunk of each document's text.
+    Keys and names come back in several chunks, some replies are no JSON."""
+    no = F.col("chunk_no")
+    number = no.cast("string")
+    reply = F.to_json(
+        F.struct(
+            F.when(no % 2 == 0, _text("type", no)).alias("document_type"),
+            F.create_map(F.lit("purpose"), _text("part ", no)).alias("metadata"),
+            F.col("user_text").alias("text"),
+            F.create_map(_text("k", no % 4), number).alias("key_value_pairs"),
+            F.array(_text("P", no % 3), F.lit("Ann")).alias("people"),
+            F.when(no % 2 == 1, F.array(number)).alias("amounts"),
+        )
+    )
+    broken = F.length("user_text") % 10 == 3
+    return replies.requests(prose(spark, sf_dir)).select(
+        "doc_id", "chunk_no", F.when(broken, F.lit("Sorry")).otherwise(reply).alias("reply")
+    )
+
+
+def failed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain files, one per event, whose AI step failed with a message of its type."""
+    quota = F.col("event_type").isin("error", "click")
+    return table(spark, sf_dir, "events").select(
+        _text("event/", F.col("event_id")).alias("path"),
+        F.timestamp_seconds(F.lit(EPOCH)).alias("modified_at"),
+        ff.checksum(F.col("props")).alias("checksum"),
+        F.col("props").alias("text"),
+        F.when(quota, "RateLimitError").otherwise("TimeoutError").alias("error_type"),
+        F.when(quota, _text("Quota exceeded on ", F.col("event_type")))
+        .otherwise(_text("no answer to ", F.col("event_type")))
+        .alias("error_message"),
+    )
 
 
 def statement_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

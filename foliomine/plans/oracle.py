@@ -414,6 +414,10 @@ TRANSACTIONS = f"""
       CASE WHEN k % 3 = 0 THEN 'M' || k ELSE '' END AS mandate
     FROM ({ORDERS})"""
 ORACLES["transactions"] = TRANSACTIONS
+ORACLES["transactions_of_lines"] = f"""
+    SELECT * EXCLUDE (c, k) REPLACE ('acc-' || c AS doc_id,
+      CAST(row_number() OVER (PARTITION BY c ORDER BY k) AS INTEGER) AS txn_no)
+    FROM ({TRANSACTIONS.replace("SELECT ", "SELECT c, k, ", 1)})"""
 _CATEGORY = " ".join(
     "WHEN " + " OR ".join(f"contains(lower(label), {_q(w)})" for w in words) + f" THEN {_q(name)}"
     for name, words in CATEGORY_KEYWORDS.items()
@@ -555,6 +559,23 @@ ORACLES["ai_reply_normalise"] = f"""
       {_ok("CASE WHEN conv_id % 4 = 2 THEN '2024-01-31' ELSE '' END")} AS dates,
       {_ok("CASE WHEN conv_id % 4 = 3 THEN '12.50|' || turn ELSE '' END")} AS amounts
     FROM conversations"""
+ORACLES["ai_chunked_replies"] = f"""
+    WITH ch AS (SELECT doc_id, chunk_no AS c, user_text AS t, length(user_text) % 10 = 3 AS bad
+                FROM ({ORACLES["ai_requests"]})),
+    names AS (SELECT doc_id, list('P' || p ORDER BY first_c) AS l FROM (
+                SELECT doc_id, c % 3 AS p, min(c) AS first_c FROM ch WHERE NOT bad GROUP BY ALL) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN bool_and(bad) THEN {_q(replies.PARSE_FAILED)} END AS error,
+      CASE WHEN NOT bool_and(bad) THEN coalesce('type' || min(c) FILTER (NOT bad AND c % 2 = 0), 'unknown') END
+        AS document_type,
+      md5(string_agg(t, '' ORDER BY c) FILTER (NOT bad)) AS text_md5, 'part ' || max(c) FILTER (NOT bad) AS purpose,
+      CASE WHEN NOT bool_and(bad) THEN concat_ws(';', {", ".join(
+          f"'k{k}=' || max(c) FILTER (NOT bad AND c % 4 = {k})" for k in range(4))}) END AS pairs,
+      CASE WHEN NOT bool_and(bad) THEN
+        array_to_string(list_concat([any_value(l)[1], 'Ann'], any_value(l)[2:]), '|') END AS people,
+      CASE WHEN NOT bool_and(bad) THEN
+        coalesce(string_agg(CAST(c AS VARCHAR), '|' ORDER BY c) FILTER (NOT bad AND c % 2 = 1), '') END AS amounts,
+      CAST(count(*) AS INTEGER) AS n_parts, CAST(count(*) FILTER (bad) AS INTEGER) AS n_failed
+    FROM ch LEFT JOIN names USING (doc_id) GROUP BY doc_id"""
 _CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 ORACLES["ai_statement_replies"] = f"""
     SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 10 = 0 THEN {_q(replies.PARSE_FAILED)} END AS error,
@@ -602,9 +623,12 @@ ORACLES["language_id"] = f"""
 # --- records ---------------------------------------------------------------
 
 _TIME = f"CAST({EPOCH + DAY} AS BIGINT) AS processed_s"
-_LAST_TURN = """
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn
-                   FROM conversations) WHERE rn = 1"""
+_ALL_TURNS = f"""
+    SELECT 'doc-' || conv_id AS doc_id, conv_id, arg_min(role, turn) AS role,
+      coalesce(string_agg(text, {NL} ORDER BY turn) FILTER (text <> ''), '') AS reply_text,
+      max(turn) AS last_turn, string_agg(CAST(turn AS VARCHAR), '|' ORDER BY turn) AS turns,
+      conv_id % 10 <> 0 AS ai, any_value({_REPLY_ERROR}) AS err
+    FROM (SELECT DISTINCT * FROM conversations) o GROUP BY conv_id"""
 ORACLES["records"] = f"""
     WITH {_confidence_ctes(MIXED)},
     zj AS (SELECT doc_id, {_JOINED_ZONES} AS zones_text FROM zt GROUP BY doc_id),
@@ -613,11 +637,12 @@ ORACLES["records"] = f"""
     fl AS ({_fields("docs")}), nf AS (SELECT doc_id, count(*) AS n FROM fl GROUP BY doc_id),
     tx AS ({TRANSACTIONS}), nt AS (SELECT doc_id, count(*) AS n FROM tx GROUP BY doc_id),
     bal AS ({BALANCE_ROWS}),
-    rp AS (SELECT 'doc-' || conv_id AS doc_id, conv_id, turn, role, text AS reply_text,
-                  conv_id % 10 <> 0 AS ai, {_REPLY_ERROR} AS err FROM ({_LAST_TURN})),
+    seen AS (SELECT conv_id, string_agg(role, '|' ORDER BY first_turn) AS roles FROM (
+               SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY ALL) GROUP BY conv_id),
+    rp AS (SELECT * FROM ({_ALL_TURNS}) LEFT JOIN seen USING (conv_id)),
     x AS (SELECT docs.*, coalesce(zones_text || substr(text, length(page_text) + 1), text) AS found, conf.c, coalesce(np.n, 0) AS np,
                  coalesce(nf.n, 0) AS nf, coalesce(nt.n, 0) AS nt, bal.closing_balance,
-                 conv_id, turn, role, reply_text, coalesce(ai, false) AS ai, err
+                 conv_id, last_turn, turns, roles, role, reply_text, coalesce(ai, false) AS ai, err
           FROM docs LEFT JOIN zj USING (doc_id) LEFT JOIN conf USING (doc_id) LEFT JOIN np USING (doc_id)
           LEFT JOIN nf USING (doc_id) LEFT JOIN nt USING (doc_id) LEFT JOIN bal USING (doc_id)
           LEFT JOIN rp USING (doc_id))
@@ -627,9 +652,11 @@ ORACLES["records"] = f"""
       closing_balance,
       md5(CASE WHEN ai AND conv_id % 4 <> 2 AND reply_text <> '' THEN reply_text ELSE found END) AS text_md5,
       CAST(CASE WHEN ai AND conv_id % 4 <> 3 THEN 1 ELSE np END AS INTEGER) AS n_pairs,
+      CASE WHEN ai AND conv_id % 4 <> 3 THEN CAST(last_turn AS VARCHAR) END AS last_turn,
+      CASE WHEN ai AND conv_id % 4 = 1 THEN 'Bank AG|' || roles ELSE '' END AS organizations,
       CASE WHEN ai AND conv_id % 4 = 0 THEN 'Person ' || conv_id ELSE '' END AS people,
       CASE WHEN ai AND conv_id % 4 = 2 THEN '2024-01-31' ELSE {_bag('text', en.DATE_PATTERNS)} END AS dates,
-      CASE WHEN ai AND conv_id % 4 = 3 THEN '12.50|' || turn ELSE {_bag('text', en.AMOUNT_PATTERNS)} END AS amounts,
+      CASE WHEN ai AND conv_id % 4 = 3 THEN '12.50|' || turns ELSE {_bag('text', en.AMOUNT_PATTERNS)} END AS amounts,
       CAST(nt AS INTEGER) AS n_transactions,
       CAST(CASE WHEN ai AND conv_id % 4 <> 1 THEN 1 ELSE nf END AS INTEGER) AS n_fields,
       CASE WHEN ai THEN 'ai' ELSE 'traditional' END AS method,
@@ -643,3 +670,9 @@ ORACLES["basic_records"] = f"""
       {_strip("regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g')")} AS text,
       {_bag("text", [en.BASIC_DATE_PATTERN])} AS dates, {_bag("text", [en.BASIC_AMOUNT_PATTERN])} AS amounts
     FROM ({FILES})"""
+ORACLES["failed_records"] = f"""
+    SELECT 'event/' || event_id AS path, 'traditional' AS method,
+      CASE WHEN q THEN 'RateLimitError' ELSE 'TimeoutError' END AS error_type,
+      CASE WHEN q THEN 'Quota exceeded on ' ELSE 'no answer to ' END || event_type AS error_message,
+      CASE WHEN q THEN {_q(replies.HINT_QUOTA)} ELSE {_q(replies.HINT_OTHER)} END AS resolution_hint
+    FROM (SELECT *, event_type IN ('error', 'click') AS q FROM events)"""

@@ -284,6 +284,11 @@ def transactions(spark: SparkSession, sf: str) -> DataFrame:
     return st.transactions(src.statements(spark, sf)).drop("date_value")
 
 
+@query
+def transactions_of_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return st.transactions_of_lines(src.statement_lines(spark, sf)).drop("date_value")
+
+
 @query
 def txn_category(spark: SparkSession, sf: str) -> DataFrame:
     found = st.transactions(src.statements(spark, sf))
@@ -429,6 +434,26 @@ def ai_reply_normalise(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def ai_chunked_replies(spark: SparkSession, sf: str) -> DataFrame:
+    merged = rp.merge(rp.normalise(src.chunk_replies(spark, sf)))
+    pairs = F.transform(
+        F.array_sort(F.map_entries("key_value_pairs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    )
+    return merged.select(
+        "doc_id",
+        "error",
+        "document_type",
+        F.md5("text").alias("text_md5"),
+        F.try_element_at("metadata", F.lit("purpose")).alias("purpose"),
+        F.array_join(pairs, ";").alias("pairs"),
+        _joined("people").alias("people"),
+        _joined("amounts").alias("amounts"),
+        "n_parts",
+        "n_failed",
+    )
+
+
 @query
 def ai_statement_replies(spark: SparkSession, sf: str) -> DataFrame:
     n = rp.normalise_statement(src.statement_replies(spark, sf))
@@ -481,7 +506,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def records_of(spark: SparkSession, sf: str) -> DataFrame:
-    replies = rp.normalise(src.document_replies(spark, sf))
+    replies = src.document_replies(spark, sf)
     when = F.timestamp_seconds(F.lit(src.EPOCH + src.DAY))
     documents = re.with_replies(_documents(spark, sf), replies)
     extracted = re.extract(documents, words=pg.words_from_text("page_text"))
@@ -502,7 +527,9 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         r("doc_info.statement_details.closing_balance").alias("closing_balance"),
         F.md5(r("content.text")).alias("text_md5"),
         F.size(r("content.key_value_pairs")).alias("n_pairs"),
+        F.try_element_at(r("content.key_value_pairs"), F.lit("Turn")).alias("last_turn"),
         _joined(r("content.entities.people")).alias("people"),
+        _joined(r("content.entities.organizations")).alias("organizations"),
         _joined(r("content.entities.dates")).alias("dates"),
         _joined(r("content.entities.amounts")).alias("amounts"),
         F.size(r("content.transactions")).alias("n_transactions"),
@@ -535,3 +562,16 @@ def basic_records(spark: SparkSession, sf: str) -> DataFrame:
         _joined(r("content.entities.dates")).alias("dates"),
         _joined(r("content.entities.amounts")).alias("amounts"),
     )
+
+
+@query
+def failed_records(spark: SparkSession, sf: str) -> DataFrame:
+    made = re.basic_records(src.failed_files(spark, sf), F.timestamp_seconds(F.lit(src.EPOCH)), "0.1.0")
+    fallback = F.col("record.processing.fallback_reason")
+    return made.select(
+        "path",
+        F.col("record.processing.method").alias("method"),
+        fallback["error_type"].alias("error_type"),
+        fallback["error_message"].alias("error_message"),
+        fallback["resolution_hint"].alias("resolution_hint"),
+    )

@@ -33,9 +33,10 @@ def test_only_totals_and_top_k_meet_in_one_partition(plans):
 
 
 def test_windows_only_rank_aggregated_rows(plans):
-    """The one window ranks counted trigrams, limited on both sides of its shuffle."""
+    """One window ranks counted trigrams, limited on both sides of its shuffle. The other
+    one counts lines inside blocks of bounded size, and blocks by document."""
     with_window = {name for name, text in plans.items() if "Window [" in text}
-    assert with_window == {"language_profiles", "language_id"}
+    assert with_window == {"language_profiles", "language_id", "transactions_of_lines"}
     assert plans["language_profiles"].count("WindowGroupLimit") == 2
 
 

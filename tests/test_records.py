@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +147,59 @@ def test_records_without_replies_write_as_json(spark, documents, tmp_path):
     back = {r["doc_id"]: r["record"] for r in spark.read.json(out).collect()}
     assert len(back) == 7 and back[0]["processing"]["method"] == "traditional"
     assert back[0]["processing"]["branch"] == "basic" and back[0]["doc_info"]["type"] == "unknown"
+
+
+def merged(spark, rows, **options):
+    replies = spark.createDataFrame(rows, "doc_id bigint, chunk_no int, reply string")
+    return {r["doc_id"]: r for r in rp.merge(rp.normalise(replies), **options).collect()}
+
+
+def test_replies_to_chunks_become_one(spark):
+    part = lambda **fields: json.dumps(fields)
+    rows = [
+        (1, 10, part(text="c", people=["B", "C"], metadata={"x": "3", "purpose": "last"}, document_type="late")),
+        (1, 2, part(text="b", people=["A", "B"], metadata={"x": "2", "y": "2"}, document_type="letter")),
+        (1, 1, part(text="a", people=["A"], metadata={"x": "1", "purpose": "first"})),
+        (1, 3, "not json"),
+        (1, 2, part(text="b", people=["A", "B"], metadata={"x": "2", "y": "2"}, document_type="letter")),  # sent again
+        (2, 1, "[1]"), (2, 2, "not json"), (3, 5, "{}"),
+    ]
+    got = merged(spark, rows, separator="|")
+    one = got[1]
+    assert (one["document_type"], one["text"], one["people"]) == ("letter", "a|b|c", ["A", "B", "C"])
+    assert one["metadata"] == {"x": "3", "y": "2", "purpose": "last"}
+    assert (one["error"], one["n_parts"], one["n_failed"]) == (None, 4, 1)
+    assert got[2]["error"] == rp.NOT_AN_OBJECT and got[2]["text"] is None and got[2]["n_failed"] == 2
+    assert got[3]["document_type"] == "unknown" and got[3]["metadata"] == {} and got[3]["text"] == ""
+    assert merged(spark, [r for r in rows if r[0] > 9]) == {}
+
+
+def test_the_merge_is_a_fold_from_the_left(spark):
+    rng = random.Random(8)
+    rows, expected = [], {}
+    for doc in range(40):
+        parts = []
+        for no in range(rng.randrange(1, 30)):
+            fields = {
+                "text": rng.choice(["", "x", "yz"]),
+                "metadata": {rng.choice("abc"): str(rng.randrange(9)) for _ in range(rng.randrange(4))},
+                "dates": [rng.choice("pqrs") for _ in range(rng.randrange(4))],
+                "document_type": rng.choice(["unknown", "m", "n"]),
+            }
+            parts.append((doc, no, json.dumps(fields)))
+            e = expected.setdefault(doc, {"text": "", "metadata": {}, "dates": [], "document_type": "unknown"})
+            e["text"] += fields["text"]
+            e["metadata"] |= fields["metadata"]
+            e["dates"] += [d for d in dict.fromkeys(fields["dates"]) if d not in e["dates"]]
+            if e["document_type"] == "unknown":
+                e["document_type"] = fields["document_type"]
+        rng.shuffle(parts)
+        rows += parts
+    got = merged(spark, rows)
+    assert {d: {n: r[n] for n in e} for (d, e) in expected.items() for r in [got[d]]} == expected
+
+
+def test_a_document_with_chunked_replies_stays_one_row(spark, texts):
+    replies = rp.normalise(spark.createDataFrame([(0, 1, '{"text": "a"}'), (0, 2, '{"text": "b"}')], "doc_id bigint, chunk_no int, reply string"))
+    rows = re.with_replies(texts("whole", "other"), replies).orderBy("doc_id").collect()
+    assert [r["reply"] and r["reply"]["text"] for r in rows] == ["ab", None]

@@ -2,6 +2,7 @@ import random
 import re
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliomine.functions.categories import CATEGORY_KEYWORDS
@@ -94,6 +95,37 @@ def test_one_statement_with_very_many_lines(texts):
     assert rows["n"] == 20_000 and rows["s"] == -sum(range(20_000))
 
 
+@pytest.mark.parametrize("block_lines", [1, 3, 1000])
+def test_line_rows_equal_the_row_form(texts, block_lines):
+    docs = texts(*random_statements(300))
+    by_row = sorted(map(repr, st.transactions(docs).collect()))
+    by_line = st.transactions_of_lines(st.line_rows(docs), block_lines)
+    assert sorted(map(repr, by_line.select(st.transactions(docs).columns).collect())) == by_row
+
+
+def test_a_million_lines_are_spread(spark):
+    """One statement, its lines far from any one task: same sums as its entries, and no
+    window holds more than a block."""
+    n, block = 1_000_000, 20_000
+    line = (
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit("01.02.2024 Nr"), F.col("id"), F.lit("x -"), F.col("id"), F.lit(",00")))
+        .when(F.col("id") % 4 == 1, F.concat(F.lit("Mandat: "), F.col("id")))
+        .when(F.col("id") % 4 == 2, F.lit("Referenz: r"))
+        .otherwise(F.lit("more"))
+    )
+    lines = spark.range(n).select(F.lit("one").alias("doc_id"), (F.col("id") * 3).alias("line_no"), line.alias("line"))
+    rows = st.transactions_of_lines(lines, block * 3)
+    right = (
+        (F.col("mandate") == ((F.col("txn_no") - 1) * 4 + 1).cast("string"))
+        & (F.col("amount_cents") == -(F.col("txn_no") - 1) * 400)
+        & (F.col("reference") == "r")
+        & F.col("description").endswith(" more")
+    )
+    assert rows.agg(F.count("*"), F.sum(right.cast("int")), F.max("txn_no")).first()[:] == (n // 4,) * 3
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\([^)]*block", plan) and "SinglePartition" not in plan
+
+
 def test_balances_are_first_matches(evaluate):
     text = "Alter Saldo 1.012,34 Euro\nAlter Saldo 9,00 Euro\nNEUER SALDO 1,00 Euro\nEingeräumte  Kontoüberziehung 2.500,00 Euro"
     assert [tuple(b) for b in evaluate(st.balances, text, "Neuer Saldo ., Euro")] == [
