@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliomine.functions.text import clean_field, pattern
+from foliomine.operators import needles
 from foliomine.sources.templates import BUILTIN_TEMPLATES, Template, Zone
 
 _MATCHES = "array<struct<pattern_no:int,ord:int,groups:array<string>,text:string>>"
@@ -104,6 +105,92 @@ def scores(
     return documents.select("doc_id", F.inline(per_template))
 
 
+_BREAK = "\x00"
+_QUANTIFIER = r"(?:[?*+]|\{[^}]*\})*"
+# What of a pattern is no plain text, each taken out with its quantifier, in this order.
+_NOT_PLAIN = [
+    r"\\(?:[pP]\{[^}]*\}|[pP].|x\{[^}]*\}|x..|u....|N\{[^}]*\}|c.|0[0-7]{1,3}|k<[^>]*>|[0-9]+|.)" + _QUANTIFIER,
+    r"\[[^\[\]]*\]" + _QUANTIFIER,
+    *[r"\([^()]*\)" + _QUANTIFIER] * 4,
+    r".(?:[?*+]|\{[^}]*\})+",
+    r"[.^$]",
+]
+
+
+def required_pieces(regex: Column) -> Column:
+    """Strings, folded, that every text matched by the pattern holds; none for a pattern with
+    alternatives outside of groups, inline flags, or a form that is not understood. They may
+    be fewer than a text has to hold, never more."""
+    plain = regex
+    for part in _NOT_PLAIN:
+        plain = F.regexp_replace(plain, "(?s)" + part, _BREAK)
+    understood = ~regex.rlike(r"\(\?[a-zA-Z-]+[):]") & ~plain.rlike(r"[|()\[\]{}\\]")
+    pieces = F.filter(F.split(needles.fold(plain), _BREAK), lambda p: p != "")
+    return F.when(understood, pieces).otherwise(F.array().cast("array<string>"))
+
+
+def _matched(texts: DataFrame, patterns: DataFrame, block: int = 64) -> DataFrame:
+    """``(text_id, pattern, n)`` of the patterns that match ``texts(text_id, text)``, with
+    the number of matches. Patterns with a required string are tried on texts that have
+    its rarest gram. The others have to be tried on every text: they are a list that goes
+    over all rows in blocks."""
+    with_pieces = patterns.select("pattern", required_pieces(F.col("pattern")).alias("pieces"))
+    indexed = with_pieces.where(F.size("pieces") > 0).select(F.col("pattern").alias("needle"), "pieces")
+    tried = needles.candidates(texts.select("text_id", needles.fold(F.col("text")).alias("text")), indexed)
+    tried = tried.join(texts, "text_id").select("text_id", "text", F.col("needle").alias("pattern"))
+    plain = with_pieces.where(F.size("pieces") == 0).select("pattern")
+    n_blocks = -(-plain.count() // block)
+    if n_blocks:
+        spread = F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)).alias("block")
+        blocks = plain.groupBy(spread).agg(F.collect_list("pattern").alias("patterns"))
+        dealt = texts.select("*", F.explode(F.sequence(*(F.lit(n).cast("bigint") for n in (0, n_blocks - 1)))).alias("block"))
+        rest = dealt.join(blocks, "block").select("text_id", "text", F.explode("patterns").alias("pattern"))
+        tried = tried.unionByName(rest)
+    n = F.call_function("regexp_count", F.col("text"), F.concat(F.lit(pattern("", ignore_case=True)), "pattern"))
+    return tried.select("text_id", "pattern", n.alias("n")).where("n > 0")
+
+
+def classify_from(documents: DataFrame, table: DataFrame, text: str = "page_text") -> DataFrame:
+    """As :func:`classify`, with templates from a table of any size in the layout of
+    :func:`foliomine.sources.templates.template_rows`. Document ids are unique."""
+    identifiers = table.select("template_no", "name", F.explode("identifiers").alias("pattern"))
+    texts = documents.select(F.col("doc_id").alias("text_id"), F.col(text).alias("text"))
+    matched = _matched(texts, identifiers.select("pattern").distinct())
+    scored = (
+        matched.join(identifiers, "pattern")
+        .groupBy("text_id", "template_no", "name")
+        .agg(F.sum("n").cast("int").alias("score"))
+    )
+    best = scored.groupBy("text_id").agg(
+        F.max(F.struct("score", -F.col("template_no"), "name")).alias("_best")
+    )
+    joined = documents.join(best, documents["doc_id"] == best["text_id"], "left")
+    return joined.select(
+        *[documents[c] for c in documents.columns],
+        F.col("_best.name").alias("doc_type"),
+        F.coalesce("_best.score", F.lit(0)).alias("score"),
+    )
+
+
+def fields_from(documents: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
+    """``documents(doc_id, doc_type, ...)`` with ``fields`` as :func:`fields` gives them, the
+    patterns being those of the row's template in the table: a template comes to its
+    documents as one row, and its patterns are tried inside the document's row."""
+    patterns = table.select(F.col("name").alias("_name"), F.col("fields").alias("_patterns"))
+
+    def last(pattern_of: Column) -> Column:
+        regex = F.concat(F.lit(pattern("", ignore_case=True, multiline=True)), pattern_of)
+        return F.try_element_at(F.regexp_extract_all(F.col(text), regex, F.lit(1)), F.lit(-1))
+
+    joined = documents.join(patterns, documents["doc_type"] == F.col("_name"), "left")
+    raw = F.transform("_patterns", lambda f: F.struct(f["key"].alias("key"), last(f["pattern"]).alias("raw")))
+    found = F.transform(
+        F.filter(raw, lambda f: f["raw"].isNotNull()),
+        lambda f: F.struct(f["key"].alias("key"), clean_field(f["key"], f["raw"]).alias("value")),
+    )
+    return joined.select(*[documents[c] for c in documents.columns], found.alias("fields"))
+
+
 def fields(text: str, templates: list[Template] = BUILTIN_TEMPLATES) -> Column:
     """``array<struct<key, value>>`` of the fields found in column ``text`` for
     the row's ``doc_type``: last match per field, values in their standard form,

@@ -280,6 +280,51 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(category, priority, keyword)``: the words of each benchmark item as the keywords
+    of a category of its own, longer words first."""
+    words = table(spark, sf_dir, "benchmark").select(
+        _text("item-", F.col("item_id")).alias("category"),
+        F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("keyword"),
+    )
+    return words.select("category", (100 - F.length("keyword")).alias("priority"), "keyword")
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, line_no, description)``: the lines of the documents."""
+    lines = table(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "description")
+    )
+    return lines.where(F.col("line_no").isNotNull())
+
+
+def customer_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template per customer: a fee statement is of its customer's card. The patterns of
+    a segment's customers differ in their ends alone."""
+    key = F.col("c_custkey")
+    template = F.col("c_custkey").cast("int")
+    name = F.col("c_name")
+    zones = "array<struct<name:string,bounds:array<double>,content_type:string,patterns:array<string>,required:boolean>>"
+
+    def field(key: str, regex: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), regex.alias("pattern"))
+
+    return table(spark, sf_dir, "customer").select(
+        template.alias("template_no"),
+        _text("card of ", name).alias("name"),
+        F.array(
+            F.concat(F.lit(r"KARTE:\s+"), name, F.lit(r"\b")),
+            F.concat(F.lit(r"Bezeichnung\s+"), F.col("c_mktsegment"), F.lit(r" Konto[\s\S]*#0*"), key.cast("string"), F.lit(r"\s")),
+        ).alias("identifiers"),
+        F.array().cast(zones).alias("zones"),
+        F.array(
+            field("total_fees", F.lit(r"Insgesamt\s+gezahlte\s+Entgelte\s*(-?[\d.,]+)\s*EUR")),
+            field("statement_date", F.lit(r"Datum\s+(\d{2}\.\d{2}\.\d{4})")),
+            field("card", F.concat(F.lit("("), name, F.lit(")"))),
+        ).alias("fields"),
+    )
+
+
 # --- attributes ------------------------------------------------------------
 
 

@@ -398,6 +398,15 @@ def _fields(source: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+ORACLES["classify_from_table"] = """
+    SELECT 'fee-' || c_custkey AS doc_id, 'card of ' || c_name AS doc_type, CAST(2 AS INTEGER) AS score FROM customer
+    UNION ALL SELECT 'doc-' || doc_id, NULL, 0 FROM documents"""
+ORACLES["fields_from_table"] = f"""
+    WITH f AS (SELECT 'fee-' || c_custkey AS doc_id, c_name, CAST(round(abs(c_acctbal) * 100) AS BIGINT) / 100 AS fees,
+                      '2024-03-' || {_DAY} AS day FROM customer)
+    SELECT doc_id, 'card' AS key, c_name AS value, CAST(NULL AS DOUBLE) AS value_num, NULL AS value_date FROM f
+    UNION ALL SELECT doc_id, 'total_fees', NULL, fees, NULL FROM f
+    UNION ALL SELECT doc_id, 'statement_date', day, NULL, day FROM f"""
 ORACLES["template_fields"] = f"WITH docs AS MATERIALIZED ({_typed(RENDERED)}) {_fields('docs')}"
 
 # --- statements ------------------------------------------------------------
@@ -426,6 +435,15 @@ ORACLES["txn_category"] = f"""
     SELECT CASE {_CATEGORY} ELSE 'other' END AS category, count(*) AS n,
            CAST(-sum(cents) AS BIGINT) AS total_cents
     FROM ({ORDERS}) GROUP BY 1"""
+ORACLES["category_from_table"] = f"""
+    WITH kw AS (SELECT DISTINCT category, 100 - length(w) AS priority, lower(w) AS w FROM (
+           SELECT 'item-' || item_id AS category, unnest(regexp_split_to_array(text, '[^\\p{{L}}]+')) AS w FROM benchmark)
+         WHERE w <> ''),
+    lines AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, {NL}), 1) - 1 AS INTEGER) AS line_no,
+                unnest(string_split(text, {NL})) AS line FROM documents),
+    best AS (SELECT line, arg_min(category, (priority, category)) AS category
+             FROM (SELECT DISTINCT lower(line) AS line FROM lines) JOIN kw ON contains(line, w) GROUP BY line)
+    SELECT doc_id, line_no, coalesce(category, 'other') AS category FROM lines LEFT JOIN best ON best.line = lower(lines.line)"""
 BALANCE_ROWS = f"""
     SELECT 'st-' || c || '-' || b AS doc_id, (c * 137 + 34) / 100 AS opening_balance,
       CAST(sum(cents) AS BIGINT) / 100 AS closing_balance,

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliomine.functions import entities as en, files as ff, text as tx
 from foliomine.operators import (
+    categories as kc,
     attributes as at,
     catalog as ca,
     language as la,
@@ -220,6 +221,28 @@ def classify(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _typed_from_table(spark: SparkSession, sf: str) -> DataFrame:
+    page = src.with_first_page(src.fee_statements(spark, sf).unionByName(src.prose(spark, sf)))
+    return tp.classify_from(page, src.customer_templates(spark, sf))
+
+
+@query
+def classify_from_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _typed_from_table(spark, sf).select("doc_id", "doc_type", "score")
+
+
+@query
+def fields_from_table(spark: SparkSession, sf: str) -> DataFrame:
+    found = tp.fields_from(_typed_from_table(spark, sf), src.customer_templates(spark, sf))
+    return tp.field_rows(found).select(
+        "doc_id",
+        "key",
+        F.when(F.col("value_num").isNull(), F.col("value")).alias("value"),
+        "value_num",
+        F.date_format("value_date", "yyyy-MM-dd").alias("value_date"),
+    )
+
+
 def _zoned(spark: SparkSession, sf: str) -> DataFrame:
     return tp.with_zones(tp.classify(src.with_layout(src.rendered(spark, sf))))
 
@@ -297,6 +320,12 @@ def txn_category(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def category_from_table(spark: SparkSession, sf: str) -> DataFrame:
+    found = kc.categorise(src.document_lines(spark, sf), src.keyword_table(spark, sf))
+    return found.select("doc_id", "line_no", "category")
+
+
 @query
 def balances(spark: SparkSession, sf: str) -> DataFrame:
     return src.statements(spark, sf).select(

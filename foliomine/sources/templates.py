@@ -178,8 +178,8 @@ def template_rows(spark: SparkSession, templates: list[Template]) -> DataFrame:
 def templates_from(table: DataFrame, max_patterns: int = MAX_PATTERNS) -> list[Template]:
     """User templates from a table in the layout of :func:`template_rows`.
 
-    Refuses a table that does not fit a plan; classify with several smaller
-    sets then and keep the best score, as the scores of one document compare.
+    Refuses a table that does not fit a plan; for such a table there are
+    :func:`foliomine.operators.templates.classify_from` and ``fields_from``, which join it.
     """
     in_zones = F.aggregate("zones", F.lit(0), lambda n, z: n + F.size(z["patterns"]))
     n_patterns = F.size("identifiers") + F.size("fields") + in_zones
