@@ -167,8 +167,8 @@ def classify_from(documents: DataFrame, table: DataFrame, text: str = "page_text
     joined = documents.join(best, documents["doc_id"] == best["text_id"], "left")
     return joined.select(
         *[documents[c] for c in documents.columns],
-        F.col("_best.name").alias("doc_type"),
-        F.coalesce("_best.score", F.lit(0)).alias("score"),
+        best["_best"]["name"].alias("doc_type"),
+        F.coalesce(best["_best"]["score"], F.when(documents[text].isNull(), -1).otherwise(0)).alias("score"),
     )
 
 
