@@ -2,8 +2,9 @@
 
 The weight of a source is its share of all tokens to the power of an exponent,
 normalised. The exponent is bisected: it falls from 1 until the weights reach a target
-entropy, but no further than the limit on how often a source's documents repeat. The
-weights become token budgets, and the budgets blocks: each source is a stream of passes
+entropy, but no further than the limit on how often a source's documents repeat. A budget
+that breaks this limit even at the exponent 1, where all sources repeat alike, is cut to
+the tokens that the limit allows. The weights become token budgets, and the budgets blocks: each source is a stream of passes
 over its documents, every pass in an order of its own, cut at the budget; block k of n
 takes the k-th part of every stream, in a permuted order. So every block holds the
 sources in the wanted weights.
@@ -14,7 +15,7 @@ Only sums over sources come to the driver, and no step gathers the rows of a sou
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -31,7 +32,9 @@ class Target:
     """What the mixture is to reach.
 
     ``entropy`` is the entropy of the weights as a share of that of equal weights.
-    ``budget`` counts tokens; None is the smallest one that uses every document.
+    ``max_repeats`` bounds the tokens taken of a source by so many times those it has,
+    whatever the other two ask for; it is 1 at least. ``budget`` counts tokens; None is the
+    smallest one that uses every document.
     """
 
     entropy: float = 0.95
@@ -107,6 +110,10 @@ def plan(docs: DataFrame, target: Target) -> tuple[DataFrame, DataFrame, int]:
     sums = rows.groupBy("key").agg(F.sum("n_tokens").alias("tokens"))
     total = sums.agg(F.sum("tokens")).first()[0] or 0
     sources = materialise(sums.withColumn("share", F.col("tokens") / F.lit(max(total, 1))), "sources")
+    if target.max_repeats < 1:
+        raise ValueError("max_repeats is 1 at least")
+    if target.budget is not None:
+        target = replace(target, budget=min(target.budget, math.floor(total * target.max_repeats)))
     exponent = find_exponent(sources, total, target) if total else 1.0
     z, _ = _evaluate(sources, [exponent])[0] if total else (1.0, 0.0)
     power = F.pow("share", F.lit(exponent))
@@ -117,11 +124,11 @@ def plan(docs: DataFrame, target: Target) -> tuple[DataFrame, DataFrame, int]:
     else:
         wanted = target.budget
         budget = F.round(power / z * wanted).cast("long")
-    sources = sources.withColumn("budget", budget)
+    most = F.floor(F.col("tokens") * F.lit(float(target.max_repeats)))  # rounding may go beyond it
+    sources = sources.withColumn("budget", F.least(budget, most))
     sources = sources.withColumn("passes", F.ceil(F.col("budget") / F.col("tokens")).cast("int"))
-    before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum(F.col("tokens") * F.col("passes")).over(before), F.lit(0))
-    sources = materialise(sources.withColumn("base", base), "budgets")
+    sources = sources.withColumn("stream", F.col("tokens") * F.col("passes"))
+    sources = materialise(running_total(sources, "stream", "key", column="base"), "budgets")
     return rows, sources, max(1, -(-int(wanted) // target.block_tokens))
 
 
@@ -167,16 +174,20 @@ def mix(docs: DataFrame, target: Target = Target()) -> DataFrame:
 def mix_documents(docs: DataFrame, target: Target = Target()) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as :func:`mix` takes it. Texts
     stay in their rows: what is joined are the sources' passes and, for the last pass,
-    the place up to which the budget reached."""
+    the place up to which the budget reached.
+
+    Nulls, empty texts, repeated rows and empty tables are as in :func:`mix`; columns may
+    have any names.
+    """
     rows, sources, _ = plan(docs, target)
     taken = _streams(rows, sources)
     reach = taken.groupBy("key").agg(F.max(F.struct("pass", "place")).alias("reach"))
     reach = materialise(reach.select("key", "reach"), "reach")
-    names = docs.columns
-    tagged = docs.withColumn("_key", _key(F.col("source")))
-    joined = tagged.join(reach.withColumnRenamed("key", "_key"), "_key")
-    joined = joined.withColumn("_tokens", n_tokens(F.col("text")))
-    place = F.xxhash64("doc_id", "_tokens", F.col("reach.pass"))
-    copies = F.col("reach.pass") + F.when(place <= F.col("reach.place"), 1).otherwise(0)
-    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies)))
-    return repeated.select(*names)
+    # The row goes as one column beside what is computed, so no name of it can clash.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    tagged = docs.select(
+        whole, "doc_id", _key(F.col("source")).alias("key"), n_tokens(F.col("text")).alias("n_tokens")
+    )
+    joined = tagged.join(reach, "key")
+    copies = F.col("reach.pass") + F.when(_order(F.col("reach.pass")) <= F.col("reach.place"), 1).otherwise(0)
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")

@@ -153,7 +153,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     """``doc_id, held_out, score, predicted``, a row per row of ``docs``.
 
     Documents with crc32 of the doc_id's digits divisible by 5 are held out of
-    training. A document without doc_id is no training row and not held out.
+    training. A document without doc_id is no training row and not held out. A null text
+    scores as an empty one, by the constant weight alone. Equal texts have equal scores,
+    a score of just 0.3 is predicted 1. Without a usable label every score is 0.5; an empty table gives
+    an empty result.
     """
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     weights = fit(docs, labels.where(~held_out), settings)
@@ -170,7 +173,9 @@ def keep_quality(
     docs: DataFrame, labels: DataFrame, least: float = 0.3, settings: Settings = Settings()
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``least`` or more under a model of
-    the labelled documents that are not held out."""
+    the labelled documents that are not held out. Texts,
+    repeated rows and empty tables are as in :func:`score_quality`; columns may have any names."""
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
-    scored = with_score(docs, fit(docs, labels.where(~held_out), settings), "_quality_score")
-    return scored.where(F.col("_quality_score") >= least).select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    scored = with_score(docs.select(whole, "text"), fit(docs, labels.where(~held_out), settings))
+    return scored.where(F.col("score") >= least).select("row.*")

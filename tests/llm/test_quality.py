@@ -1,6 +1,8 @@
 import hashlib
+import math
 
 import numpy as np
+import pytest
 
 from foliomine.llm import quality as q
 
@@ -67,3 +69,38 @@ def test_texts_of_one_id_keep_the_bound(spark):
     chosen = sorted(sorted(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())[:5])
     want = q.train([(*q.features(t, 10), 1) for t in chosen], settings)
     assert (q.fit(docs, labels, settings) == want).all()
+
+
+def test_columns_of_any_name_come_back(spark):
+    docs = spark.createDataFrame([(1, "some text", 0.1, 0.2, "r")], "doc_id long, text string, _quality_score double, score double, row string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    kept = q.keep_quality(docs, labels, least=0.0, settings=q.Settings(bits=10))
+    assert kept.columns == docs.columns and kept.collect() == docs.collect()
+
+
+def test_updates_equal_plain_ftrl():
+    """The proximal updates coordinate by coordinate, as in the paper's algorithm."""
+    import random
+
+    rng = random.Random(4)
+    settings = q.Settings(bits=6, epochs=3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    examples = [(*q.features(t, settings.bits), rng.randrange(2)) for t in texts]
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        if abs(z[i]) <= settings.l1:
+            return 0.0
+        return -(z[i] - math.copysign(settings.l1, z[i])) / ((settings.beta + math.sqrt(n[i])) / settings.alpha + settings.l2)
+
+    for _ in range(settings.epochs):
+        for places, values, label in examples:
+            x = [*zip(places.tolist(), values.tolist()), (64, 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - label) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / settings.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    assert q.train(examples, settings) == pytest.approx([weight(i) for i in range(65)], rel=1e-5, abs=1e-7)
