@@ -67,7 +67,8 @@ def sketches(items: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame, n: int, percent: int) -> DataFrame:
-    """Distinct ``doc_id, item_id`` with a sketch value of the item in the document."""
+    """Distinct ``doc_id, item_id, size`` with a sketch value of the item in the document;
+    ``size`` is the number of words of the item's shingles."""
     found = sketches(items, n, percent).select(
         "item_id",
         "words_per_shingle",
@@ -80,13 +81,31 @@ def candidates(docs: DataFrame, items: DataFrame, n: int, percent: int) -> DataF
         own = words.select("doc_id", shingle_hashes(F.col("words"), size).alias("hashes"))
         own = own.select("doc_id", F.explode_outer("hashes").alias("hash"))
         hits = own.join(found.where(F.col("words_per_shingle") == size), "hash")
-        hits = hits.select("doc_id", "item_id")
+        hits = hits.select("doc_id", "item_id", F.lit(size).alias("size"))
         pairs = hits if pairs is None else pairs.union(hits)
     if pairs is None:
-        pairs = docs.select("doc_id").join(items.select("item_id"), F.lit(False))
+        pairs = items.select(
+            F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", F.lit(n).alias("size")
+        ).limit(0)
     return pairs.distinct()
 
 
+def _item_shingles(items: DataFrame, n: int) -> DataFrame:
+    """``item_id, item_text, n_item, shingle``: the distinct shingles of each text of each
+    item; ``item_text`` tells the texts of one id apart."""
+    rows = items.select("item_id", F.xxhash64("text").alias("item_text"), words_of(F.col("text")).alias("words"))
+    rows = rows.where("size(words) > 0").select(
+        "item_id", "item_text", _per_size(F.col("words"), n, shingles).alias("shingles")
+    )
+    rows = rows.select(
+        "item_id",
+        "item_text",
+        F.size("shingles").cast("long").alias("n_item"),
+        F.explode_outer("shingles").alias("shingle"),
+    )
+    return rows.distinct()
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, item_id, n_item, n_common``: the pairs in which the document holds at
     least ``percent`` per cent of the item's distinct shingles of ``n`` words.
@@ -98,29 +117,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80)
     """
     items = items.where("item_id is not null").select("item_id", "text")
     pairs = materialise(candidates(docs, items, n, percent), "candidates")
-    texts = docs.select("doc_id", F.col("text").alias("doc_text"))
-    both = pairs.join(texts, "doc_id").join(items, "item_id")
-    both = both.select(
-        "doc_id",
-        "item_id",
-        words_of(F.col("doc_text")).alias("doc_words"),
-        words_of(F.col("text")).alias("words"),
-    )
-    size = F.size("words")
-    common = F.when(size >= n, F.array_intersect(shingles(F.col("doc_words"), n), shingles(F.col("words"), n)))
-    for shorter in range(1, n):
-        common = common.when(
-            size == shorter,
-            F.array_intersect(shingles(F.col("doc_words"), shorter), shingles(F.col("words"), shorter)),
+    wanted = _item_shingles(items, n)
+    sizes = [r[0] for r in pairs.select("size").distinct().collect()]  # n at most
+    counts = pairs.select(
+        "doc_id", F.lit(0).cast("long").alias("doc_text"), "item_id", F.lit(0).cast("long").alias("item_text"),
+        *(F.lit(0).cast("long").alias(c) for c in ("n_item", "n_common")),
+    ).limit(0)
+    for size in sorted(sizes):
+        of_size = pairs.where(F.col("size") == size).select("doc_id", "item_id")
+        texts = docs.select("doc_id", "text").join(of_size.select("doc_id").distinct(), "doc_id", "left_semi")
+        # Equal rows are one text.
+        texts = texts.groupBy("doc_id", F.xxhash64("text").alias("doc_text")).agg(F.any_value("text").alias("text"))
+        words = texts.select("doc_id", "doc_text", words_of(F.col("text")).alias("words"))
+        own = words.select(
+            "doc_id", "doc_text", F.explode_outer(shingles(F.col("words"), size)).alias("shingle")
+        )
+        common = own.join(of_size.join(wanted, "item_id"), ["doc_id", "shingle"])
+        counts = counts.unionByName(
+            common.groupBy("doc_id", "doc_text", "item_id", "item_text").agg(
+                F.max("n_item").alias("n_item"), F.count("*").alias("n_common")
+            )
         )
-    both = both.select(
-        "doc_id",
-        "item_id",
-        F.size(_per_size(F.col("words"), n, shingles)).cast("long").alias("n_item"),
-        F.size(common).cast("long").alias("n_common"),
-    )
     share = F.max(F.struct(F.col("n_common") / F.col("n_item"), "n_common", "n_item"))
-    best = both.groupBy("doc_id", "item_id").agg(share.alias("best"))
+    best = counts.groupBy("doc_id", "item_id").agg(share.alias("best"))
     return best.select("doc_id", "item_id", "best.n_item", "best.n_common").where(
         F.col("n_common") * 100 >= F.col("n_item") * percent
     )

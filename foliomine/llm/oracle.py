@@ -32,15 +32,20 @@ WITH texts AS (
     SELECT kind, id,
         list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
     FROM texts
-), shingles AS (
-    SELECT DISTINCT kind, id,
-        unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) AS s
-    FROM split WHERE len(words) >= 5
 ), items AS (
-    SELECT id, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE kind = 'i'
+    SELECT id, least(len(words), 5) AS k, words FROM split WHERE kind = 'i' AND len(words) > 0
+), texts_of_size AS (
+    SELECT 'i' AS kind, id, k, words FROM items
+    UNION ALL SELECT 'd', id, k, words FROM split, (SELECT DISTINCT k FROM items) WHERE kind = 'd' AND len(words) >= k
+), shingles AS (
+    SELECT DISTINCT kind, id, k,
+        unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i+k-1], ' '))) AS s
+    FROM texts_of_size
+), counted AS (
+    SELECT id, k, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE kind = 'i'
 )
 SELECT d.id AS doc_id, i.id AS item_id, any_value(n_item) AS n_item, count(*) AS n_common
-FROM shingles d JOIN items i USING (s) WHERE d.kind = 'd'
+FROM shingles d JOIN counted i USING (k, s) WHERE d.kind = 'd'
 GROUP BY ALL HAVING 100 * count(*) >= 80 * any_value(n_item)
 """
 

@@ -75,3 +75,35 @@ def test_odd_rows(spark, documents, none, table):
     assert dc.find_leaks(documents, items.where("false")).count() == 0
     left = dc.remove_contaminated(documents, items)
     assert left.columns == documents.columns and left.where("doc_id is null").count() == 1
+
+
+def test_a_document_that_holds_the_whole_benchmark(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(30))) for i in range(1500)]
+    docs = [(0, " ".join(text for _, text in items)), (1, items[7][1]), (0, items[3][1])]
+    got = dc.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, i) for i in range(1500)} | {(1, 7)}
+    assert all(r["n_common"] == r["n_item"] for r in got)
+
+
+def test_short_items_and_repeated_rows_by_the_sql_twin(spark, tmp_path):
+    import duckdb
+
+    from foliomine.llm.oracle import ORACLES
+
+    docs = [(1, "One two three four five six"), (1, "One two three four five six"), (2, "three, four"), (3, "x"), (4, None)]
+    items = [(1, "three four"), (2, "X"), (3, "two three four five six"), (4, "four three"), (5, ""), (6, "one two three")]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    db.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    expected = db.execute(ORACLES["op2_decontamination"]).fetchall()
+    got = dc.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    assert sorted(map(tuple, got)) == sorted(expected) and len(got) == 5
