@@ -110,3 +110,78 @@ def test_elements_around_the_mark_are_not_counted_outside():
     page = '<body class="b"><div class="story"><p class="ad">x</p><article><p>text</p></article></div></body>'
     counts = mc.count_tags(page)
     assert "div.story" not in counts and "body.b" not in counts and counts["p.ad"] == [0, 1]
+
+
+PLAIN = (
+    '<body><div id="page"><div><a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport pages</a></div>'
+    "<div>{article}</div>"
+    "<div>&copy; 2024 The Site, all rights reserved <a href=i>Imprint</a></div></div></body>"
+)
+ARTICLE = "<h1>The head</h1><p>{}</p><p>Short end</p><ul><li><a href=1>see also one</a></li><li><a href=2>and two</a></li></ul>"
+
+
+def test_the_scan_leaves_out_menus_and_footers_in_plain_divisions(table, monkeypatch):
+    said = " ".join(f"word{i}" for i in range(60))
+    page = PLAIN.format(article=ARTICLE.format(said))
+    want = f"The head\n{said}\nShort end\nsee also one\nand two"
+    learned = mc.fit(table("pages", "sf0.01"))
+    for weights in (mc.Weights(), learned):
+        assert mc.extract(page, weights) == want
+    with monkeypatch.context() as patch:
+        patch.setattr(mc, "best_range", lambda scores: (0, len(scores)))
+        whole = mc.extract(page)
+    assert whole.startswith("Home") and whole.endswith("Imprint") and want in whole
+
+
+def test_words_of_kinds_seen_outside_count_against():
+    weights = mc.Weights(kinds={"p.teaser": -1.0, "p": 0.8, "li a": 0.5})
+    page = "<div><p class=teaser>{0}</p></div><section><p>{0}</p></section><div><ul><li><a>short link to the next page</a></ul></div>"
+    said = "some words that fill a line of text in this place here"
+    assert mc.extract(page.format(said), weights).split("\n") == [said, "short link to the next page"]
+    assert mc.extract(page.format(said)).split("\n") == [said, said]
+
+
+def test_text_straight_in_a_division_is_content_if_it_is_long():
+    said = "word " * 40
+    assert mc.extract(f"<div>Menu</div><div>{said}<br>{said}</div><div>Foot note</div>") == " ".join((said + said).split())
+    assert mc.extract("<div>few words</div>") == "few words"
+    assert mc.extract("<div><a href=1>one</a> <a href=2>two</a></div>") == ""
+
+
+def test_best_range_equals_all_ranges():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(400):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rng.randrange(12))]
+        start, end = mc.best_range(scores)
+        totals = [sum(scores[i:j]) for i in range(len(scores) + 1) for j in range(i, len(scores) + 1)]
+        assert sum(scores[start:end]) == max(totals)
+
+
+def test_the_region_has_the_highest_total_of_all(table):
+    """The blocks chosen on supplied pages by comparing every pair of ends."""
+    weights = mc.fit(table("pages", "sf0.01"))
+    for row in table("pages").limit(40).collect():
+        found = list(mc.tokens(row["html"]))
+        outside = mc._outside(found, weights)
+        blocks = mc.blocks_of(found, [not o for o in outside])
+        costs = [0.0 if o or f[0] == "text" else weights.tags.get(f[2], weights.other) for f, o in zip(found, outside)]
+        total = lambda i, j: sum(mc.score_block(b, weights) for b in blocks[i:j]) + sum(costs[blocks[i].first : blocks[j - 1].last])
+        best = max(total(i, j) for i in range(len(blocks)) for j in range(i + 1, len(blocks) + 1))
+        first, last = mc._region(found, blocks, outside, weights)
+        assert total(first, last) >= best - 1e-6 or blocks[first].inside == blocks[last - 1].inside
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    n = 1 << 20
+    for page in (
+        "<a " * (n // 3), "<a '" * (n // 4), '<a ">"' * (n // 6), "<!" * (n // 2), "<!--" * (n // 4), "</" * (n // 2),
+        "<script " * (n // 8), "<script>" * (n // 8), "<svg></svg " * (n // 11), "<b>" * 50_000 + "</i>" * 100_000,
+        "<div>" * 100_000 + "x" + "</p>" * 100_000, "<p>" * (n // 3), "<a href=1>b</a>" * (n // 15), "&" * n, "<li><ul>" * 50_000,
+    ):
+        begun = time.time()
+        mc.extract(page)
+        assert time.time() - begun < 10, page[:20]
