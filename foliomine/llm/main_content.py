@@ -116,27 +116,31 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, list[str]]]:
     read on in vain, as far as the page's end; after one such search, tags end at the next ``>``.
     """
     at, last, quotes = 0, page.rfind(">"), True
+    text = 0  # where the text begins that is not given out yet
     while at < len(page):
         start = page.find("<", at)
-        if start < 0:
-            yield "text", "", page[at:], []
+        if start < 0 or start > last:  # no tag is to come, a comment may
+            start = page.find("<!--", max(at, last + 1))
+            end = len(page) if start < 0 else start
+            if text < end:
+                yield "text", "", page[text:end], []
             return
-        if start > at:
-            yield "text", "", page[at:start], []
         tag = _TAG.match(page, start)
+        if not tag and page[start + 1 : start + 2] not in ("!", "?"):
+            at = start + 1
+            continue
+        if text < start:
+            yield "text", "", page[text:start], []
         if page.startswith("<!--", start):
             end = page.find("-->", start + 4)
             at = len(page) if end < 0 else end + 3
-        elif start > last or not tag and page[start + 1 : start + 2] not in ("!", "?"):
-            yield "text", "", "<", []
-            at = start + 1
         elif not tag:
             at = page.find(">", start) + 1
         else:
             name = tag[2].lower()
             if not tag[1] and name in RAW:
                 close = RAW[name].search(page, page.find(">", start))
-                at = close.end() if close else len(page)
+                at = text = close.end() if close else len(page)
                 continue
             end = _tag_end(page, tag.end()) if quotes else -1
             quotes = end >= 0
@@ -147,6 +151,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, list[str]]]:
             else:
                 key, labels = _key(name, page[tag.end() : end])
                 yield "open", name, key, labels
+        text = at
+    if text < len(page):
+        yield "text", "", page[text:], []
 
 
 def _is_cue(label: str) -> bool:

@@ -240,7 +240,9 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # the documents and is no broadcast.
     nodes = stars.select("centre").union(stars.select("node")).toDF("node").distinct()
     texts = source.withColumnRenamed("doc_id", "node").hint("merge").join(nodes, "node")
-    texts = materialise(texts, "texts")
+    # Repeated rows of a document are one text, so that a block holds each once.
+    texts = texts.groupBy("node", F.md5("text").alias("text_md5")).agg(F.any_value("text").alias("text"))
+    texts = materialise(texts.select("node", "text"), "texts")
 
     near = stars.where("near")
     per_centre = near.groupBy("centre").agg(F.count("*").alias("size"))

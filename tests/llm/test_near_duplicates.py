@@ -99,3 +99,18 @@ def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200}
+
+
+def test_repeated_rows_of_a_candidate_are_one_text(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words))] * 400 + [(2, " ".join([*words[:-1], "x"])), (3, " ".join([*words[:-1], "y"]))]
+    seen, whole = [], nd._links
+
+    def counted(members, texts, n, percent):
+        seen.append(texts.count())
+        return whole(members, texts, n, percent)
+
+    monkeypatch.setattr(nd, "_links", counted)
+    got = nd.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert found(got) == brute(rows, 3, 85) and got.count() == 402
+    assert max(seen) == 3
