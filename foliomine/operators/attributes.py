@@ -8,6 +8,7 @@ is broadcast by hint; Spark does so where its size allows.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from foliomine.functions import values
 from foliomine.schema import ATTRIBUTE_KEY, ATTRIBUTES
@@ -41,12 +42,21 @@ def last_per_key(changes: DataFrame) -> DataFrame:
     return _one_per_key(changes, F.max)
 
 
+def encoded(changes: DataFrame) -> DataFrame:
+    """``changes`` with ``value`` and ``default_value`` of any type as they are stored:
+    strings stay, arrays, maps and structs become JSON, other values their text."""
+    typed = [f for f in changes.schema if f.name in ("value", "default_value") and f.dataType != StringType()]
+    return changes.withColumns({f.name: values.encode(F.col(f.name), f.dataType) for f in typed})
+
+
 def insert(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add new keys. Returns the new table and ``rejected(scope, key, seq,
     reason)``: keys that exist, or came earlier in the batch.
 
-    ``incoming`` is an attribute table with a ``seq`` that orders the batch.
+    ``incoming`` is an attribute table with a ``seq`` that orders the batch; its values may
+    be of any type.
     """
+    incoming = encoded(incoming)
     first = first_per_key(incoming)
     new = first.join(current, ATTRIBUTE_KEY, "left_anti")
     accepted = new.select(*ATTRIBUTE_KEY, F.col("seq").alias("_accepted"))
@@ -60,8 +70,8 @@ def insert(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFram
 
 def update(current: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Set values of existing keys; the last change of a key wins. Returns the
-    new table and ``rejected(scope, key, reason)``."""
-    last = last_per_key(changes).select(*ATTRIBUTE_KEY, F.col("value").alias("_new"))
+    new table and ``rejected(scope, key, reason)``. Values may be of any type."""
+    last = last_per_key(encoded(changes)).select(*ATTRIBUTE_KEY, F.col("value").alias("_new"))
     updated = current.join(last, ATTRIBUTE_KEY, "left").select(
         *ATTRIBUTE_KEY,
         F.coalesce("_new", "value").alias("value"),
@@ -101,15 +111,16 @@ def seed(current: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 def create_or_update(current: DataFrame, changes: DataFrame) -> DataFrame:
-    """Set the value where the key exists, add the key where it does not."""
-    last = last_per_key(changes).select(
+    """Set the value where the key exists, add the key where it does not. A key whose value
+    is NULL exists. Values may be of any type."""
+    last = last_per_key(encoded(changes)).select(
         *ATTRIBUTE_KEY,
         F.col("value").alias("_value"),
         F.col("default_value").alias("_default"),
         F.col("description").alias("_description"),
     )
-    exists = F.col("value").isNotNull()
-    return current.join(last, ATTRIBUTE_KEY, "full").select(
+    exists = F.col("_exists").isNotNull()
+    return current.withColumn("_exists", F.lit(True)).join(last, ATTRIBUTE_KEY, "full").select(
         *ATTRIBUTE_KEY,
         F.coalesce("_value", "value").alias("value"),
         F.when(exists, F.col("default_value")).otherwise(F.col("_default")).alias("default_value"),
@@ -117,6 +128,73 @@ def create_or_update(current: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+# Commands of a log, in the column ``command``.
+INSERT, UPDATE, RESET, UPSERT = "insert", "update", "reset", "upsert"
+
+
+def apply_commands(current: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Apply a log of mixed commands as if one by one in the order of ``seq``.
+
+    ``commands(scope, key, seq, command, value, default_value, description)``; ``seq`` is
+    unique per key, values may be of any type. An insert adds a key that is absent, an update sets the value of one
+    that exists, a reset puts back a default that is not NULL, an upsert sets or adds; a
+    NULL value changes nothing. Returns the new table and ``rejected(scope, key, seq,
+    command, reason)`` with the reasons ``exists``, ``missing`` and ``no default``.
+
+    A key that exists stays, with its default and description. So its state after any
+    number of commands follows from the one that made it, the last that set a value
+    behind that one and the last reset: three aggregates per key, combined before the
+    shuffle, so that a key with any share of the log is one row per task.
+    """
+    commands = encoded(commands)
+    makes = F.col("command").isin(INSERT, UPSERT)
+    sets = F.col("command").isin(UPDATE, UPSERT) & F.col("value").isNotNull()
+    per_key = commands.groupBy(*ATTRIBUTE_KEY).agg(
+        F.min(F.when(makes, F.struct("seq", "value", "default_value", "description"))).alias("_made"),
+        F.max(F.when(sets, F.struct("seq", "value"))).alias("_set"),
+        F.max(F.when(F.col("command") == RESET, F.col("seq"))).alias("_reset"),
+    )
+    present = current.select(*_COLUMNS, F.lit(True).alias("_present"))
+    joined = present.join(per_key, ATTRIBUTE_KEY, "full").withColumn(
+        "_present", F.coalesce("_present", F.lit(False))
+    )
+    # What was asked before the key was there did nothing.
+    counts = lambda seq: F.coalesce(F.col("_present") | (seq > F.col("_made.seq")), F.lit(False))
+    kept = lambda name: F.when(F.col("_present"), F.col(name)).otherwise(F.col(f"_made.{name}"))
+    state = joined.select(
+        *ATTRIBUTE_KEY,
+        "_present",
+        F.when(~F.col("_present"), F.col("_made.seq")).alias("_made_at"),
+        (F.col("_present") | F.col("_made").isNotNull()).alias("_exists"),
+        kept("value").alias("value"),
+        kept("default_value").alias("default_value"),
+        kept("description").alias("description"),
+        F.when(counts(F.col("_set.seq")), F.col("_set")).alias("_set"),
+        F.when(counts(F.col("_reset")), F.col("_reset")).alias("_reset"),
+    )
+    put_back = F.col("default_value").isNotNull() & F.coalesce(
+        F.col("_reset") > F.coalesce(F.col("_set.seq"), F.col("_reset") - 1), F.lit(False)
+    )
+    table = state.where("_exists").select(
+        *ATTRIBUTE_KEY,
+        F.when(put_back, F.col("default_value")).otherwise(F.coalesce("_set.value", "value")).alias("value"),
+        "default_value",
+        "description",
+    )
+    facts = state.select(
+        *ATTRIBUTE_KEY, "_present", "_made_at", F.col("default_value").isNotNull().alias("_has_default")
+    )
+    answered = _join_salted(commands.select(*ATTRIBUTE_KEY, "seq", "command"), facts)
+    there = F.col("_present") | F.coalesce(F.col("seq") > F.col("_made_at"), F.lit(False))
+    reason = (
+        F.when((F.col("command") == INSERT) & there, "exists")
+        .when(F.col("command").isin(UPDATE, RESET) & ~there, "missing")
+        .when((F.col("command") == RESET) & ~F.col("_has_default"), "no default")
+    )
+    rejected = answered.select(*ATTRIBUTE_KEY, "seq", "command", reason.alias("reason"))
+    return table, rejected.where(F.col("reason").isNotNull())
+
+
 def get(current: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Answer ``requests(scope, key, default)``: the stored value, else the
     caller's default. Returns answers with ``raw`` and its decoded ``value``,

@@ -358,6 +358,14 @@ def attribute_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_attributes(orders, scope, customer, (key % 100).cast("string"), key)
 
 
+def attribute_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command per order: the changes as a log of all four kinds."""
+    command = F.element_at(
+        F.array(*map(F.lit, ("insert", "update", "reset", "upsert"))), (F.col("seq") % 7 % 4 + 1).cast("int")
+    )
+    return attribute_changes(spark, sf_dir).withColumn("command", command)
+
+
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current table: what the first event set per key."""
     events = table(spark, sf_dir, "events")

@@ -538,6 +538,29 @@ ORACLES["attr_upsert"] = f"""
       CASE WHEN cur.value IS NOT NULL THEN cur.default_value ELSE last.default_value END AS default_value,
       CASE WHEN cur.value IS NOT NULL THEN cur.description ELSE last.description END AS description
     FROM cur FULL JOIN last USING (scope, key)"""
+_COMMANDS = f"""{_ATTR},
+    log AS (SELECT *, ['insert', 'update', 'reset', 'upsert'][seq % 7 % 4 + 1] AS command FROM ch),
+    made AS (SELECT scope, key, min(seq) AS made_at FROM log ANTI JOIN cur USING (scope, key)
+             WHERE command IN ('insert', 'upsert') GROUP BY ALL),
+    state AS (SELECT scope, key, CAST(-1 AS BIGINT) AS made_at, value, default_value, description FROM cur
+              UNION ALL SELECT scope, key, made_at, value, default_value, description
+              FROM made JOIN log USING (scope, key) WHERE seq = made_at),
+    judged AS (SELECT log.scope, log.key, seq, command, log.value AS new_value, state.default_value AS kept_default,
+                 CASE WHEN command = 'insert' AND seq > made_at THEN 'exists'
+                      WHEN command IN ('update', 'reset') AND (made_at IS NULL OR seq < made_at) THEN 'missing'
+                      WHEN command = 'reset' AND state.default_value IS NULL THEN 'no default' END AS reason
+               FROM log LEFT JOIN state USING (scope, key)),
+    last AS (SELECT scope, key, arg_max(CASE command WHEN 'reset' THEN kept_default ELSE new_value END, seq) AS value
+             FROM judged WHERE reason IS NULL AND new_value IS NOT NULL GROUP BY ALL)"""
+ORACLES["attr_commands"] = f"""
+    {_COMMANDS} SELECT scope, key, coalesce(last.value, state.value) AS value, default_value, description
+    FROM state LEFT JOIN last USING (scope, key)"""
+ORACLES["attr_commands_rejected"] = f"""
+    {_COMMANDS} SELECT scope, key, seq, command, reason FROM judged WHERE reason IS NOT NULL"""
+ORACLES["attr_update_typed"] = f"""
+    {_ATTR}, {_LAST} SELECT cur.scope, cur.key,
+      CASE WHEN last.seq IS NULL THEN cur.value ELSE '[' || seq % 100 || ',' || seq || ']' END AS value,
+      cur.default_value, cur.description FROM cur LEFT JOIN last USING (scope, key)"""
 _SECRET = """
     SELECT 'customer' || c_custkey AS scope, 'openai.api_key' AS key,
       CASE c_custkey % 3 WHEN 0 THEN 'sk-' WHEN 1 THEN 'org-' ELSE 'key-' END || md5(CAST(c_custkey AS VARCHAR)) AS value

@@ -423,6 +423,23 @@ def attr_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return at.create_or_update(src.attributes(spark, sf), src.attribute_changes(spark, sf))
 
 
+@query
+def attr_commands(spark: SparkSession, sf: str) -> DataFrame:
+    return at.apply_commands(src.attributes(spark, sf), src.attribute_commands(spark, sf))[0]
+
+
+@query
+def attr_commands_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    return at.apply_commands(src.attributes(spark, sf), src.attribute_commands(spark, sf))[1]
+
+
+@query
+def attr_update_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrays as values, stored as JSON."""
+    changes = src.attribute_changes(spark, sf).withColumn("value", F.array(F.col("seq") % 100, F.col("seq")))
+    return at.update(src.attributes(spark, sf), changes)[0]
+
+
 def _is_key() -> Column:
     return F.col("key") == "openai.api_key"
 

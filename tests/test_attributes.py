@@ -134,3 +134,80 @@ def test_export_and_import(spark, current, tmp_path):
     stored = str(tmp_path / "table")
     table.write.parquet(stored)
     assert src.read_attributes(spark, stored).schema == ATTRIBUTES
+
+
+def test_a_key_without_value_exists(spark, current, batch):
+    table = spark.createDataFrame([("s", "n", None, "d", "N")], COLUMNS)
+    got = at.create_or_update(table, batch(("n", "5", "other"), ("m", "1", "x")))
+    assert pairs(got, "key", "value", "default_value", "description") == [("m", "1", "x", "new"), ("n", "5", "d", "N")]
+
+
+def test_values_of_any_type_are_stored_as_text(spark, current):
+    rows = [("s", "a", 1, [1, 2], None, "new"), ("s", "q", 2, [], [3], "new")]
+    typed = spark.createDataFrame(
+        rows, "scope string, key string, seq bigint, value array<int>, default_value array<int>, description string"
+    )
+    assert pairs(at.update(current, typed)[0], "key", "value")[0] == ("a", "[1,2]")
+    assert ("q", "[]", "[3]") in pairs(at.insert(current, typed)[0], "key", "value", "default_value")
+    assert ("a", "[1,2]", "0") in pairs(at.create_or_update(current, typed), "key", "value", "default_value")
+    numbers = typed.withColumn("value", F.col("seq") * 1.5).withColumn("default_value", F.lit(True))
+    assert ("q", "3.0", "true") in pairs(at.insert(current, numbers)[0], "key", "value", "default_value")
+
+
+def test_a_command_log_equals_its_commands_one_by_one(spark):
+    import random
+
+    rng = random.Random(7)
+    start = {k: [rng.choice(["1", None]), rng.choice(["0", None]), k] for k in "abcde"}
+    commands, state, rejected = [], {k: list(v) for k, v in start.items()}, []
+    for seq in range(600):
+        key, command = rng.choice("abcdefghijklmnop"), rng.choice(["insert", "update", "reset", "upsert"])
+        value, default = rng.choice(["x", "y", "z", None]), rng.choice(["d", None])
+        commands.append(("s", key, seq, command, value, default, f"by {seq}"))
+        there, reason = state.get(key), None
+        if command in ("insert", "upsert") and there is None:
+            state[key] = [value, default, f"by {seq}"]
+        elif command == "insert":
+            reason = "exists"
+        elif there is None:
+            reason = "missing"
+        elif command == "reset" and there[1] is None:
+            reason = "no default"
+        else:
+            there[0] = there[1] if command == "reset" else value if value is not None else there[0]
+        if reason:
+            rejected.append((key, seq, command, reason))
+    current = spark.createDataFrame([("s", k, *v) for k, v in start.items()], COLUMNS)
+    rng.shuffle(commands)
+    log = spark.createDataFrame(commands, "scope string, key string, seq bigint, command string, value string, default_value string, description string")
+    table, refused = at.apply_commands(current, log)
+    assert pairs(table, "key", "value", "default_value", "description") == sorted(((k, *v) for k, v in state.items()), key=repr)
+    assert pairs(refused, "key", "seq", "command", "reason") == sorted(rejected, key=repr)
+    table, refused = at.apply_commands(current, log.where("false"))
+    assert table.count() == 5 and refused.count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_short_command_logs(spark, seed):
+    """Logs of a few commands on one key, where the order matters most."""
+    import itertools
+    import random
+
+    rng = random.Random(seed)
+    commands, expected = [], []
+    for key, kinds in enumerate(itertools.product(["insert", "update", "reset", "upsert"], repeat=3)):
+        state = None
+        for seq, command in enumerate(kinds):
+            value, default = rng.choice(["x", "y", None]), rng.choice(["d", None])
+            commands.append(("s", str(key), seq, command, value, default, "c"))
+            if state is None:
+                state = [value, default] if command in ("insert", "upsert") else None
+            elif command == "reset":
+                state[0] = state[0] if state[1] is None else state[1]
+            elif command != "insert" and value is not None:
+                state[0] = value
+        if state:
+            expected.append((str(key), *state))
+    log = spark.createDataFrame(commands, "scope string, key string, seq bigint, command string, value string, default_value string, description string")
+    table, _ = at.apply_commands(spark.createDataFrame([], COLUMNS), log)
+    assert pairs(table, "key", "value", "default_value") == sorted(expected, key=repr)
