@@ -8,7 +8,7 @@ window over the key.
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from foliomine.functions import files as ff
 from foliomine.schema import CATALOG, PUBLIC_FILE_COLUMNS
@@ -176,6 +176,55 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
     )
 
 
+# A catalog in parts: one folder per first characters of the checksum.
+PART = "part"
+PART_CHARACTERS = 2  # 256 parts, evenly full
+
+
+def _with_part(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(PART, F.left("checksum", F.lit(PART_CHARACTERS)))
+
+
+def write_parts(catalog: DataFrame, path: str) -> None:
+    """Write the parts that ``catalog`` has rows of, whole, each sorted by checksum. Other
+    parts under the path stay as they are, their files untouched."""
+    (
+        _with_part(catalog)
+        .repartition(PART)
+        .sortWithinPartitions(PART, "checksum", "path")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PART)
+        .parquet(path)
+    )
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*CATALOG, T.StructField(PART, T.StringType())])
+    return spark.read.schema(schema).parquet(path)
+
+
+def upsert_parts(spark: SparkSession, path: str, incoming: DataFrame) -> None:
+    """:func:`upsert` into a catalog of :func:`write_parts`: the parts of the incoming
+    checksums are read, merged and rewritten. The batch runs again with the same result."""
+    parts = {r[0] for r in _with_part(incoming).select(PART).distinct().collect()}  # 256 at most
+    known = read_parts(spark, path).where(F.col(PART).isin(*parts)).drop(PART)
+    write_parts(upsert(known, incoming), path)
+
+
+def delete_parts(spark: SparkSession, path: str, ids: DataFrame) -> None:
+    """:func:`delete` from a catalog of :func:`write_parts`: of the others no file changes.
+    A part that loses its last row stays as a folder without rows."""
+    catalog = read_parts(spark, path)
+    hit = catalog.select("file_id", PART).join(_once(ids, "file_id"), "file_id", "left_semi")
+    parts = {r[0] for r in hit.select(PART).distinct().collect()}  # 256 at most
+    left = delete(catalog.where(F.col(PART).isin(*parts)), ids)
+    full = {r[0] for r in left.select(PART).distinct().collect()}
+    write_parts(left.drop(PART), path)
+    for part in sorted(parts - full):
+        catalog.drop(PART).limit(0).write.mode("overwrite").parquet(f"{path}/{PART}={part}")
+
+
 def contents(
     catalog: DataFrame, requests: DataFrame, stored: DataFrame, content: str = "content"
 ) -> DataFrame:

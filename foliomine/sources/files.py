@@ -11,6 +11,10 @@ from foliomine.functions.text import strip, unify_newlines
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+# The longest content that Spark's binaryFile source reads; a longer file fails the job.
+SOURCE_LIMIT = (1 << 31) - 1
+
+
 def read_files(
     spark: SparkSession,
     path: str,
@@ -26,12 +30,11 @@ def read_files(
     ``max_size``, ``name_glob``, ``skip`` and ``keep`` (tests of the path, such as
     :func:`foliomine.operators.scan.ignored`) are applied by the source, so the
     files they leave out are never opened; :func:`left_out` lists them. There is no
-    size limit unless one is given. Select without ``content`` to list only. Spark's
+    size limit unless one is given, but that of the source. Select without ``content`` to list only. Spark's
     file source skips names that start with ``.`` or ``_``, and empty files.
     """
     files = _load(spark, path, recursive, name_glob)
-    if max_size is not None:
-        files = files.where(F.col("length") <= max_size)
+    files = files.where(F.col("length") <= _limit(max_size))
     if skip is not None:
         # A filter on the path column is run after the file has been read; one
         # on its metadata is run on the listing.
@@ -41,6 +44,10 @@ def read_files(
     return file_columns(files)
 
 
+def _limit(max_size: int | None) -> int:
+    return SOURCE_LIMIT if max_size is None else min(max_size, SOURCE_LIMIT)
+
+
 def _load(spark: SparkSession, path: str, recursive: bool, name_glob: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if name_glob:
@@ -61,7 +68,7 @@ def left_out(
     under the same settings: ``IGNORED`` or ``FILE_TOO_LARGE``. Reads the listing alone."""
     location = local_path("_metadata.file_path")
     ignored = F.lit(False) if skip is None else skip(location)
-    oversize = F.lit(False) if max_size is None else F.col("length") > max_size
+    oversize = F.col("length") > _limit(max_size)
     files = _load(spark, path, recursive, name_glob).where(ignored | oversize)
     return files.select(
         local_path("path").alias("path"),

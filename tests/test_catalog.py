@@ -135,3 +135,43 @@ def test_written_catalog_reads_back_and_pushes_the_checksum_filter(spark, make,
     found = spark.read.schema(CATALOG).parquet(path).where(F.col("checksum") == "c2")
     assert keys(found, "path") == [("b",)]
     assert "EqualTo(checksum,c2)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_rewrites_the_parts_it_touches(spark, tmp_path):
+    import os
+
+    from foliomine.functions import files as ff
+
+    path = str(tmp_path / "catalog")
+
+    def rows(n, batch, every=1):
+        made = spark.range(0, n, every).select(
+            ff.checksum(F.concat(F.lit("content "), F.col("id"))).alias("checksum"), F.lit("n").alias("name"), F.lit(3).alias("size"),
+            F.concat(F.lit("p/"), F.col("id")).alias("path"), F.lit("t").alias("mime_type"), F.timestamp_seconds(F.lit(5)).alias("created_at"),
+            F.lit(batch).alias("batch_no"),
+        )
+        return ca.catalog_rows(made)
+
+    def files():
+        return {d: sorted(f for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")) for d in os.listdir(path) if "=" in d}
+
+    shown = lambda df: sorted(map(tuple, df.select("checksum", "path", "batch_no", "file_id").collect()))
+    ca.write_parts(rows(2000, 0), path)
+    before = files()
+    assert len(before) == 256 and shown(ca.read_parts(spark, path)) == shown(rows(2000, 0))
+    change = rows(2000, 1).where("checksum like 'a7%'").unionByName(rows(9000, 1).where("checksum like 'a7%' and path > 'p/8'"))
+    expected = shown(ca.upsert(rows(2000, 0), change))
+    for _ in range(2):
+        ca.upsert_parts(spark, path, change)
+        assert shown(ca.read_parts(spark, path)) == expected
+    changed = {d for d, names in files().items() if names != before[d]}
+    assert changed == {"part=a7"}
+
+    before = files()
+    gone = ca.read_parts(spark, path).where("part = '00' or part = 'ff' and path < 'p/15'").select("file_id")
+    gone = spark.createDataFrame(gone.collect(), "file_id string")
+    left = shown(ca.delete(ca.read_parts(spark, path), gone))
+    for _ in range(2):
+        ca.delete_parts(spark, path, gone)
+        assert shown(ca.read_parts(spark, path)) == left and 0 < len(left) < len(expected)
+    assert {d for d, names in files().items() if names != before[d]} == {"part=00", "part=ff"}
