@@ -202,6 +202,7 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         *counts,
+        F.size(spans).cast("long").alias("n_spans"),
         F.sha2(text_of(base), 256).alias("base_sha256"),
         text_of(spans).alias("spans"),
     )

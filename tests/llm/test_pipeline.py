@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_operators_are_registered():
     names = sorted(QUERIES, key=lambda n: (len(n.split("_")[0]), n))
-    assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(QUERIES)
 
 
@@ -44,3 +44,32 @@ def test_stages_narrow_the_documents(spark, tmp_path):
         left = after
     shards = corpus_pipeline.STAGES[-1][1](spark, left, SF)
     assert shards.count() == left.count()
+
+
+def test_run_keeps_the_last_stage_alone(spark):
+    import os
+
+    from foliomine.llm.scratch import shared_folder
+
+    before = set(os.listdir(shared_folder(spark)))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = corpus_pipeline.run(spark, SF)
+    assert {"doc_id", "shard", "slot"} <= set(made.columns) and 0 < made.count()
+    assert made.join(docs, "doc_id", "left_anti").count() == 0
+    folder, = [f for f in set(os.listdir(shared_folder(spark))) - before if f.startswith("pipeline-")]
+    assert os.listdir(f"{shared_folder(spark)}/{folder}") == ["sharding"]
+
+
+def test_scratch_of_a_cluster_is_in_the_warehouse():
+    from types import SimpleNamespace
+
+    from foliomine.llm.scratch import shared_folder
+
+    def session(master, **conf):
+        held = SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__)
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=held)
+
+    warehouse = {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}
+    assert shared_folder(session("yarn", **warehouse)) == "hdfs://x/warehouse/_scratch"
+    assert shared_folder(session("local-cluster[2,1,1024]", **warehouse)) == "hdfs://x/warehouse/_scratch"
+    assert shared_folder(session("yarn", **warehouse, **{"spark.checkpoint.dir": "hdfs://y/z/"})) == "hdfs://y/z"
