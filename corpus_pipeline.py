@@ -2,8 +2,12 @@
 mix the sources, and shard the result.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last
-return rows of ``docs`` with the columns they came with. A stage is run on what the
-stage before it wrote.
+return rows of ``docs`` with the columns they came with, whatever further columns there are.
+A stage is run on what the stage before it wrote. Null and empty texts, null ids, ties,
+repeated rows and empty tables are as the operators define them: a text without words scores
+by the constant weight of the classifier, is no near duplicate and holds no item; rows
+without doc_id are kept by the middle stages; repeated rows stay as often as they are; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from foliomine.llm import decontamination, mixing, near_duplicates, quality, sharding
-from foliomine.llm.scratch import shared_folder
+from foliomine.llm.scratch import drop, shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet and read again."""
+    """All stages on ``documents``, each written as Parquet and read again. What a stage
+    has read is deleted when its own rows are written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop(spark, before)
+        before = f"{folder}/{name}"
     return docs
