@@ -7,14 +7,17 @@
    a group of copies moves as one row from then on.
 3. Classes with a band key in common are candidates. Each bucket contributes a
    star: an edge from its smallest node to every other one, never all pairs.
-4. The edges are confirmed on the full sets of the two texts.
-5. A star leaves out pairs of two leaves. Clusters of the candidate stars that
-   fall into several components of confirmed links are therefore searched
-   exactly: every node outside the cluster's largest component against the whole
-   cluster, in blocks of bounded size that give back links alone.
+4. The edges are confirmed on the full sets of the two texts: those of the first
+   bands before the others, of which only edges between different components of
+   links found so far are left to confirm.
+5. A star leaves out pairs of two leaves. Buckets that still hold nodes of several
+   components are therefore searched exactly: every node outside the bucket's
+   largest component against the whole bucket, in blocks of bounded size that give
+   back links alone. Buckets that one component dominates are searched as one, and
+   so are buckets of the same nodes.
 6. Components of all links.
 
-No bucket, cluster or partner list is capped. What may be missed is a pair at the
+No bucket or partner list is capped. What may be missed is a pair at the
 threshold that shares no band key; the bands are chosen so that this has a chance
 below ``MISS``.
 """
@@ -37,6 +40,7 @@ from foliomine.llm.words import mix, shingle_set
 
 MISS = 1e-10
 MAX_BANDS = 48
+FIRST_BANDS = 6  # bands whose stars are confirmed before those of the others
 BLOCK = 256  # texts on either side of a block
 SLAB = 4096  # shingles of a block that are compared at once
 
@@ -186,6 +190,97 @@ def _chunks(count: str):
     return F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / BLOCK).cast("long"))
 
 
+def _star_links(stars: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links of the edges ``stars(centre, node, centre_label, label)``, as links of labels."""
+    per_centre = stars.groupBy("centre").agg(F.count("*").alias("size"))
+    leaves = stars.join(per_centre, "centre").select(
+        F.col("centre").alias("block"),
+        _chunks("size").alias("part"),
+        F.lit(0).cast("long").alias("other"),
+        F.lit(False).alias("query"),
+        "node",
+        F.col("label").alias("component"),
+        "centre_label",
+    )
+    hubs = leaves.select(
+        "block", "part", "other", F.lit(True).alias("query"), F.col("block").alias("node"),
+        F.col("centre_label").alias("component"),
+    ).distinct()
+    return _links(leaves.drop("centre_label").union(hubs), texts, n, percent)
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the component of ``node`` as ``label``; a node without links is its own."""
+    labels = found.select("node", F.col("component").alias("label"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _contracted(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found(node, component)`` joined by ``links`` between them."""
+    merged = materialise(components(links), "merged")
+    renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    old = found.join(renamed, "component", "left").select(
+        "node", F.coalesce("root", "component").alias("component")
+    )
+    # Components of one node are no rows of ``found``.
+    return materialise(old.union(merged.join(found, "node", "left_anti")), "components")
+
+
+def _torn_buckets(members: DataFrame) -> DataFrame:
+    """``(block, node, label, query)``: the nodes of the buckets ``members(bucket, node, label)``
+    that hold several labels; ``query`` marks those outside the bucket's largest label.
+
+    A bucket with a label of several nodes goes to the block of that label, any other one to
+    the block of its set of nodes."""
+    print_of = F.expr("bit_xor(xxhash64(node))")
+    per_label = members.groupBy("bucket", "label").agg(
+        F.count("*").alias("size"), print_of.alias("print"), F.min("node").alias("least")
+    )
+    torn = (
+        per_label.groupBy("bucket")
+        .agg(
+            F.count("*").alias("labels"),
+            F.max(F.struct("size", F.col("label").alias("owner"))).alias("largest"),
+            F.expr("bit_xor(print)").alias("print"),
+            F.min("least").alias("least"),
+        )
+        .where("labels > 1")
+        .select(
+            "bucket",
+            F.col("largest.owner").alias("owner"),
+            F.when(F.col("largest.size") > 1, F.concat_ws(":", F.lit("label"), "largest.owner"))
+            .otherwise(F.concat_ws(":", F.lit("nodes"), "labels", "least", "print"))
+            .alias("block"),
+        )
+    )
+    rows = members.join(torn, "bucket").select("block", "node", "label", F.col("label") != F.col("owner"))
+    return rows.toDF("block", "node", "label", "query").groupBy("block", "node", "label").agg(
+        F.max("query").alias("query")
+    )
+
+
+def _search_blocks(torn: DataFrame) -> DataFrame:
+    """Rows of :func:`_links` that compare the queries of each block of ``torn`` with all its nodes."""
+    sizes = torn.groupBy("block").agg(
+        F.count("*").alias("n_all"), F.sum(F.col("query").cast("long")).alias("n_query")
+    )
+    rows = torn.withColumnRenamed("label", "component").join(sizes, "block")
+
+    def copies(count: str):
+        last = F.ceil(F.col(count) / BLOCK).cast("long") - 1
+        return F.explode(F.sequence(F.lit(0).cast("long"), last))
+
+    queries = rows.where("query").select(
+        "block", _chunks("n_query").alias("part"), copies("n_all").alias("other"),
+        F.lit(True).alias("query"), "node", "component",
+    )
+    against = rows.select(
+        "block", copies("n_query").alias("part"), _chunks("n_all").alias("other"),
+        F.lit(False).alias("query"), "node", "component",
+    )
+    return queries.union(against)
+
+
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Columns ``doc_id, n_shingles, component_id, kept``, a row per row of ``docs``.
 
@@ -217,86 +312,41 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         "classes",
     )
 
-    buckets = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    buckets = classes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     centres = (
         buckets.groupBy("bucket")
         .agg(F.min(F.struct("node", "n")).alias("centre"), F.count("*").alias("size"))
         .where("size > 1")
         .select("bucket", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n"))
     )
-    stars = materialise(
-        buckets.join(centres, "bucket")
-        .where("node <> centre")
-        .select(
-            "centre",
-            "node",
-            (F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent).alias("near"),
-        )
-        .distinct(),
-        "stars",
-    )
-    # The texts of candidates are dealt out by node once; both confirmations read
+    near = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
+    shared = buckets.join(centres, "bucket").select("bucket", "band", "node", "centre", near.alias("near"))
+    shared = materialise(shared, "buckets")
+    # The texts of candidates are dealt out by node once; all confirmations read
     # them. The hint keeps to one plan at every size: a list of candidates grows with
     # the documents and is no broadcast.
-    nodes = stars.select("centre").union(stars.select("node")).toDF("node").distinct()
+    nodes = shared.select("node").distinct()
     texts = source.withColumnRenamed("doc_id", "node").hint("merge").join(nodes, "node")
     # Repeated rows of a document are one text, so that a block holds each once.
     texts = texts.groupBy("node", F.md5("text").alias("text_md5")).agg(F.any_value("text").alias("text"))
     texts = materialise(texts.select("node", "text"), "texts")
 
-    near = stars.where("near")
-    per_centre = near.groupBy("centre").agg(F.count("*").alias("size"))
-    leaves = near.join(per_centre, "centre").select(
-        F.col("centre").alias("block"),
-        _chunks("size").alias("part"),
-        F.lit(0).cast("long").alias("other"),
-        F.lit(False).alias("query"),
-        "node",
-    )
-    hubs = leaves.select(
-        "block", "part", "other", F.lit(True).alias("query"), F.col("block").alias("node")
-    ).distinct()
-    pairs = leaves.union(hubs).withColumn("component", F.col("node"))
-    links = materialise(_links(pairs, texts, n, percent), "links")
-
-    linked = components(links)
-    clusters = components(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    members = clusters.select("node", F.col("component").alias("block")).join(linked, "node", "left")
-    members = materialise(
-        members.select("block", "node", F.coalesce("component", "node").alias("component")), "members"
-    )
-    per_component = members.groupBy("block", "component").agg(F.count("*").alias("size"))
-    split = (
-        per_component.groupBy("block")
-        .agg(
-            F.sum("size").alias("n_all"),
-            F.max(F.struct("size", "component")).alias("largest"),
-            F.count("*").alias("parts"),
-        )
-        .where("parts > 1")
-        .select(
-            "block",
-            "n_all",
-            (F.col("n_all") - F.col("largest.size")).alias("n_query"),
-            F.col("largest.component").alias("largest"),
-        )
-    )
-    torn = members.join(split, "block")
+    stars = shared.where("near and node <> centre")
+    first = stars.where(F.col("band") < FIRST_BANDS).select("centre", "node").distinct()
+    first = first.select("centre", "node", F.col("node").alias("label"), F.col("centre").alias("centre_label"))
+    found = components(materialise(_star_links(first, texts, n, percent), "links"))
 
-    def copies(count: str):
-        last = F.ceil(F.col(count) / BLOCK).cast("long") - 1
-        return F.explode(F.sequence(F.lit(0).cast("long"), last))
+    apart = _labelled(stars.select("centre", "node"), found)
+    centre_labels = found.select(F.col("node").alias("centre"), F.col("component").alias("centre_label"))
+    apart = apart.join(centre_labels, "centre", "left").withColumn(
+        "centre_label", F.coalesce("centre_label", "centre")
+    )
+    apart = apart.where("label <> centre_label").distinct()
+    found = _contracted(found, materialise(_star_links(apart, texts, n, percent), "links"))
 
-    queries = torn.where("component <> largest").select(
-        "block", _chunks("n_query").alias("part"), copies("n_all").alias("other"),
-        F.lit(True).alias("query"), "node", "component",
-    )
-    against = torn.select(
-        "block", copies("n_query").alias("part"), _chunks("n_all").alias("other"),
-        F.lit(False).alias("query"), "node", "component",
-    )
-    more = _links(queries.union(against), texts, n, percent)
-    final = components(materialise(links.union(more), "links"))
+    torn = _torn_buckets(_labelled(shared.select("bucket", "node"), found))
+    more = _links(_search_blocks(materialise(torn, "torn")), texts, n, percent)
+    final = _contracted(found, materialise(more, "links"))
 
     named = classes.select("set_key", "node").join(final, "node", "left")
     named = named.select("set_key", F.coalesce("component", "node").alias("component_id"))

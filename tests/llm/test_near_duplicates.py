@@ -114,3 +114,32 @@ def test_repeated_rows_of_a_candidate_are_one_text(spark, monkeypatch):
     got = nd.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
     assert found(got) == brute(rows, 3, 85) and got.count() == 402
     assert max(seen) == 3
+
+
+def test_torn_buckets_are_searched_once(spark):
+    """Buckets 1 and 2 hold the same three nodes, 3 and 4 nodes of component 10, 5 one component."""
+    rows = [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 1), (2, 2, 2), (2, 3, 3)]
+    rows += [(3, 10, 10), (3, 11, 10), (3, 20, 20), (4, 11, 10), (4, 12, 10), (4, 20, 20), (4, 30, 30)]
+    rows += [(5, 10, 10), (5, 11, 10)]
+    torn = nd._torn_buckets(spark.createDataFrame(rows, "bucket long, node long, label long"))
+    got = {}
+    for r in torn.collect():
+        got.setdefault(r["block"], {})[r["node"]] = r["query"]
+    assert got.pop("label:10") == {10: False, 11: False, 12: False, 20: True, 30: True}
+    (alone,) = got.values()
+    assert alone == {1: True, 2: True, 3: False}
+    pairs = nd._search_blocks(torn).groupBy("block", "query").count().collect()
+    assert sorted(r["count"] for r in pairs) == [2, 2, 3, 5]
+
+
+def test_pages_of_one_template_equal_all_pairs(spark):
+    """Pages that share half their words, in pairs of near copies: many candidates, few links."""
+    rng, rows = random.Random(8), []
+    frame = [f"t{i}" for i in range(60)]
+    for _ in range(60):
+        body = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+        rows += [" ".join(frame + body), " ".join(frame + [*body[:-2], "x", "y"])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(nd.link_documents(docs, 5, 80)) == brute(rows, 5, 80)
