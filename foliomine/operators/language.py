@@ -20,12 +20,11 @@ def trigrams(text: Column) -> Column:
     return all_matches(letters, r"(?s)(?=(...))", 1)
 
 
-def languages_of(labelled: DataFrame) -> list[str]:
-    """The labels in use. Their number bounds what :func:`detect` broadcasts."""
-    found = labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return sorted(r["lang"] for r in found)
+def few_languages(labelled: DataFrame) -> bool:
+    """Whether ``labelled`` has at most ``MAX_LANGUAGES`` labels, so that its profiles may be
+    broadcast."""
+    found = labelled.select("lang").where("lang is not null").distinct().limit(MAX_LANGUAGES + 1)
+    return found.count() <= MAX_LANGUAGES
 
 
 def profiles(labelled: DataFrame, size: int = PROFILE_SIZE) -> DataFrame:
@@ -62,40 +61,43 @@ def ranked_trigrams(text: Column, size: int = PROFILE_SIZE) -> Column:
 
 
 def detect(
-    documents: DataFrame, profiles: DataFrame, languages: list[str], size: int = PROFILE_SIZE
+    documents: DataFrame, profiles: DataFrame, few: bool = False, size: int = PROFILE_SIZE
 ) -> DataFrame:
-    """``(doc_id, detected, distance)``.
-
-    ``profiles`` has at most ``size`` rows per language and is broadcast. A
-    document's rows meet in the partial aggregate of its own task; one row per
-    document is shuffled. Text without a trigram gets the fallback language.
+    """``(doc_id, detected, distance)`` by ``profiles`` of any number of languages.
+
+    ``few`` says that the profiles are those of :func:`few_languages` and are
+    broadcast; otherwise Spark chooses the join. A document's rows meet in the partial
+    aggregate of its own task, then one row per document and language is shuffled.
+    Of equally near languages the first by name is taken. Text without a trigram and
+    an empty table of profiles give the fallback language and no distance; rows of one
+    doc_id count as one document. Profiles without language are left out.
+
+    A gram that a profile has counts for the difference of its ranks, any other one
+    ``size``. So each document starts with ``size`` per gram for every language, in a row
+    of the empty gram that stands behind its own grams, and each gram found takes off.
     """
-    wide = profiles.groupBy("gram").pivot("lang", languages).agg(F.first("rank"))
-    wide = wide.select("gram", *[F.col(f"`{l}`").alias(f"_{i}") for i, l in enumerate(languages)])
-    ranked = documents.select(
-        "doc_id", F.posexplode_outer(ranked_trigrams(F.col("text"), size)).alias("pos", "gram")
+    known = profiles.where("lang is not null").select(
+        "lang",
+        "rank",
+        F.explode(
+            F.when(F.col("rank") == 1, F.array("gram", F.lit(""))).otherwise(F.array("gram"))
+        ).alias("gram"),
+    )
+    grams = F.concat(F.coalesce(ranked_trigrams(F.col("text"), size), F.array()), F.array(F.lit("")))
+    ranked = documents.select("doc_id", F.posexplode_outer(grams).alias("pos", "gram"))
+    joined = ranked.join(F.broadcast(known) if few else known, "gram", "left")
+    start = F.col("gram") == ""
+    difference = F.when(start, F.col("pos") * size).otherwise(F.abs(F.col("pos") + 1 - F.col("rank")) - size)
+    per_language = joined.groupBy("doc_id", "lang").agg(
+        F.sum(difference).alias("distance"), F.max(F.when(start, F.col("pos"))).alias("grams")
     )
-    joined = ranked.join(F.broadcast(wide), "gram", "left")
-    distances = [
-        F.sum(
-            F.when(F.col("pos").isNotNull(), F.coalesce(F.abs(F.col("pos") + 1 - F.col(f"_{i}")), F.lit(size)))
-        ).alias(f"d{i}")
-        for i in range(len(languages))
-    ]
-    best = F.array_min(
-        F.array(
-            *[
-                F.struct(F.col(f"d{i}").alias("distance"), F.lit(l).alias("lang"))
-                for i, l in enumerate(languages)
-            ]
-        )
+    counted = F.col("lang").isNotNull() & (F.col("grams") > 0)
+    nearest = per_language.groupBy("doc_id").agg(
+        F.min(F.when(counted, F.struct("distance", "lang"))).alias("best")
     )
-    nearest = joined.groupBy("doc_id").agg(*distances).withColumn("best", best)
     return nearest.select(
         "doc_id",
-        F.when(F.col("best.distance").isNull(), FALLBACK_LANGUAGE)
-        .otherwise(F.col("best.lang"))
-        .alias("detected"),
+        F.coalesce("best.lang", F.lit(FALLBACK_LANGUAGE)).alias("detected"),
         F.col("best.distance").alias("distance"),
     )
 

@@ -534,7 +534,7 @@ def language_profiles(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def language_id(spark: SparkSession, sf: str) -> DataFrame:
     labelled = _labelled(spark, sf)
-    found = la.detect(src.prose(spark, sf), la.profiles(labelled), la.languages_of(labelled))
+    found = la.detect(src.prose(spark, sf), la.profiles(labelled), la.few_languages(labelled))
     return found.select("*", la.ocr_language(F.col("detected")).alias("ocr_language"))
 
 
