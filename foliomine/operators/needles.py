@@ -18,7 +18,7 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(F.translate(text, "İ", "i")), "ıſςµ", "isσμ")
 
 
-def _grams(text: Column, size: int) -> Column:
+def grams(text: Column, size: int) -> Column:
     """All overlapping runs of ``size`` characters, found in one pass."""
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
@@ -26,13 +26,13 @@ def _grams(text: Column, size: int) -> Column:
 def text_grams(text: Column) -> Column:
     """The distinct grams of a text by which needles may be indexed: those of ``GRAM``
     characters and, for needles that are shorter, the shorter ones."""
-    return F.array_distinct(F.concat(*(_grams(text, size) for size in range(1, GRAM + 1))))
+    return F.array_distinct(F.concat(*(grams(text, size) for size in range(1, GRAM + 1))))
 
 
 def needle_grams(pieces: Column) -> Column:
     """The grams of a needle: those of each piece of ``GRAM`` characters or more, the
     whole of shorter pieces."""
-    own = F.transform(pieces, lambda p: F.when(F.length(p) >= GRAM, _grams(p, GRAM)).otherwise(F.array(p)))
+    own = F.transform(pieces, lambda p: F.when(F.length(p) >= GRAM, grams(p, GRAM)).otherwise(F.array(p)))
     return F.array_distinct(F.flatten(own))
 
 

@@ -102,6 +102,8 @@ ORACLES["catalog_content_top"] = (
     f"SELECT path, rank, hits FROM ({_content_search('DER ')})"
     " ORDER BY rank DESC, hits DESC, created_s DESC, path, checksum LIMIT 25"
 )
+ORACLES["catalog_content_indexed"] = ORACLES["catalog_content_search"]
+ORACLES["catalog_content_indexed_top"] = ORACLES["catalog_content_top"]
 ORACLES["catalog_upsert"] = f"SELECT * FROM ({UPSERTED})"
 ORACLES["catalog_latest"] = f"""
     SELECT * EXCLUDE (rn) FROM (
@@ -325,6 +327,7 @@ ORACLES["zone_text"] = (
     f"WITH {_zone_ctes(RENDERED)} SELECT doc_id, doc_type, zone, zone_no, text FROM zt"
 )
 ORACLES["zone_text_from_words"] = ORACLES["zone_text"]
+ORACLES["zone_text_joined"] = ORACLES["zone_text"]
 _JOINED_ZONES = f"""coalesce(string_agg('[' || zone || ']' || {NL} || text, {NL} || {NL} ORDER BY zone_no)
                    FILTER (text <> ''), '')"""
 ORACLES["zone_joined_text"] = (

@@ -10,7 +10,9 @@ from foliomine.operators import (
     categories as kc,
     attributes as at,
     catalog as ca,
+    content_index as ci,
     language as la,
+    overlap as ov,
     pairs as pa,
     records as re,
     replies as rp,
@@ -21,6 +23,7 @@ from foliomine.operators import (
 )
 from foliomine.plans import inputs as src
 from foliomine.sources import pages as pg
+from foliomine.sources.templates import BUILTIN_TEMPLATES, template_rows
 
 QUERIES = {}
 
@@ -71,6 +74,23 @@ def catalog_content_top(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("path", "rank", "hits")
 
 
+def _indexed(spark: SparkSession, sf: str, query: str, limit: int | None = None) -> DataFrame:
+    files = ci.with_ids(src.searchable_files(spark, sf))
+    index = ci.postings(files)
+    return ci.search(files, index, ci.gram_counts(index), query, limit)
+
+
+@query
+def catalog_content_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The content search by an index of trigrams."""
+    return _indexed(spark, sf, "license").select("path", "name", "rank", "hits")
+
+
+@query
+def catalog_content_indexed_top(spark: SparkSession, sf: str) -> DataFrame:
+    return _indexed(spark, sf, "DER ", limit=25).select("path", "rank", "hits")
+
+
 def _upserted(spark: SparkSession, sf: str) -> DataFrame:
     first = src.as_catalog(src.document_files(spark, sf))
     second = src.as_catalog(src.redelivered_files(spark, sf), src.EPOCH + src.DAY, 1)
@@ -262,6 +282,16 @@ def zone_text_from_words(spark: SparkSession, sf: str) -> DataFrame:
     return tp.zone_rows(tp.with_zones(types.join(first, "doc_id", "left")))
 
 
+@query
+def zone_text_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from rows of words and a table of zones, joined where they overlap."""
+    documents = src.with_layout(src.rendered(spark, sf))
+    words = tp.rows_of(documents, F.inline_outer("words"), "word_no")
+    types = tp.classify(documents.select("doc_id", "page_text")).select("doc_id", "doc_type")
+    table = template_rows(spark, BUILTIN_TEMPLATES)
+    return ov.zone_texts(types, words, ov.zone_boxes(table))
+
+
 @query
 def zone_joined_text(spark: SparkSession, sf: str) -> DataFrame:
     return _zoned(spark, sf).select("doc_id", tp.joined_zone_text(F.col("zones")).alias("text"))
