@@ -3,8 +3,8 @@
 Changes arrive as batches. A batch may name one key any number of times, so it
 is first reduced to one row per key by an aggregate before it is joined. Where every
 row of a batch needs an answer, the batch is salted and the unique side copied per
-salt, so a key that holds a third of all rows is spread over ``SALTS`` tasks. No side
-is broadcast by hint; Spark does so where its size allows.
+salt asked for, so a key that holds a third of all rows is spread over ``SALTS`` tasks.
+No side is broadcast by hint; Spark does so where its size allows, but for the salted joins.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,10 +18,16 @@ SALTS = 16
 
 
 def _join_salted(rows: DataFrame, unique: DataFrame) -> DataFrame:
-    """Left join of a batch with one row per key."""
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
-    copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("_salt", salt).join(copies, [*ATTRIBUTE_KEY, "_salt"], "left").drop("_salt")
+    """Left join of a batch with one row per key.
+
+    A key is copied for those salts alone under which the batch asks for it, so there are
+    never more copies than rows of the batch. Spark estimates neither side well: one is an
+    aggregate of a compressed file, the other is copied. So both joins are sort-merge joins,
+    which hold no side whole."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    asked = salted.select(*ATTRIBUTE_KEY, "_salt").distinct()
+    copies = asked.join(unique.hint("merge"), ATTRIBUTE_KEY)
+    return salted.join(copies.hint("merge"), [*ATTRIBUTE_KEY, "_salt"], "left").drop("_salt")
 
 
 def _one_per_key(changes: DataFrame, pick) -> DataFrame:

@@ -211,3 +211,20 @@ def test_short_command_logs(spark, seed):
     log = spark.createDataFrame(commands, "scope string, key string, seq bigint, command string, value string, default_value string, description string")
     table, _ = at.apply_commands(spark.createDataFrame([], COLUMNS), log)
     assert pairs(table, "key", "value", "default_value") == sorted(expected, key=repr)
+
+
+def test_answers_to_a_batch_broadcast_no_copies(spark):
+    """Requests meet no more copies of the table than they ask for, and neither side is held whole."""
+    current = spark.range(5_000).selectExpr(
+        "'s' as scope", "concat('k', id) as key", "'1' as value", "cast(null as string) as default_value", "'' as description"
+    )
+    asked = spark.range(900).selectExpr(
+        "'s' as scope", "if(id % 3 = 0, 'k1', concat('k', id * 10)) as key", "id as seq", "cast(null as string) as default"
+    )
+    found, rejected = at.get(current, asked)
+    inserted = at.insert(current, asked.selectExpr("scope", "key", "seq", "'2' as value", "default as default_value", "'' as description"))
+    for answer in (found, rejected, inserted[1]):
+        plan = answer._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode" not in plan and plan.count("SortMergeJoin") >= 2
+    assert found.count() == 300 + 333 and rejected.count() == 267
+    assert found.where("key = 'k1'").count() == 300 and inserted[1].count() == 900 - 267
