@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows by a hash of ``key``, in as many tasks as a shuffle has. A file of one row group
+    is read by one task, and a document costs a thousand times what its row does: the narrow
+    rows move before documents are rendered from them, or extracted. The number is given, as
+    Spark would join small tasks again by their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # --- files -----------------------------------------------------------------
 
 
@@ -215,11 +223,13 @@ def fee_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("Karte: ", F.col("c_name")),
         F.lit("Ende der Aufstellung"),
     )
-    return table(spark, sf_dir, "customer").select(_text("fee-", key).alias("doc_id"), text.alias("text"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_name")
+    return dealt(customers, "c_custkey").select(_text("fee-", key).alias("doc_id"), text.alias("text"))
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(_text("doc-", F.col("doc_id")).alias("doc_id"), "text")
+    documents = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return documents.select(_text("doc-", F.col("doc_id")).alias("doc_id"), "text")
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:

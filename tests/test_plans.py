@@ -100,3 +100,10 @@ def test_hinted_broadcasts_are_those_with_a_checked_size(plans):
         if "F.broadcast(" in p.read_text() and p.parent.name != "llm"
     ]
     assert sorted(hinted) == ["language.py"]
+
+
+def test_documents_of_one_row_group_are_rendered_in_many_tasks(spark):
+    """A table in one file of one row group is read by one task; what is made of it is not."""
+    for rows in (inputs.fee_statements(spark, SF), inputs.prose(spark, SF)):
+        parts = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
