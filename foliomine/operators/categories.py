@@ -18,17 +18,24 @@ def categorise(rows: DataFrame, keywords: DataFrame, description: str = "descrip
     for a table of any size. Null and empty keywords are left out. Each distinct
     description is looked up once, so a frequent one is no hot key of the search.
     """
-    distinct = rows.select(F.lower(description).alias("text")).where(F.col("text").isNotNull()).distinct()
+    line = F.lower(description)
+    # A digest stands for a text where texts are not needed, so that joins move short keys.
+    digest = lambda text: F.unhex(F.sha2(text, 256))
+    distinct = rows.select(line.alias("text")).where(F.col("text").isNotNull()).distinct()
+    texts = distinct.select(digest(F.col("text")).alias("text_id"), "text")
     words = keywords.where(F.length("keyword") > 0).select("category", "priority", F.lower("keyword").alias("needle"))
-    searched = words.select("needle").distinct().withColumn("pieces", F.array("needle"))
-    found = needles.candidates(distinct.withColumn("text_id", F.col("text")), searched)
+    # Of the categories that share a keyword only the first can be a text's.
+    words = words.groupBy("needle").agg(F.min(F.struct("priority", "category")).alias("_first"))
+    searched = words.select("needle", F.array("needle").alias("pieces"))
+    found = needles.candidates(texts, searched)
     best = (
-        found.where(F.col("text_id").contains(F.col("needle")))
+        found.where(F.col("text").contains(F.col("needle")))
+        .select("text_id", "needle")
         .join(words, "needle")
         .groupBy("text_id")
-        .agg(F.min(F.struct("priority", "category")).alias("_best"))
+        .agg(F.min("_first").alias("_best"))
     )
-    joined = rows.join(best, F.lower(rows[description]) == best["text_id"], "left")
+    joined = rows.join(best, digest(F.lower(rows[description])) == best["text_id"], "left")
     return joined.select(
         *[rows[c] for c in rows.columns], F.coalesce(best["_best"]["category"], F.lit(OTHER)).alias("category")
     )

@@ -2,8 +2,10 @@
 
 Each needle, a list of strings that a text has to hold, is indexed once: by the gram of
 it that the fewest needles have. A text is looked up by its own distinct grams, so a text
-meets the needles it may hold and no others; tables of needles of any size are joined and
-never collected.
+meets the needles it may hold and no others. An index of few needles is a local table that
+Spark may broadcast, so that texts stay where they are. One of many needles is joined and
+never collected; its grams are longer, as a short one would be in too many needles, and
+of a text only grams of a form that the index has are moved.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 GRAM = 3
+FEW = 20_000
+LONG_GRAMS = (1, 2, 3, 4, 5, 6, 7, 8, 12)
+MAX_FORMS = 200
+_FORM = {"L": r"\p{L}", "9": r"\p{Nd}", "-": r"[^\p{L}\p{Nd}]"}
 
 
 def fold(text: Column) -> Column:
@@ -23,30 +29,63 @@ def grams(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def text_grams(text: Column) -> Column:
-    """The distinct grams of a text by which needles may be indexed: those of ``GRAM``
-    characters and, for needles that are shorter, the shorter ones."""
-    return F.array_distinct(F.concat(*(grams(text, size) for size in range(1, GRAM + 1))))
+def needle_grams(pieces: Column, sizes: tuple[int, ...]) -> Column:
+    """The grams of a needle: those of each piece in the largest of ``sizes`` that it has."""
 
+    def own(piece: Column) -> Column:
+        cases = F.array().cast("array<string>")
+        for size in sizes:
+            cases = F.when(F.length(piece) >= size, grams(piece, size)).otherwise(cases)
+        return cases
 
-def needle_grams(pieces: Column) -> Column:
-    """The grams of a needle: those of each piece of ``GRAM`` characters or more, the
-    whole of shorter pieces."""
-    own = F.transform(pieces, lambda p: F.when(F.length(p) >= GRAM, grams(p, GRAM)).otherwise(F.array(p)))
-    return F.array_distinct(F.flatten(own))
+    return F.array_distinct(F.flatten(F.transform(pieces, own)))
 
 
-def index(needles: DataFrame) -> DataFrame:
-    """``(needle, gram)`` of ``needles(needle, pieces)``: the rarest gram of each."""
-    grams = needles.select("needle", F.explode(needle_grams(F.col("pieces"))).alias("gram"))
+def index(needles: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """``(needle, gram)`` of ``needles(needle, pieces)``: the rarest gram of each, short ones
+    where there is no other."""
+    grams = needles.select("needle", F.explode(needle_grams(F.col("pieces"), sizes)).alias("gram"))
     held = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = grams.join(held, "gram").groupBy("needle").agg(F.min(F.struct(-F.length("gram"), "n", "gram")).alias("g"))
+    short = -F.least(F.length("gram"), F.lit(GRAM))
+    best = F.min(F.struct(short, "n", -F.length("gram"), "gram"))
+    rarest = grams.join(held, "gram").groupBy("needle").agg(best.alias("g"))
     return rarest.select("needle", F.col("g.gram").alias("gram"))
 
 
-def candidates(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """``(text_id, needle)`` for each of ``texts(text_id, text)`` and the needles whose
-    index gram it holds; whether it holds the rest is to be checked. Texts and pieces
-    are folded alike; empty pieces are not allowed."""
-    grams = texts.select("text_id", F.explode_outer(text_grams(F.col("text"))).alias("gram"))
-    return grams.join(index(needles), "gram").select("text_id", "needle")
+def form(gram: Column) -> Column:
+    """A gram with each letter, digit and other character replaced by a sign of its kind."""
+    letters = F.regexp_replace(gram, r"\p{L}", "L")
+    return F.regexp_replace(F.regexp_replace(letters, r"\p{Nd}", "9"), "(?s)[^L9]", "-")
+
+
+def text_grams(text: Column, sizes: list[int], forms: list[str] | None = None) -> Column:
+    """The distinct grams of a text in ``sizes``, of ``forms`` alone where they are given (then
+    every size has one)."""
+    found = [F.array().cast("array<string>")]
+    for size in sizes:
+        kinds = ["".join(_FORM[c] for c in f) for f in forms or [] if len(f) == size]
+        regex = "|".join(kinds) if forms else f".{{{size}}}"
+        found.append(F.regexp_extract_all(text, F.lit(f"(?s)(?=({regex}))"), F.lit(1)))
+    return F.array_distinct(F.concat(*found))
+
+
+def candidates(texts: DataFrame, needles: DataFrame, few: int = FEW) -> DataFrame:
+    """``texts(text_id, text, ...)`` with ``needle``: a row for each of the needles whose
+    index gram the text holds; whether it holds the rest is to be checked. Texts and pieces
+    are folded alike; empty pieces are not allowed, ids are unique."""
+    spark = texts.sparkSession
+    many = needles.limit(few + 1).count() > few
+    listed = index(needles, LONG_GRAMS if many else tuple(range(1, GRAM + 1)))
+    if not many:
+        table = listed.toArrow()
+        sizes = sorted({len(g) for g in table["gram"].to_pylist()})
+        held = texts.select("*", F.explode_outer(text_grams(F.col("text"), sizes)).alias("gram"))
+        return held.join(spark.createDataFrame(table), "gram").select(*texts.columns, "needle")
+    forms = [r["f"] for r in listed.select(form(F.col("gram")).alias("f")).distinct().limit(MAX_FORMS + 1).collect()]
+    if len(forms) <= MAX_FORMS:
+        own = text_grams(F.col("text"), sorted({len(f) for f in forms}), sorted(forms))
+    else:
+        own = text_grams(F.col("text"), list(LONG_GRAMS))
+    held = texts.select("text_id", F.explode_outer(own).alias("gram"))
+    found = held.join(listed, "gram").select("text_id", "needle")
+    return texts.join(found, "text_id").select(*texts.columns, "needle")

@@ -136,8 +136,10 @@ def _matched(texts: DataFrame, patterns: DataFrame, block: int = 64) -> DataFram
     over all rows in blocks."""
     with_pieces = patterns.select("pattern", required_pieces(F.col("pattern")).alias("pieces"))
     indexed = with_pieces.where(F.size("pieces") > 0).select(F.col("pattern").alias("needle"), "pieces")
-    tried = needles.candidates(texts.select("text_id", needles.fold(F.col("text")).alias("text")), indexed)
-    tried = tried.join(texts, "text_id").select("text_id", "text", F.col("needle").alias("pattern"))
+    folded = texts.select("text_id", needles.fold(F.col("text")).alias("text"), F.col("text").alias("_whole"))
+    tried = needles.candidates(folded, indexed).select(
+        "text_id", F.col("_whole").alias("text"), F.col("needle").alias("pattern")
+    )
     plain = with_pieces.where(F.size("pieces") == 0).select("pattern")
     n_blocks = -(-plain.count() // block)
     if n_blocks:
@@ -174,9 +176,10 @@ def classify_from(documents: DataFrame, table: DataFrame, text: str = "page_text
 
 def fields_from(documents: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
     """``documents(doc_id, doc_type, ...)`` with ``fields`` as :func:`fields` gives them, the
-    patterns being those of the row's template in the table: a template comes to its
-    documents as one row, and its patterns are tried inside the document's row."""
-    patterns = table.select(F.col("name").alias("_name"), F.col("fields").alias("_patterns"))
+    patterns being those of the row's template in the table, the first of its name: a template
+    comes to its documents as one row, and its patterns are tried inside the document's row."""
+    first = table.groupBy(F.col("name").alias("_name")).agg(F.min(F.struct("template_no", "fields")).alias("_first"))
+    patterns = first.select("_name", F.col("_first.fields").alias("_patterns"))
 
     def last(pattern_of: Column) -> Column:
         regex = F.concat(F.lit(pattern("", ignore_case=True, multiline=True)), pattern_of)

@@ -84,3 +84,30 @@ def test_ten_thousand_templates(spark):
     docs = spark.range(0, 10_000, 25).selectExpr("id as doc_id", "concat('Zum VERTRAG  ', lpad(id, 6, '0'), ' gilt') as page_text")
     got = tp.classify_from(docs, rows)
     assert got.where("doc_type = concat('t', doc_id) and score = 1").count() == 400
+
+
+def test_few_needles_come_to_the_texts(spark, texts):
+    """Texts aren't shuffled gram by gram: the index of few needles is a local table."""
+    asked = spark.createDataFrame([("miete", ["miete"])], "needle string, pieces array<string>")
+    rows = nd.candidates(texts("die miete", "x").withColumnRenamed("doc_id", "text_id"), asked)
+    assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [(r["text_id"], r["needle"]) for r in rows.collect()] == [(0, "miete")]
+
+
+def test_many_needles_have_long_grams_of_known_forms(spark, texts):
+    """Numbers that share all their short grams meet only the texts that hold them."""
+    rng = random.Random(3)
+    numbers = [f"kunde#{n:09d}" for n in rng.sample(range(10**6), 300)] + ["ab", "ü-7", "7", "konto nr 12345"]
+    said = [f"von {rng.choice(numbers)} an {rng.choice(numbers)}; {rng.randrange(10**7)}" for _ in range(150)]
+    asked = spark.createDataFrame([(w, [w]) for w in numbers], "needle string, pieces array<string>")
+    rows = nd.candidates(texts(*said).withColumnRenamed("doc_id", "text_id"), asked, few=10).collect()
+    found = {(r["text_id"], r["needle"]) for r in rows}
+    held = {(i, w) for i, t in enumerate(said) for w in numbers if w in t}
+    assert held <= found and len(found) == len(rows) <= len(held) + 150
+
+
+def test_the_first_template_of_a_name_gives_the_fields(spark):
+    rows = [(no, "t", [], [], [("k", regex)]) for no, regex in ((2, "(b)"), (1, "(a)"))]
+    docs = spark.createDataFrame([(1, "t", "ab")], "doc_id int, doc_type string, text string")
+    got = tp.fields_from(docs, spark.createDataFrame(rows, ts.TEMPLATE_ROW)).collect()
+    assert [[tuple(f) for f in r["fields"]] for r in got] == [[("k", "a")]]
