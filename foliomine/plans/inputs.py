@@ -319,7 +319,8 @@ def customer_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     def field(key: str, regex: Column) -> Column:
         return F.struct(F.lit(key).alias("key"), regex.alias("pattern"))
 
-    return table(spark, sf_dir, "customer").select(
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
+    return dealt(customers, "c_custkey").select(
         template.alias("template_no"),
         _text("card of ", name).alias("name"),
         F.array(
