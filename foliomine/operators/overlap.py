@@ -66,11 +66,14 @@ def zone_texts(types: DataFrame, words: DataFrame, zones: DataFrame) -> DataFram
     by a space, lines by a newline. A zone without words, also of a document without words,
     has an empty text; documents without a type, or of a type without zones, have no row.
     Words that repeat are there as often as they are delivered; those without text or without
-    a whole box are left out. A group of the aggregate is one zone of one page.
+    a whole box are left out. A group of the first aggregate is one zone of one page, one of
+    the second the texts of a page. Words move by document once, and not at all where they lie
+    so already; zones small enough for a broadcast come to them, and texts stay there.
     """
     fields = ["doc_id", "line_no", "word_no", "text", *WORD_BOX]
     typed = words.select(*fields).where("text is not null").join(types.select("doc_id", "doc_type"), "doc_id")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "word_no", "text", *WORD_BOX)))
+    # Words alike in these three are alike in the text, whatever their boxes.
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "word_no", "text")))
     inside = overlaps(typed, zones).groupBy("doc_id", "zone_no").agg(ordered.alias("words"))
 
     def before(word: Column, i: Column) -> Column:
@@ -78,7 +81,10 @@ def zone_texts(types: DataFrame, words: DataFrame, zones: DataFrame) -> DataFram
         return F.when(i == 0, "").when(same, " ").otherwise("\n")
 
     text = F.array_join(F.transform("words", lambda w, i: F.concat(before(w, i), w["text"])), "")
+    by_zone = F.map_from_entries(F.collect_list(F.struct("zone_no", text.alias("text"))))
+    texts = inside.groupBy("doc_id").agg(by_zone.alias("texts"))
     every = types.select("doc_id", "doc_type").join(zones.select("doc_type", "zone", "zone_no"), "doc_type")
-    return every.join(inside, ["doc_id", "zone_no"], "left").select(
-        "doc_id", "doc_type", "zone", "zone_no", F.coalesce(text, F.lit("")).alias("text")
+    found = F.try_element_at("texts", F.col("zone_no"))
+    return every.join(texts, "doc_id", "left").select(
+        "doc_id", "doc_type", "zone", "zone_no", F.coalesce(found, F.lit("")).alias("text")
     )

@@ -272,6 +272,19 @@ def zone_text(spark: SparkSession, sf: str) -> DataFrame:
     return tp.zone_rows(_zoned(spark, sf))
 
 
+def _page_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Page one of each document as rows of words. Pages move by document before they are cut,
+    as rows of words take several times the bytes of the text that they are cut from."""
+    page = src.with_first_page(src.rendered(spark, sf)).select("doc_id", "page_text")
+    laid_out = src.dealt(page, "doc_id").withColumn("words", F.expr(pg.words_from_text("page_text")))
+    return tp.rows_of(laid_out, F.inline_outer("words"), "word_no")
+
+
+def _types(spark: SparkSession, sf: str) -> DataFrame:
+    page = src.with_first_page(src.rendered(spark, sf))
+    return tp.classify(page.select("doc_id", "page_text")).select("doc_id", "doc_type")
+
+
 @query
 def zone_text_from_words(spark: SparkSession, sf: str) -> DataFrame:
     """The same from rows of words, as a layout extractor delivers them."""
@@ -285,11 +298,8 @@ def zone_text_from_words(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def zone_text_joined(spark: SparkSession, sf: str) -> DataFrame:
     """The same from rows of words and a table of zones, joined where they overlap."""
-    documents = src.with_layout(src.rendered(spark, sf))
-    words = tp.rows_of(documents, F.inline_outer("words"), "word_no")
-    types = tp.classify(documents.select("doc_id", "page_text")).select("doc_id", "doc_type")
     table = template_rows(spark, BUILTIN_TEMPLATES)
-    return ov.zone_texts(types, words, ov.zone_boxes(table))
+    return ov.zone_texts(_types(spark, sf), _page_words(spark, sf), ov.zone_boxes(table))
 
 
 @query

@@ -107,3 +107,29 @@ def test_documents_of_one_row_group_are_rendered_in_many_tasks(spark):
     for rows in (inputs.fee_statements(spark, SF), inputs.prose(spark, SF)):
         parts = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
         assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_no_rows_of_words_are_shuffled(spark):
+    """Pages move as text, by document; what is cut from them into words stays there, in the
+    plan that ran."""
+
+    def nodes(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            node = node.plan()
+        children = node.children()
+        below = [children.apply(i) for i in range(children.size())]
+        yield node
+        for child in below:
+            yield from nodes(child)
+
+    def cuts(node):
+        return any(n.nodeName() == "Generate" and "inline(words" in n.simpleString(200) for n in nodes(node))
+
+    for name in ("zone_text_joined",):
+        frame = QUERIES[name](spark, SF)
+        frame.collect()
+        ran = frame._jdf.queryExecution().executedPlan()
+        moved = [n for n in nodes(ran) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+        assert cuts(ran) and moved and not any(cuts(n) for n in moved), name
