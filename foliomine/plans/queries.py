@@ -288,11 +288,9 @@ def _types(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def zone_text_from_words(spark: SparkSession, sf: str) -> DataFrame:
     """The same from rows of words, as a layout extractor delivers them."""
-    documents = src.with_layout(src.rendered(spark, sf))
-    words = tp.rows_of(documents.withColumn("page_no", F.lit(1)), F.inline_outer("words"), "word_no", "page_no")
-    types = tp.classify(documents.select("doc_id", "page_text")).select("doc_id", "doc_type")
+    words = _page_words(spark, sf).withColumn("page_no", F.lit(1))
     first = pg.gather_words(words).where("page_no = 1")
-    return tp.zone_rows(tp.with_zones(types.join(first, "doc_id", "left")))
+    return tp.zone_rows(tp.with_zones(_types(spark, sf).join(first, "doc_id", "left")))
 
 
 @query

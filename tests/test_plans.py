@@ -127,7 +127,7 @@ def test_no_rows_of_words_are_shuffled(spark):
     def cuts(node):
         return any(n.nodeName() == "Generate" and "inline(words" in n.simpleString(200) for n in nodes(node))
 
-    for name in ("zone_text_joined",):
+    for name in ("zone_text_from_words", "zone_text_joined"):
         frame = QUERIES[name](spark, SF)
         frame.collect()
         ran = frame._jdf.queryExecution().executedPlan()
