@@ -53,18 +53,39 @@ def candidates(index: DataFrame, counts: DataFrame, grams: list[str]) -> DataFra
     return index.where(F.col("gram") == rarest.scalar()).select(PART, "file_id")
 
 
+def candidates_at_once(index: DataFrame, counts: DataFrame, grams: list[str]) -> DataFrame:
+    """:func:`candidates` of an index that is computed, not read, whose ``counts`` are
+    :func:`gram_counts` of it: the texts give out their grams once, for both. The postings of
+    all ``grams`` are kept until the rarest is known, so both meet in one shuffle.
+
+    The count keeps Spark from asking for the rarest gram before that shuffle, and values that
+    cannot be null from a filter there that ``counts`` has not: the shuffles would differ."""
+    is_asked = F.col("gram").isin(grams)
+    rarest = counts.where(is_asked).orderBy("n_files", "gram").limit(1).select("gram")
+    n = F.count_if(F.col("gram") == rarest.scalar())
+    held = index.where(is_asked).groupBy(PART, "file_id").agg(n.alias("n")).where("n > 0")
+    return held.select(*(F.coalesce(c, F.lit("")).alias(c) for c in (PART, "file_id")))
+
+
 def search(
-    files: DataFrame, index: DataFrame, counts: DataFrame, query: str, limit: int | None = None
+    files: DataFrame,
+    index: DataFrame,
+    counts: DataFrame,
+    query: str,
+    limit: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """The rows of :func:`foliomine.operators.catalog.search_content`, in its order, from the
     files of :func:`with_ids`, their :func:`postings` and :func:`gram_counts`.
 
     A query without three characters in a row between its wildcards has no trigram; it goes
-    over all files. Rows that repeat are found as often as they are there.
+    over all files. Rows that repeat are found as often as they are there. Of a ``stored``
+    index only the postings of one gram are read; one that is computed is computed once.
     """
     grams = query_grams(files.sparkSession, query)
     if grams:
-        files = files.join(candidates(index, counts, grams), [PART, "file_id"], "left_semi")
+        found = (candidates if stored else candidates_at_once)(index, counts, grams)
+        files = files.join(found, [PART, "file_id"], "left_semi")
     return ca.search_content(files.drop(PART, "file_id"), query, limit=limit)
 
 
@@ -103,4 +124,4 @@ def search_written(like: DataFrame, path: str, query: str, limit: int | None = N
     empty one, with the columns that were written."""
     spark = like.sparkSession
     index, counts = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "grams"))
-    return search(read_texts(spark, path, like), index, counts, query, limit)
+    return search(read_texts(spark, path, like), index, counts, query, limit, stored=True)

@@ -66,3 +66,20 @@ def test_postings_hold_each_gram_of_a_file_once(files):
     assert len(rows) == len(set(rows))
     assert {g for g, _ in rows} >= {"the", "😀😀😀", "übe", "100"}
     assert ci.postings(ci.with_ids(files.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("query", QUERIES)
+def test_a_computed_index_finds_what_the_scan_finds(files, query):
+    made = ci.with_ids(files)
+    index = ci.postings(made)
+    expected = list(map(tuple, ca.search_content(files, query).collect()))
+    assert list(map(tuple, ci.search(made, index, ci.gram_counts(index), query).collect())) == expected
+
+
+def test_candidates_at_once_are_those_of_the_stored_index(spark, files, written):
+    stored, counts = (spark.read.parquet(f"{written}/{name}") for name in ("postings", "grams"))
+    index = ci.postings(ci.with_ids(files))
+    for grams in (["lic", "the"], ["lic", "qqq"], ["qqq"], ["the", "😀😀😀", "ens"]):
+        got = ci.candidates_at_once(index, ci.gram_counts(index), grams)
+        expected = ci.candidates(stored, counts, grams)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())), grams

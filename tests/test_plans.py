@@ -109,27 +109,38 @@ def test_documents_of_one_row_group_are_rendered_in_many_tasks(spark):
         assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
 
 
+def _nodes(node):
+    """The nodes of a plan that ran, those of its subqueries too; what is reused counts once."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return (yield from _nodes(node.executedPlan()))
+    if kind.endswith("QueryStageExec"):
+        return (yield from _nodes(node.plan()))
+    yield node
+    for below in (node.children(), node.subqueries()):
+        for i in range(below.size()):
+            yield from _nodes(below.apply(i))
+
+
 def test_no_rows_of_words_are_shuffled(spark):
-    """Pages move as text, by document; what is cut from them into words stays there, in the
-    plan that ran."""
-
-    def nodes(node):
-        if node.nodeName().startswith("AdaptiveSparkPlan"):
-            node = node.executedPlan()
-        if node.getClass().getSimpleName().endswith("QueryStageExec"):
-            node = node.plan()
-        children = node.children()
-        below = [children.apply(i) for i in range(children.size())]
-        yield node
-        for child in below:
-            yield from nodes(child)
+    """Pages move as text, by document; what is cut from them into words stays there."""
 
     def cuts(node):
-        return any(n.nodeName() == "Generate" and "inline(words" in n.simpleString(200) for n in nodes(node))
+        return any(n.nodeName() == "Generate" and "inline(words" in n.simpleString(200) for n in _nodes(node))
 
     for name in ("zone_text_from_words", "zone_text_joined"):
         frame = QUERIES[name](spark, SF)
         frame.collect()
         ran = frame._jdf.queryExecution().executedPlan()
-        moved = [n for n in nodes(ran) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+        moved = [n for n in _nodes(ran) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
         assert cuts(ran) and moved and not any(cuts(n) for n in moved), name
+
+
+def test_a_computed_index_is_computed_once(spark):
+    """The count of the asked grams and their postings are of one pass over the texts."""
+    for name in ("catalog_content_indexed", "catalog_content_indexed_top"):
+        frame = QUERIES[name](spark, SF)
+        frame.collect()
+        ran = list(_nodes(frame._jdf.queryExecution().executedPlan()))
+        made = [n for n in ran if n.nodeName() == "Generate" and "array_distinct" in n.simpleString(2000)]
+        assert len(made) == 1, (name, len(made))
