@@ -144,3 +144,10 @@ def test_a_computed_index_is_computed_once(spark):
         ran = list(_nodes(frame._jdf.queryExecution().executedPlan()))
         made = [n for n in ran if n.nodeName() == "Generate" and "array_distinct" in n.simpleString(2000)]
         assert len(made) == 1, (name, len(made))
+
+
+def test_documents_are_not_classified_where_they_are_read(plans):
+    """No filter on the type, with all that makes it, stands below the shuffle of customers."""
+    for name in ("zone_text_from_words", "zone_text_joined"):
+        filters = [line for line in plans[name].splitlines() if re.search(r"[+:]- (\\*\(\d+\) )?Filter ", line)]
+        assert filters and not any("greatest(struct(score" in line for line in filters), name
