@@ -302,7 +302,8 @@ def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, line_no, description)``: the lines of the documents."""
-    lines = table(spark, sf_dir, "documents").select(
+    documents = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    lines = documents.select(
         "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "description")
     )
     return lines.where(F.col("line_no").isNotNull())

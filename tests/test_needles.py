@@ -21,6 +21,35 @@ def test_every_text_meets_the_needles_it_holds(spark, texts):
     assert held <= found and len(found) < 200 * len(wanted) / 2 and rows.count() == len(found)
 
 
+def test_the_first_needle_inside_each_text(spark, texts):
+    """In-row search by lookups and patterns, against a plain search; ranks are in any order of
+    lengths, and needles hold, begin with and overlap one another."""
+    rng = random.Random(9)
+    word = lambda signs, a, b: "".join(rng.choice(signs) for _ in range(rng.randrange(a, b)))
+    ranked = list({word("abcé", 2, 6) for _ in range(150)} | {"b c", "a\tb", "é.", "😀b", "|(", "x" * 100, "b c d"})
+    rng.shuffle(ranked)
+    said = [" ".join(word("abcdé.", 0, 9) for _ in range(rng.randrange(6))) for _ in range(300)]
+    said += ["", " ", "zz", "a😀bc", "(|(", "x" * 101, "ab c dab", "a\tb", "ab\ncé.", None]
+    for some in (ranked, ranked[:9], ranked[:1], []):
+        got = nd.with_first(texts(*said), F.col("text"), some, "text_id")
+        assert got.columns == ["doc_id", "text", "text_id"]
+        least = lambda t: min((i for i, w in enumerate(some) if w in (t or "")), default=len(some))
+        assert {r["doc_id"]: r["text_id"] for r in got.collect()} == {i: least(t) for i, t in enumerate(said)}
+
+
+def test_few_keywords_move_no_lines(spark, texts):
+    """The category is found inside the row; a table beyond the limits of this is joined."""
+    rows = texts("die Miete", "x").withColumnRenamed("text", "description")
+    schema = "category string, priority int, keyword string"
+    few = spark.createDataFrame(KEYWORDS, schema)
+    found = ca.categorise(rows, few)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    long = few.unionByName(spark.createDataFrame([("l", 9, "y" * 101)], schema))
+    assert "Join" in ca.categorise(rows, long)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect()) == sorted(ca.categorise(rows, long).collect())
+
+
 KEYWORDS = [("a", 2, "miete"), ("b", 1, "REWE"), ("b", 1, "x"), ("c", 1, "rewe"), ("d", 3, "ät"), ("e", None, "ganz früh"), ("f", 1, None), ("a", 0, "miete früh")]
 
 
