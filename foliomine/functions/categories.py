@@ -1,6 +1,8 @@
 """Category of a transaction by the first keyword list that hits."""
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -21,6 +23,8 @@ CATEGORY_KEYWORDS = {
     "donation": ["spende", "umwelthilfe", "grundeinkommen"],
 }
 
+SHORT_LIST = 32  # keywords that are tried one by one and not as a pattern
+
 
 def category(
     description: Column,
@@ -29,10 +33,19 @@ def category(
     """First category with a keyword inside the description, else ``other``. A category
     may come several times in a list of keyword lists.
 
-    A CASE over keyword tests: no join, no copy of the row per keyword.
+    A CASE over keyword tests: no join, no copy of the row per keyword. The array of one
+    element binds the lowered text to a name, so it is made once.
     """
-    lowered = F.lower(description)
-    cases = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, words in keywords.items() if isinstance(keywords, dict) else keywords:
-        cases = cases.when(lowered.rlike("|".join(re.escape(w) for w in words)), name)
-    return cases.otherwise("other")
+
+    def holds(lowered: Column, words: list[str]) -> Column:
+        if 0 < len(words) <= SHORT_LIST:
+            return reduce(or_, [lowered.contains(w) for w in words])
+        return lowered.rlike("|".join(re.escape(w) for w in words))
+
+    def first(lowered: Column) -> Column:
+        cases = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name, words in keywords.items() if isinstance(keywords, dict) else keywords:
+            cases = cases.when(holds(lowered, words), name)
+        return cases.otherwise("other")
+
+    return F.get(F.transform(F.array(F.lower(description)), first), F.lit(0))

@@ -15,13 +15,24 @@ AMOUNT_PATTERNS = [
     r"€\s*\d+(?:,\d{3})*(?:\.\d{2})?",
     r"\d+(?:,\d{3})*(?:\.\d{2})?\s*(?:EUR|USD|€|\$)",
 ]
+# What a text with a match of the pattern holds one of: a search for it costs little, and most
+# texts have none of some.
+_NEEDED = dict(zip(DATE_PATTERNS + AMOUNT_PATTERNS, ("-", ".", "/", "$", "€", ("EUR", "USD", "€", "$"))))
 BASIC_DATE_PATTERN = r"\d{4}-\d{2}-\d{2}"
 BASIC_AMOUNT_PATTERN = r"\$\d+(?:\.\d{2})?(?:\s*(?:USD|EUR|GBP))?"
 
 
 def _bag(text: Column, patterns: list[str]) -> Column:
     """Matches of all patterns, pattern by pattern, duplicates kept."""
-    return F.concat(*[all_matches(text, pattern(p)) for p in patterns])
+
+    def matches(p: str) -> Column:
+        possible = F.lit(False)
+        for needed in _NEEDED.get(p, ("",)):
+            possible = possible | text.contains(needed)
+        # A NULL text has neither.
+        return F.when(possible, all_matches(text, pattern(p))).when(~possible, empty_strings())
+
+    return F.concat(*map(matches, patterns))
 
 
 def dates(text: Column) -> Column:

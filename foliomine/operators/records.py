@@ -40,7 +40,7 @@ def extract(
         return F.when(F.length(rest) > 0, F.concat(first, rest)).otherwise(first)
 
     kept = [c for c in documents.columns if c not in ("page_text", "words", "tables", "text")]
-    zoned = tp.with_zones(tp.classify(documents, templates), templates, words)
+    zoned = tp.with_zones(tp.classify(documents, templates), templates, words, counted=True)
     known = F.col("doc_type").isNotNull()
     is_statement = F.col("doc_type") == BANK_STATEMENT
     whole = F.coalesce("text", F.lit(""))  # all pages; type and zones are those of page one
@@ -48,7 +48,7 @@ def extract(
         *kept,
         "text",
         "doc_type",
-        tp.confidence(F.col("zones")).alias("confidence"),
+        tp.confidence(F.col("zones"), counted=True).alias("confidence"),
         F.when(known, later_pages(tp.joined_zone_text(F.col("zones"))))
         .otherwise(F.coalesce("text", F.lit("")))
         .alias("found_text"),

@@ -17,6 +17,8 @@ from foliomine.schema import TRANSACTION
 
 # The dated line that opens a transaction, and what may follow it.
 DATED_LINE = r"(\d{2}\.\d{2}\.\d{4})\s+([^-\d].*?)(?:\s+|$)([-\d.,]+)?\s*$"
+_DATED_HEAD = pattern(rf"(?s:^.*?){DATED_LINE}")
+_SET_APART = "\x01"
 MANDATE = r"Mandat:([^\n]+)"
 REFERENCE = r"Referenz:([^\n]+)"
 BLOCK_LINES = 100_000  # lines of a statement that one task numbers
@@ -54,9 +56,14 @@ def transaction_blocks(text: Column) -> Column:
     return F.get(F.transform(lines, cut), F.lit(0))
 
 
+def _holds(line: Column, regex: str) -> Column:
+    """Whether a line matches; its text up to the colon is sought first, as few lines have it."""
+    return line.contains(regex.partition(":")[0] + ":") & line.rlike(pattern(regex))
+
+
 def _last_value(lines: Column, regex: str) -> Column:
     """Group of the last line that matches, '' when none does."""
-    hits = F.filter(lines, lambda line: line.rlike(pattern(regex)))
+    hits = F.filter(lines, lambda line: _holds(line, regex))
     last = F.try_element_at(hits, F.lit(-1))
     return F.coalesce(strip(F.regexp_extract(last, pattern(regex), 1)), F.lit(""))
 
@@ -65,19 +72,21 @@ Fields = Callable[[str], Column]
 
 
 def _split_block(block: Column) -> dict[str, Column]:
+    """The head is its date, label and amount set apart by a sign, so that it is matched once."""
     return {
-        "head": F.get(block, F.lit(0)),
+        "head": F.regexp_replace(F.get(block, F.lit(0)), _DATED_HEAD, f"$1{_SET_APART}$2{_SET_APART}$3"),
         "rest": F.slice(block, F.lit(2), F.size(block)),
     }
 
 
 def _read_head(of: Fields) -> dict[str, Column]:
-    dated = pattern(DATED_LINE)
+    # A date has ten characters and an amount never has the sign; a label may.
+    amount = F.substring_index(of("head"), _SET_APART, -1)
     return {
         "rest": of("rest"),
-        "date_value": checked_date(F.regexp_extract(of("head"), dated, 1)),
-        "label": F.regexp_extract(of("head"), dated, 2),
-        "amount_text": first_match(of("head"), dated, 3),
+        "date_value": checked_date(F.substr(of("head"), F.lit(1), F.lit(10))),
+        "label": F.substr(of("head"), F.lit(12), F.length(of("head")) - F.length(amount) - 12),
+        "amount_text": F.nullif(amount, F.lit("")),
     }
 
 
@@ -89,7 +98,7 @@ def _well_formed(of: Fields) -> Column:
 def _transaction(of: Fields) -> dict[str, Column]:
     def describes(line: Column) -> Column:
         hidden = F.lower(line).rlike("|".join(NO_DESCRIPTION))
-        return ~line.rlike(pattern(REFERENCE)) & ~hidden
+        return ~_holds(line, REFERENCE) & ~hidden
 
     more = F.transform(F.filter(of("rest"), describes), strip)
     return {

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliomine.functions.text import clean_field, pattern
 from foliomine.operators import needles
+from foliomine.sources.pages import PlainLayout
 from foliomine.sources.templates import BUILTIN_TEMPLATES, Template, Zone
 
 _MATCHES = "array<struct<pattern_no:int,ord:int,groups:array<string>,text:string>>"
@@ -60,6 +61,23 @@ def identifier_score(text: str, template: Template) -> Column:
     return F.expr(" + ".join(counts) or "0")
 
 
+def _either(templates: list[Template]) -> str | None:
+    """A pattern that finds a match where any identifier has one, so that a text without any is
+    searched once. None where there is no such pattern: for a template without identifiers,
+    or groups that are named or referred to by number."""
+    identifiers = [p for t in templates for p in t.identifiers]
+    if not identifiers or not all(t.identifiers for t in templates):
+        return None
+    if any(re.search(r"\\[1-9k]|\\[QE]|\(\?[^:=!>]|\(\?<", p) for p in identifiers):
+        return None
+    any_of = "|".join(f"(?:{p})" for p in identifiers)
+    # Where all begin with two plain letters and have no other branch, these are looked at first.
+    if all(re.match(r"[A-Za-z]{2}(?![?*+{])[^|]*$", p) for p in identifiers):
+        first, second = ("".join(sorted({p[i].lower() for p in identifiers})) for i in (0, 1))
+        any_of = f"(?=[{first}][{second}])(?:{any_of})"
+    return pattern(any_of, ignore_case=True)
+
+
 def classify(
     documents: DataFrame,
     templates: list[Template] = BUILTIN_TEMPLATES,
@@ -67,6 +85,7 @@ def classify(
 ) -> DataFrame:
     """Add ``doc_type`` and ``score``: most matches win, ties go to the earlier
     template, no match at all leaves ``doc_type`` NULL."""
+    none = lambda score: F.struct(F.lit(score).alias("score"), F.lit(0).alias("rank"), F.lit("").alias("name"))
     scored = F.greatest(
         *[
             F.struct(
@@ -76,10 +95,10 @@ def classify(
             )
             for no, t in enumerate(templates)
         ],
-        F.struct(
-            F.lit(-1).alias("score"), F.lit(0).alias("rank"), F.lit("").alias("name")
-        ),
+        none(-1),
     )
+    if (either := _either(templates)) is not None:
+        scored = F.when(~F.col(text).rlike(either), none(0)).otherwise(scored)
     return documents.withColumn("_best", scored).select(
         *documents.columns,
         F.when(F.col("_best.score") > 0, F.col("_best.name")).alias("doc_type"),
@@ -255,6 +274,19 @@ def zone_text(words: str, zone: Zone, width: str = "1.0D", height: str = "1.0D")
     )
 
 
+def zone_lines(lines: str, zone: Zone, width: str = "1.0D", height: str = "1.0D") -> str:
+    """As :func:`zone_text`, from a plain text's lines: line i of n is i/n down, word j of m is
+    j/m across, and lines are words set apart by one space."""
+    x1, y1, x2, y2 = absolute_bounds(zone, width, height)
+    high = f"i / size({lines}) < {y2} AND (i + 1) / size({lines}) > {y1}"
+    if width == "1.0D" and zone.bounds[0] <= 0 and zone.bounds[2] >= 1:
+        return f"array_join(filter({lines}, (l, i) -> l <> '' AND {high}), '\\n')"
+    wide = f"j / size(ws) < {x2} AND (j + 1) / size(ws) > {x1}"
+    part = f"get(transform(array(split(l, ' ')), ws -> array_join(filter(ws, (w, j) -> {wide}), ' ')), 0)"
+    cut = f"transform({lines}, (l, i) -> CASE WHEN l <> '' AND {high} THEN {part} ELSE '' END)"
+    return f"array_join(filter({cut}, l -> l <> ''), '\\n')"
+
+
 def zone_matches(text: str, zone: Zone) -> str:
     """SQL for all matches of the zone's patterns: pattern by pattern, in text
     order. A group that took no part in a match is NULL."""
@@ -278,24 +310,34 @@ def with_zones(
     words: str = "words",
     width: str = "1.0D",
     height: str = "1.0D",
+    counted: bool = False,
 ) -> DataFrame:
     """Replace ``words`` by ``zones``: per zone of the document's type its text
     and matches. Documents without a type get NULL. ``words`` is a column or
-    SQL for one, which then runs only for documents that have a type;
-    ``width`` and ``height`` are SQL for the page size the boxes refer to."""
+    SQL for one, which then runs only for documents that have a type; of a plain text's
+    layout the zones are cut from its lines. ``width`` and ``height`` are SQL for the page
+    size the boxes refer to. ``counted`` gives the number of a zone's matches, ``n_matches``,
+    in place of the matches, for which each pattern searches a zone once per group."""
     zoned = [t for t in templates if t.zones]
 
     def texts(template: Template) -> str:
+        if isinstance(words, PlainLayout):
+            every = ", ".join(zone_lines("ls", z, width, height) for z in template.zones)
+            return f"get(transform(array({words.lines}), ls -> array({every})), 0)"
         every = ", ".join(zone_text("ws", z, width, height) for z in template.zones)
         return f"get(transform(array({words}), ws -> array({every})), 0)"
 
+    def matched(text: str, zone: Zone) -> str:
+        if counted:
+            return f"'n_matches', {' + '.join(_count(text, p) for p in zone.patterns) or '0'}"
+        return f"'matches', {zone_matches(text, zone)}"
+
     def result(no: int, zone: Zone) -> str:
         text = f"get(_texts, {no})"
         return (
             f"named_struct('zone', {_literal(zone.name)}, 'zone_no', {no},"
             f" 'content_type', {_literal(zone.content_type)}, 'required', {zone.required},"
-            f" 'n_patterns', {len(zone.patterns)}, 'text', {text},"
-            f" 'matches', {zone_matches(text, zone)})"
+            f" 'n_patterns', {len(zone.patterns)}, 'text', {text}, {matched(text, zone)})"
         )
 
     def results(template: Template) -> str:
@@ -332,15 +374,17 @@ def match_rows(documents: DataFrame) -> DataFrame:
     return rows_of(documents, F.inline_outer(F.flatten(found)), "zone", "doc_type")
 
 
-def confidence(zones: Column) -> Column:
+def confidence(zones: Column, counted: bool = False) -> Column:
     """Mean over the required zones of matches per pattern. A zone without a
-    match counts as zero; many matches of one pattern may lift it above one."""
+    match counts as zero; many matches of one pattern may lift it above one. The matches
+    are ``counted`` where :func:`with_zones` did so."""
+    n_matches = lambda z: z["n_matches"] if counted else F.size(z["matches"])
     required = F.filter(zones, lambda z: z["required"])
     total = F.aggregate(
         required,
         F.lit(0.0),
         lambda acc, z: acc
-        + F.when(z["n_patterns"] > 0, F.size(z["matches"]) / z["n_patterns"]).otherwise(0.0),
+        + F.when(z["n_patterns"] > 0, n_matches(z) / z["n_patterns"]).otherwise(0.0),
     )
     return F.when(F.size(required) > 0, total / F.size(required)).when(zones.isNotNull(), 0.0)
 

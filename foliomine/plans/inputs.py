@@ -181,7 +181,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(customer, block.alias("block"), key, cents.alias("cents"), entry.alias("entry"))
         .groupBy("o_custkey", "block")
         .agg(
-            F.array_sort(F.collect_list(F.struct("o_orderkey", "entry"))).alias("entries"),
+            F.sort_array(F.collect_list(F.struct("o_orderkey", "entry"))).alias("entries"),
             F.sum("cents").alias("total"),
         )
     )
@@ -240,6 +240,13 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(spark, sf_dir).unionByName(prose(spark, sf_dir))
 
 
+def mixed_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, dealt out by their ids as a join by them needs it: prose moves once, and what
+    is made of a text doesn't move with it."""
+    documents = table(spark, sf_dir, "documents").select(_text("doc-", F.col("doc_id")).alias("doc_id"), "text")
+    return dealt(rendered(spark, sf_dir).unionByName(documents), "doc_id")
+
+
 def with_first_page(documents: DataFrame) -> DataFrame:
     return documents.select("*", pages.first_page(F.col("text")).alias("page_text"))
 

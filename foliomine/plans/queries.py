@@ -582,9 +582,9 @@ def language_id(spark: SparkSession, sf: str) -> DataFrame:
 # --- records ---------------------------------------------------------------
 
 
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Statements, fee statements and prose as documents of one archive."""
-    return src.with_first_page(src.mixed(spark, sf)).select(
+def _archived(documents: DataFrame) -> DataFrame:
+    """Texts as documents of one archive."""
+    return src.with_first_page(documents).select(
         "*",
         F.concat(F.lit("archive/"), "doc_id").alias("path"),
         ff.checksum(F.col("text")).alias("checksum"),
@@ -595,8 +595,8 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 def records_of(spark: SparkSession, sf: str) -> DataFrame:
     replies = src.document_replies(spark, sf)
     when = F.timestamp_seconds(F.lit(src.EPOCH + src.DAY))
-    documents = re.with_replies(_documents(spark, sf), replies)
-    extracted = re.extract(documents, words=pg.words_from_text("page_text"))
+    documents = re.with_replies(src.mixed_by_id(spark, sf), replies)
+    extracted = re.extract(_archived(documents), words=pg.words_from_text("page_text"))
     return re.assemble(extracted, when, "0.1.0")
 
 

@@ -43,7 +43,14 @@ def join_pages(pages: DataFrame, skip_empty: bool = False) -> DataFrame:
     return pages.groupBy("doc_id").agg(joined.alias("text"))
 
 
-def words_from_text(text: str) -> str:
+class PlainLayout(str):
+    """SQL for the words of a plain text's layout, which ``lines``, SQL for its lines with
+    their words set apart by one space, say too."""
+
+    lines: str
+
+
+def words_from_text(text: str) -> PlainLayout:
     """SQL for the layout of the plain text in column ``text``: line i of n is i/n down,
     word j of m is j/m across. The one-element arrays bind the lines and a
     line's words to a name, so each text and line is split once."""
@@ -55,10 +62,14 @@ def words_from_text(text: str) -> str:
         "flatten(transform(array(filter(split(l, ' '), w -> w <> '')),"
         f" ws -> transform(ws, (w, j) -> {word})))"
     )
-    return (
+    words = PlainLayout(
         f"CAST(flatten(flatten(transform(array(split({text}, '\\n')),"
         f" ls -> transform(ls, (l, i) -> {line_words})))) AS array<{WORD}>)"
     )
+    plain = "contains(l, '  ') OR startswith(l, ' ') OR endswith(l, ' ')"
+    one_space = f"CASE WHEN {plain} THEN array_join(filter(split(l, ' '), w -> w <> ''), ' ') ELSE l END"
+    words.lines = f"transform(split({text}, '\\n'), l -> {one_space})"
+    return words
 
 
 def gather_words(words: DataFrame) -> DataFrame:

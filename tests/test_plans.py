@@ -151,3 +151,15 @@ def test_documents_are_not_classified_where_they_are_read(plans):
     for name in ("zone_text_from_words", "zone_text_joined"):
         filters = [line for line in plans[name].splitlines() if re.search(r"[+:]- (\\*\(\d+\) )?Filter ", line)]
         assert filters and not any("greatest(struct(score" in line for line in filters), name
+
+
+def test_records_move_texts_alone(spark, plans):
+    """Each text moves by its id once, without what is made of it, and into a number of tasks
+    that Spark doesn't lower by their bytes. Zone patterns are counted, not read by group."""
+    frame = QUERIES["records"](spark, SF)
+    frame.collect()
+    moved = [n for n in _nodes(frame._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    columns = [{n.output().apply(i).name() for i in range(n.output().size())} for n in moved]
+    assert [c for c in columns if "text" in c] == [{"doc_id", "text"}]
+    assert not any("page_text" in c or "checksum" in c for c in columns)
+    assert plans["records"].count("regexp_extract_all") <= 54

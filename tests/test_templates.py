@@ -160,3 +160,41 @@ def test_the_possessive_address_pattern_finds_the_same(text):
     ours = tt.BUILTIN_TEMPLATES[1].fields["address"]
     spans = lambda p: [(m.span(), m.group(1)) for m in re.finditer(p, text, SEARCH)]
     assert spans(ours) == spans(plain)
+
+
+def test_zones_from_lines_equal_those_from_words(documents):
+    """Of a plain text's layout zones are cut from its lines; a string without them cuts words.
+    The number of matches, where it alone is asked for, is that of the matches."""
+    rng = random.Random(8)
+    values, frame = documents
+    spark = frame.sparkSession
+    spaced = [re.sub(" ", lambda m: rng.choice([" ", "  ", "   "]), v).replace("\n", rng.choice(["\n", "\n\n ", " \n"])) for v in values[:150]]
+    rows = spark.createDataFrame(list(enumerate(values + spaced)), "doc_id bigint, text string")
+    typed = tp.classify(inputs.with_first_page(rows))
+    words = pg.words_from_text("page_text")
+    cut = {
+        name: tp.with_zones(typed, words=by, counted=counted)
+        for name, by, counted in (("words", str(words) + " ", False), ("lines", words, False), ("counted", words, True))
+    }
+    assert not hasattr(str(words) + " ", "lines")
+    texts = lambda f: {r["doc_id"]: [z["text"] for z in r["zones"] or []] for r in f.collect()}
+    expected = texts(cut["words"])
+    assert texts(cut["lines"]) == expected and sum(map(len, expected.values())) > 300
+    value = lambda f, **k: sorted(f.select("doc_id", tp.confidence(F.col("zones"), **k).alias("c")).collect())
+    assert value(cut["counted"], counted=True) == value(cut["words"])
+
+
+def test_a_text_without_identifiers_is_searched_once(spark):
+    """The types are those of the scores; templates whose patterns can't be joined have them too."""
+    odd = [tt.Template("a", [r"(x)\1"]), tt.Template("b", ["b|c", "q?z"])]
+    said = ["xx", "x", "B", "kk z", "nothing", "", None, "Konto Girokonto", "ENTGELTAUFSTELLUNG", "gezahlte  Entgelte"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id int, page_text string")
+    for templates in (tt.BUILTIN_TEMPLATES, odd, odd[1:], [*odd, tt.Template("c", [])]):
+        got = {r["doc_id"]: (r["doc_type"], r["score"]) for r in tp.classify(docs, templates).collect()}
+        for i, t in enumerate(said):
+            counts = [sum(len(re.findall(f"(?i){p}", t or "")) for p in x.identifiers) for x in templates]
+            best = max(counts, default=0)
+            assert got[i][0] == (templates[counts.index(best)].name if best else None), (t, templates)
+            if t is not None:
+                assert got[i][1] == best
+    assert tp._either(tt.BUILTIN_TEMPLATES) and tp._either(odd) is None and tp._either(odd[1:])

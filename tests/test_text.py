@@ -1,10 +1,13 @@
 import datetime
+import random
 import re
 
+from pyspark.sql import functions as F
 
 from foliomine.functions import categories, entities as en, text as tx
 from foliomine.functions.text import WHITESPACE
 from foliomine.sources.keywords import keywords_from
+from foliomine.sources.templates import BUILTIN_TEMPLATES
 
 
 def test_whitespace_is_what_python_strips(evaluate):
@@ -83,3 +86,31 @@ def test_keywords_from_a_table(spark, evaluate):
     assert own == [("a", ["x"]), ("b", ["kaffee", "tee"]), ("a", ["tee z"])]
     assert evaluate(lambda c: categories.category(c, own), "TEE x", "tee z", "") == ["a", "b", "other"]
     assert evaluate(lambda c: categories.category(c, keywords_from(table.where("false"))), "x") == ["other"]
+
+
+def test_letters_of_all_cases(spark):
+    """The class written out holds what Java takes for the letters where case is ignored."""
+    signs = spark.createDataFrame([(chr(i),) for i in range(0x11000) if not 0xD800 <= i < 0xE000], "c string")
+    folded = {r["c"] for r in signs.where(F.col("c").rlike("(?Udi)" + tx.LETTERS)).collect()}
+    assert folded == {r["c"] for r in signs.where(F.col("c").rlike(tx.ALL_CASES)).collect()} > set("aZäſ")
+
+
+def test_faster_patterns_find_the_same(spark):
+    """Whole runs, starts of runs and classes without folding, against the patterns as given."""
+    rng = random.Random(5)
+    said = ["".join(rng.choice(["a", "B", "ä", "K", "ſ", " ", "  ", "\n", "\r", "1", "12345 x", ".", "É"]) for _ in range(rng.randrange(40))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    given = {p for t in BUILTIN_TEMPLATES for p in [*t.fields.values(), *(q for z in t.zones for q in z.patterns)] if tx.LETTERS in p}
+    given |= {rf"({tx.LETTERS}+\s+\d)", rf"({tx.LETTERS}+\s+b|\d)", rf"a({tx.LETTERS}+)\s*\n", rf"\s+{tx.LETTERS}"}
+    for regex in sorted(given):
+        for ignore_case in (True, False):
+            plain = "(?Ud" + "i" * ignore_case + "m)" + regex
+            found = rows.select("t", tx.all_matches(F.col("t"), plain).alias("a"), tx.all_matches(F.col("t"), tx.pattern(regex, ignore_case, True)).alias("b")).collect()
+            assert all(r["a"] == r["b"] for r in found), regex
+            assert regex.startswith("Konto") or any(r["a"] for r in found), regex
+
+
+def test_texts_without_a_needed_sign_are_not_searched(evaluate):
+    said = ["", "12.01.2024", "2024-01-31 1/2", "01/02/2024", "$ 5 €7", "7 EUR, 8 USD", "9 €", "5 Euro - a.b/c", None]
+    for found, patterns in ((en.dates, en.DATE_PATTERNS), (en.amounts, en.AMOUNT_PATTERNS), (en.basic_amounts, [en.BASIC_AMOUNT_PATTERN])):
+        assert evaluate(found, *said) == [None if t is None else [m for p in patterns for m in re.findall(p, t)] for t in said]
